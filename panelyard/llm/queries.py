@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate
+from panelyard.llm import decontaminate, lang_cnn, secret_crf
 from panelyard.llm.text import table
 
 
@@ -41,5 +41,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
-QUERIES = {"op7_decontaminate": op7_decontaminate}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_cnn.train(docs.where(~lang_cnn.held_out()))
+    found = lang_cnn.predict(docs, model)
+    return found.select("doc_id", lang_cnn.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_crf.scan(docs, secret_crf.train(docs))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in secret_crf.KINDS),
+        F.sha2(written(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {"op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
 ORACLE_SQL = {"op7_decontaminate": OP7_SQL}
