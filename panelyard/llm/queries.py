@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate, impact_topk, lang_cnn, length_packing, secret_crf, url_trie
+from panelyard.llm import decontaminate, id_store, impact_topk, lang_cnn, length_packing, secret_crf, url_trie
 from panelyard.llm.text import table
 
 
@@ -98,5 +98,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {"op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
+def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest, dictionary = id_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return id_store.read(manifest, dictionary)
+
+
+QUERIES = {"op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}
