@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate, id_store, impact_topk, lang_cnn, length_packing, secret_crf, url_trie
+from panelyard.llm import decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, secret_crf, url_trie
 from panelyard.llm.text import table
 
 
@@ -105,5 +105,25 @@ def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.read(manifest, dictionary)
 
 
-QUERIES = {"op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
-ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), size=5, per_cent=75)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM doc WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 75 * (p.n + q.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT doc.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.b, doc.doc_id) AS component_id
+FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) c ON c.a = doc.doc_id
+"""
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
+ORACLE_SQL = {"op5_jaccard_join": OP5_SQL, "op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}

@@ -51,16 +51,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _factors(n: int) -> list[int]:
+    out, f = [], 2
+    while n > 1:
+        while n % f == 0:
+            out.append(f)
+            n //= f
+        f += 1
+    return out[::-1] or [1]
+
+
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each `size` consecutive word hashes (empty if there are fewer)."""
-    n = len(h) - size + 1
-    if n <= 0:
+    """A hash of each `size` consecutive word hashes (empty if there are fewer).
+
+    Windows are built up factor by factor, so 50 words take 5 + 5 + 2 steps; in each step every place has an odd
+    multiplier of its own, so that order matters."""
+    if len(h) < size:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        # an odd multiplier of its own for each place, so that order matters
-        out += mix(h[j : j + n] + np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF))
-    return mix(out)
+    stride = 1
+    for f in _factors(size):
+        n = len(h) - (f - 1) * stride
+        out = h[:n] * np.uint64(0x9E3779B97F4A7C15)
+        for j in range(1, f):
+            out += h[j * stride : j * stride + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) ^ (0xC2B2AE3D27D4EB4F * j << 1)) & 0xFFFFFFFFFFFFFFFF)
+        h = mix(out)
+        stride *= f
+    return h
 
 
 def as_long(h: np.ndarray) -> np.ndarray:
