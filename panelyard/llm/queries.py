@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, secret_crf, url_trie
+from panelyard.llm import decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, rlz_dedup, secret_crf, url_trie
 from panelyard.llm.text import table
 
 
@@ -125,5 +125,25 @@ SELECT doc.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.b,
 FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) c ON c.a = doc.doc_id
 """
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
-ORACLE_SQL = {"op5_jaccard_join": OP5_SQL, "op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlz_dedup.deduplicate(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (
+  SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM doc WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+first AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS j FROM win JOIN first USING (g) WHERE win.doc_id > first.d),
+word AS (SELECT r, unnest(w) AS x, unnest(generate_series(1, len(w))) AS j FROM doc),
+kept AS (
+  SELECT word.r, count(*) FILTER (gone.j IS NOT NULL) AS n, string_agg(x, ' ' ORDER BY word.j) FILTER (gone.j IS NULL) AS t
+  FROM word LEFT JOIN gone ON word.r = gone.r AND word.j = gone.j GROUP BY word.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)
+"""
+
+QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
+ORACLE_SQL = {"op6_substring_dedup": OP6_SQL, "op5_jaccard_join": OP5_SQL, "op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}
