@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, rlz_dedup, secret_crf, url_trie
+from panelyard.llm import ctw, decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, rlz_dedup, secret_crf, url_trie
 from panelyard.llm.text import table
 
 
@@ -145,5 +145,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM doc LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
+def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ctw.score(docs, docs.where(~ctw.held_out()))
+    return found.select("doc_id", ctw.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+QUERIES = {"op2_ctw_score": op2_ctw_score, "op6_substring_dedup": op6_substring_dedup, "op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
 ORACLE_SQL = {"op6_substring_dedup": OP6_SQL, "op5_jaccard_join": OP5_SQL, "op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}
