@@ -14,10 +14,13 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,43 @@ from panelyard.llm.text import checkpoint_dir, pieces, stored
 MAGIC = b"IDSTORE1"
 HEADER = struct.Struct("<8sQB")
 TAIL = struct.Struct("<Q8s")
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Characters with which a text is encoded word by word: all but ASCII and Latin letters that lower-case to one letter.
+_OTHER = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+#: How byte-level tokenizers of this kind cut lower-cased text (fixed value, given by the tokenizer file).
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level models write bytes: printable bytes stand for themselves, others follow from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Numbers(dict):
+    """Piece -> number in the order of first sight; `new` lists the pieces since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
 
 
 class Encoder:
-    """Ids of whole texts, word by word: the tokenizer never joins characters over white space, so the ids of a text are
-    the ids of its words in order, and each different word is encoded once. Remembers a bounded number of words."""
+    """Ids of whole texts, each different piece of text encoded once. Remembers a bounded number of pieces.
+
+    The tokenizer never joins characters over white space, so any text may be encoded word by word. Most texts (ASCII and
+    Latin letters, no special token) are cut further, just as the tokenizer cuts them before it merges: `probe` shows
+    whether this tokenizer does so; if not, words it is.
+    """
 
-    def __init__(self, path: str, end: int, limit: int = 600_000):
+    probe = "It's Élan, don't we'll—no: ÀB12 'small' x_y ... \tThe END's"
+
+    def __init__(self, path: str, end: int, limit: int = 450_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,61 +78,62 @@ class Encoder:
 
         self.tokenizer, self.end, self.limit = Tokenizer.from_file(path), end, limit
         self.dtype = np.uint16 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else np.uint32
-        probe = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str("Abcxyz.,"))]
-        self.plain = probe == ["abcxyz", ".,"]  # ASCII letters are one piece, and lower-cased; marks after them another
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+        self.cuts = True
+        texts = [self.probe.replace("—", " "), self.probe]
+        self.cuts = all(self.encode([t.encode()])[0][:-1].tolist() == self.whole(t) for t in texts)
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.cores: dict[bytes, list[int]] = {}
+        self.number = _Numbers()
         self.flat, self.first, self.size = np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def of_core(self, core: bytes) -> list[int]:
-        """Ids of lower-case ASCII letters, or of marks alone."""
-        ids = self.cores.get(core)
-        if ids is None:
-            ids = self.cores[core] = [t.id for t in self.tokenizer.model.tokenize(core.decode())] if core.isalpha() else self.whole(core.decode())
-        return ids
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.number]
-        if len(self.number) + len(new) > self.limit and self.number:
-            self.clear()
-            new = list(words)
-        found, rest = [], []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            if self.plain and core.isalpha():
-                found.append(self.of_core(core.lower()) + (self.of_core(w[len(core) :]) if len(core) < len(w) else []))
-            else:
-                rest.append(len(found))
-                found.append([])
-        for i, e in zip(rest, self.tokenizer.encode_batch([new[i].decode() for i in rest], add_special_tokens=False)):
-            found[i] = e.ids
+    def pieces(self, raw: bytes | None) -> list[bytes]:
+        """Pieces to encode one by one; a piece that starts with a blank is a word that the tokenizer has to cut."""
+        if not raw:
+            return []
+        text = raw.decode()
+        if self.cuts and not _OTHER.search(text) and not any(s in text for s in self.special):
+            return _PIECE.findall(text.lower().encode())
+        return [b" " + w for w in raw.split()]
+
+    def learn(self, new: list[bytes]) -> None:
+        merge, letters = self.tokenizer.model.tokenize, _byte_letters()
+        found = [self.whole(p[1:].decode()) if p[0] == 32 else [t.id for t in merge(p.decode() if p.isalnum() else p.decode("latin-1").translate(letters))] for p in new]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first = len(self.flat) + np.r_[0, np.cumsum(sizes)[:-1]] if found else np.empty(0, np.int64)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), self.dtype, int(sizes.sum()))])
-        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, sizes])
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum()))])
+        self.size = np.concatenate([self.size, sizes])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [t.split() if t else [] for t in texts]
-        self.learn({w for x in words for w in x})
-        out = []
-        for x in words:
-            at = np.fromiter(map(self.number.__getitem__, x), np.int64, len(x))
-            sizes = self.size[at]
-            n = int(sizes.sum())
-            ids = np.empty(n + 1, self.dtype)
-            ids[:n] = self.flat[np.repeat(self.first[at] - np.r_[0, np.cumsum(sizes)[:-1]] if n else sizes, sizes) + np.arange(n)]
-            ids[n] = self.end
-            out.append(ids)
+        if len(self.number) > self.limit:
+            self.clear()
+        cut = [self.pieces(t) for t in texts]
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int32, sum(map(len, cut)))
+        if self.number.new:
+            self.learn(self.number.new)
+            self.number.new = []
+        sizes = self.size[at]
+        ids = self.flat[np.repeat(self.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        out, total = [], np.r_[0, np.cumsum(sizes)]
+        ends = total[np.cumsum([0, *map(len, cut)])].tolist()
+        for a, b in zip(ends, ends[1:]):
+            x = np.empty(b - a + 1, self.dtype)
+            x[:-1], x[-1] = ids[a:b], self.end
+            out.append(x)
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, end: int) -> Encoder:
+    """One for all tasks of a worker: texts of different tasks have most of their words in common."""
+    return Encoder(path, end)
+
+
 def train_dictionary(docs: DataFrame, path: str, end: int, sample: int = 1000, max_chars: int = 8192, size: int = 65_536) -> bytes:
     """A zstandard dictionary from the id arrays of at most `sample` texts (those of the smallest id hashes), of which at
     most `max_chars` characters each count; the bounds hold for the dictionary alone. Empty if there is nothing to learn."""
@@ -109,7 +142,7 @@ def train_dictionary(docs: DataFrame, path: str, end: int, sample: int = 1000, m
     if last is None:
         return b""
     texts = sorted(bytes(r.text) for r in rows.where(F.col("h") <= last).select("text").limit(sample).collect())
-    arrays = [x.tobytes() for x in Encoder(path, end).encode(texts)]
+    arrays = [x.tobytes() for x in encoder(path, end).encode(texts)]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the arrays themselves
@@ -186,11 +219,11 @@ def write(docs: DataFrame, tokenizer_path: str, end: int, folder: str | None = N
     shared = spark.sparkContext.broadcast(dictionary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (pack, _) = Encoder(tokenizer_path, end), _codec(shared.value)
+        tokens, (pack, _) = encoder(tokenizer_path, end), _codec(shared.value)
         for batch in pieces(batches):
-            ids = encoder.encode(batch.column("text").to_pylist())
+            ids = tokens.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([encoder.dtype().itemsize] * len(ids), pa.int32()), pa.array([pack.compress(x.tobytes()) for x in ids], pa.binary())],
+                [batch.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([tokens.dtype().itemsize] * len(ids), pa.int32()), pa.array([pack.compress(x.tobytes()) for x in ids], pa.binary())],
                 ["id", "n", "width", "frame"],
             )
 
