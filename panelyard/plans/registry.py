@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelyard.plans import formulas
+from panelyard.plans import formulas, research
 
-_PARTS = (formulas,)
+_PARTS = (formulas, research)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
