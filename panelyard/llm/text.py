@@ -8,11 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows are handed to numpy in pieces of about this many bytes of text, so that memory does not depend on the batch.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def lower_ascii(text: bytes) -> bytes:
@@ -25,21 +24,32 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
-class WordHasher(dict):
-    """Word -> 64-bit hash, remembering a bounded number of words."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.limit:
-            self[word] = h
-        return h
-
-    def array(self, some: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, some), np.uint64, len(some))
+_BLANK = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(256)], np.uint64)
+
+
+def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin (and, last, where all end).
+
+    A word's hash is a polynomial of its bytes, mixed; the bytes of all words are weighted and summed at once."""
+    global _POWERS
+    texts = [t or b"" for t in texts]
+    raw = b"\n".join([*texts, b""])
+    at = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+    solid = ~_BLANK[at]
+    edge = np.flatnonzero(np.diff(solid, prepend=False))  # raw ends in a blank, so edges come in pairs
+    first, sizes = edge[0::2], edge[1::2] - edge[0::2]
+    bounds = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    if not len(first):
+        return np.empty(0, np.uint64), bounds
+    longest = int(sizes.max())
+    while len(_POWERS) < longest:
+        _POWERS = np.concatenate([_POWERS, _POWERS * _POWERS[-1] * np.uint64(0x9E3779B97F4A7C15)])
+    inside = np.flatnonzero(solid)
+    word_at = np.cumsum(sizes) - sizes
+    weight = _POWERS[inside - np.repeat(first, sizes)]
+    weight *= at[inside].astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(weight, word_at) + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), bounds
 
 
 def mix(h: np.ndarray) -> np.ndarray:
