@@ -1 +1 @@
-
+"""Panel formulas."""

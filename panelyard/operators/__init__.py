@@ -1 +1 @@
-
+"""Operators on panels, cross-sections and series."""

@@ -1 +1 @@
-
+"""Panels and observation files."""

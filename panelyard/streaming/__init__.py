@@ -1 +1 @@
-
+"""No streaming operators: late knowledge is handled by the time at which a value was known."""
