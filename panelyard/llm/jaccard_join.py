@@ -1,8 +1,8 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document is the set of its word shingles. Shingles have one global order: rare ones by hash, then frequent ones by
-count (a counter sketch over the whole corpus tells them apart). A document's prefix is extended until it holds enough
-tokens that no similar document can miss all of them; rare tokens of the prefix are signatures alone, frequent tokens
+A document is the set of its word shingles. Shingles have one global order: by their counts in a counter sketch of the
+whole corpus, then by hash; those whose counts stand out are frequent. A document's prefix is extended until it holds so
+many tokens that no similar document can miss all of them; rare tokens of the prefix are signatures alone, frequent tokens
 fall into classes and are signatures in pairs within a class. If x is similar to y, at most |x| - ceil(t |x|) tokens of
 x's prefix are missing in y; a prefix whose tokens count, less one for each class of frequent ones, exceeds that number
 cannot have lost all its signatures. (This holds for the document whose prefix ends first in the order; the other
@@ -11,13 +11,14 @@ a document belongs to each tier in which a similar document may be.
 
 Only signatures found in two documents or more are shuffled (a bitmap of fixed size filters the others). Documents with
 the same set are one node from the start. Each signature's documents are compared with few documents of the group
-first, and components merged; only pairs that are still in different components are then compared one by one. So a
-group of many copies costs a few comparisons for each, while no link between different components is lost.
+first, and components merged; only pairs that are still in different components are then compared, in blocks, where
+outlines of their sets (counts of tokens by leading bits) don't rule them out. So a group of many copies costs a few
+comparisons for each, while no link between different components is lost.
 
 Cases: a null text, and a text without words, has the empty set, is linked with nothing and is its own component; a
 text of fewer words than a shingle is one shingle; copies are linked; rows with a null id have no identity and take no
-part; rows that share an id are each given, judged by their own texts; an empty table gives an empty result; extra columns
-are ignored.
+part; rows that share an id are each given, but are linked with what any of them is linked with; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,23 +32,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.graph import cut, merged
-from panelyard.llm.sketches import COUNTER_BITS, Bitmap, bitmap_of, counters, shared_hashes
-from panelyard.llm.text import WordHasher, as_long, lower_ascii, mix, pieces, stored, window_hashes, words
+from panelyard.llm.sketches import COUNTER_BITS, Counters, bitmap_of, counters, shared_hashes
+from panelyard.llm.text import as_long, hash_words, mix, pieces, stored, window_hashes
 
 #: The smallest set of each tier; tier k > 0 has FIRST_SIZE[k] // 2 classes of frequent shingles, the first tier has none.
 FIRST_SIZE = (0, 16, 128, 1024, 8192, 65536, 524288)
 
 
-def shingles(text: bytes | None, size: int, hasher: WordHasher) -> np.ndarray:
-    """The sorted different hashes of the word shingles of a text."""
-    h = hasher.array(words(lower_ascii(text))) if text else np.empty(0, np.uint64)
-    return np.unique(window_hashes(h, min(size, len(h)))) if len(h) else h
+def shingles(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """The sorted different hashes of the word shingles of each text."""
+    h, bounds = hash_words(texts, lower=True)
+    windows, out = window_hashes(h, size), []
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+        some = np.sort(windows[a : b - size + 1]) if b - a >= size else window_hashes(h[a:b], b - a) if b > a else h[:0]
+        out.append(some[np.r_[True, some[1:] != some[:-1]]] if len(some) else some)
+    return out
 
 
 def digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def outline(tokens: np.ndarray) -> bytes:
+    """How many tokens begin with which bits, about three a count: two outlines bound what their sets have in common."""
+    bits = max(0, int(len(tokens) // 3).bit_length())
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """An outline with `size` counts at most; 255 stands for any count from there on."""
+    return np.minimum(x.astype(np.int64).reshape(size, -1).sum(axis=1), 255).astype(np.uint8) if len(x) > size else x
+
+
+class Members:
+    """A group's documents as arrays: node, n, component, and outlines of a power of two counts each."""
+
+    def __init__(self, column: pa.ListArray, row: int):
+        a, b = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
+        part = column.values.slice(a, b - a)
+        self.node, self.n, self.component = (part.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("node", "n", "component"))
+        coarse = part.field("coarse")
+        at = np.frombuffer(coarse.buffers()[1], np.int32)[coarse.offset : coarse.offset + len(coarse) + 1].astype(np.int64)
+        self.start, self.size, self.data = at[:-1], np.diff(at), np.frombuffer(coarse.buffers()[2], np.uint8)
+
+    def outlines(self, at: np.ndarray, size: int, fold: int) -> np.ndarray:
+        rows = self.data[self.start[at][:, None] + np.arange(size)]
+        return rows if size == fold else np.minimum(rows.reshape(len(at), fold, -1).sum(axis=2, dtype=np.int64), 255).astype(np.uint8)
+
+
+def possible_pairs(x: Members, y: Members | None, per_cent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components that sizes and outlines don't rule out, between two lists of members or, without a
+    second one, within the first."""
+    same, y = y is None, y if y is not None else x
+    wanted = x.component[:, None] != y.component[None, :]
+    wanted &= np.minimum(x.n[:, None], y.n[None, :]) * 100 >= np.maximum(x.n[:, None], y.n[None, :]) * per_cent
+    if same:
+        wanted &= x.node[:, None] < y.node[None, :]
+    i, j = np.nonzero(wanted)
+    out = []
+    if not len(i):
+        return out
+    kinds = x.size[i] * 256 + y.size[j]
+    for kind in np.unique(kinds):
+        u, v = divmod(int(kind), 256)
+        p, q, w = i[kinds == kind], j[kinds == kind], min(u, v)
+        for k in range(0, len(p), 1_000_000 // w):
+            r, c = p[k : k + 1_000_000 // w], q[k : k + 1_000_000 // w]
+            least = np.minimum(x.outlines(r, u, w), y.outlines(c, v, w))
+            common = least.sum(axis=1, dtype=np.int64)
+            keep = (100 * common >= per_cent * (x.n[r] + y.n[c] - common)) | (least == 255).any(axis=1)
+            out.append((x.node[r[keep]], y.node[c[keep]]))
+    return out
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, per_cent: int) -> bool:
+    """False only if sets of n and m tokens with these outlines can't be similar enough."""
+    if max(x.max(initial=0), y.max(initial=0)) == 255:
+        return True
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    y = y.astype(np.int64).reshape(len(x), -1).sum(axis=1)
+    common = int(np.minimum(x, y).sum())
+    return 100 * common >= per_cent * (n + m - common)
+
+
 class Signer:
     """Signatures of a set, given the counts of its tokens. per_cent: the least Jaccard similarity of a link."""
 
@@ -55,7 +122,7 @@ class Signer:
         self.counts, self.per_cent = counts, per_cent
         mean = float(counts.sum()) / len(counts)
         # a counter above this holds a token that is frequent by itself, not just several rare ones
-        self.rare = mean + 6 * mean**0.5 + 8
+        self.rare = mean + 3 * mean**0.5 + 4
 
     def prefix_size(self, n: int) -> int:
         return n - -(-self.per_cent * n // 100) + 1
@@ -75,6 +142,8 @@ class Signer:
         count = self.counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
         frequent = count > self.rare
         rare, out = tokens[~frequent], []
+        # by count, then by hash: the count is a function of the token, so the order is the same for all documents
+        rare = rare[np.argsort(count[~frequent], kind="stable")]
         for tier in self.tiers(n):
             salt = np.uint64(0x9FB21C651E98DF25 * (tier + 1) & 0xFFFFFFFFFFFFFFFF)
             out.append(mix(rare[:need] + salt))
@@ -104,53 +173,62 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
-    hasher = WordHasher()
-    for batch in pieces(batches):
-        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            yield i, shingles(text, size, hasher)
-
-
-def _new_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[bytes, np.ndarray]]:
-    """The sets of a task, each once."""
+def _new_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The sets of a task, each once, under the id of the first document that has it."""
     seen: set[bytes] = set()
-    for _, tokens in _sets(batches, size):
-        if len(tokens) and (node := digest(tokens)) not in seen:
-            seen.add(node)
-            yield node, tokens
+    for batch in pieces(batches):
+        for i, tokens in zip(batch.column("doc_id").to_pylist(), shingles(batch.column("text").to_pylist(), size)):
+            if len(tokens) and (set_ := digest(tokens)) not in seen:
+                seen.add(set_)
+                yield i, tokens
 
 
-def link(docs: DataFrame, size: int = 5, per_cent: int = 75, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: the smallest doc_id that links of a similarity of at least
-    `per_cent` reach."""
-    texts = _texts(docs)
+def _described(texts: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, set, outline) of each row, and the counts of the corpus: both from one reading."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.binary()), ("outline", pa.binary()), ("coarse", pa.binary()), *Counters.schema])
+        counts, seen = Counters(), set()
         for batch in pieces(batches):
-            found = [shingles(t, size, hasher) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([digest(x) if len(x) else None for x in found], pa.binary())], ["doc_id", "n_shingles", "node"])
+            found = shingles(batch.column("text").to_pylist(), size)
+            sets = [digest(x) if len(x) else None for x in found]
+            new = [x for x, k in zip(found, sets) if k and k not in seen and not seen.add(k)]
+            if new:
+                counts.add(np.concatenate(new))
+            none = [None] * batch.num_rows
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": [len(x) for x in found], "set": sets, "outline": (fine := [outline(x) for x in found]), "coarse": [folded(np.frombuffer(x, np.uint8), 128).tobytes() for x in fine], "slice": none, "salt": none, "blob": none}, schema)
+        rows = counts.rows()
+        none = [None] * len(rows["slice"])
+        yield pa.RecordBatch.from_pydict({"doc_id": none, "n_shingles": none, "set": none, "outline": none, "coarse": none, **rows}, schema)
+
+    both = stored(texts.mapInArrow(describe, "doc_id bigint, n_shingles bigint, set binary, outline binary, coarse binary, slice int, salt int, blob binary"), "sets")
+    return both.where("doc_id is not null").select("doc_id", "n_shingles", "set", "outline", "coarse"), counters(both.where("slice is not null").select("slice", "salt", "blob"))
+
+
+def link(docs: DataFrame, size: int = 5, per_cent: int = 75, few: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row: the smallest doc_id that links of a similarity of at least
+    `per_cent` reach.
 
-    rows = stored(texts.mapInArrow(describe, "doc_id bigint, n_shingles bigint, node binary"), "sets")
-    nodes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n")))
+    few: how many signatures of each document take part in the first round, which finds most copies."""
+    texts = _texts(docs)
+    rows, counts = _described(texts, size)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
 
     spark = docs.sparkSession
-    sketch = counters(texts, lambda batches: (t for _, t in _new_sets(batches, size)))
-    signer = spark.sparkContext.broadcast(Signer(sketch, per_cent))
+    signer = spark.sparkContext.broadcast(Signer(counts, per_cent))
     shared = spark.sparkContext.broadcast(shared_hashes(texts, lambda batches: (signer.value.sign(t) for _, t in _new_sets(batches, size)), total // 3))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("sig", pa.int64()), ("node", pa.binary()), ("n", pa.int64())])
-        held: list[tuple[np.ndarray, bytes, int]] = []
+        held: list[tuple[np.ndarray, int, int]] = []
         count = 0
 
         def out() -> pa.RecordBatch:
             sizes = [len(s) for s, _, _ in held]
-            at = pa.array(np.repeat(np.arange(len(held)), sizes))
-            return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([s for s, _, _ in held]))), pa.array([x for _, x, _ in held], pa.binary()).take(at), pa.array([n for _, _, n in held], pa.int64()).take(at)], schema=schema)
+            of = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in held], kind), sizes))
+            rank = np.concatenate([np.arange(n) for n in sizes])
+            return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([s for s, _, _ in held]))), of(1, np.int64), of(2, np.int32), pa.array(rank < few)], ["sig", "node", "n", "early"])
 
         for node, tokens in _new_sets(batches, size):
             sigs = signer.value.sign(tokens)
@@ -164,69 +242,99 @@ def link(docs: DataFrame, size: int = 5, per_cent: int = 75, rounds: int = 2) ->
         if held:
             yield out()
 
-    postings = stored(texts.mapInArrow(index, "sig bigint, node binary, n bigint"), "postings")
-    labels = cut(nodes.select("node", F.col("node").alias("component")))
-    close = (F.least("n", "m") * 100 >= F.greatest("n", "m") * per_cent) & (F.col("node") != F.col("other"))
-
-    for k in range(rounds):
-        # every group's documents against one document of the group, another one each round
-        known = postings.join(labels, "node")
-        pick = F.xxhash64("node", F.lit(k))
-        hubs = known.groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("hub_component")), pick).alias("hub"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        hubs = stored(hubs.where("low != high").select("sig", "hub.*", "size"), "hubs")
-        if hubs.isEmpty():
-            break
-        pairs = known.join(hubs, "sig").where(close & (F.col("component") != F.col("hub_component")))
-        if k == 0:
-            # the hub of a document's largest group is the likeliest copy; the rounds after this one see to the others
-            pairs = pairs.groupBy("node").agg(F.max_by("other", F.struct("size", "other")).alias("other"))
-        labels = merged(labels, _verified(texts, nodes, pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), size, per_cent))
-
-    # what is left: within each signature's group, pairs of documents of different components
-    known = postings.join(labels, "node")
-    sides = stored(known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("sig"), "open")
-    if not sides.isEmpty():
-        open_ = stored(known.join(sides, "sig").groupBy("sig", "component").agg(F.collect_list(F.struct("node", "n")).alias("members")), "members")
-        other = open_.select("sig", F.col("component").alias("other_component"), F.col("members").alias("others"))
-        pairs = (
-            open_.join(other, "sig").where("component < other_component")
-            .select("others", F.explode("members").alias("x")).select("x.*", F.explode("others").alias("y")).select("node", "n", F.col("y.node").alias("other"), F.col("y.n").alias("m"))
-        )
-        pairs = pairs.where(close).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        labels = merged(labels, _verified(texts, nodes, pairs, size, per_cent))
-
-    named = stored(nodes.join(labels, "node").select("node", "doc", "component"), "named")
-    least = cut(named.groupBy("component").agg(F.min("doc").alias("component_id")))
-    of_node = cut(named.join(least, "component").select("node", "component_id"))
-    linked = rows.where("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by their whole sets."""
-    pairs = stored(pairs.distinct(), "pairs")
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = cut(nodes.join(some, "node").select("node", "doc"))
-    spark = texts.sparkSession
-    wanted: Bitmap = bitmap_of(asked.select("doc"))
-    filter_ = spark.sparkContext.broadcast(wanted)
+    postings = stored(texts.mapInArrow(index, "sig bigint, node bigint, n int, early boolean"), "postings")
+    # copies of a set are one component from the start
+    first = cut(rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("component"), F.count("*").alias("copies")).where("copies > 1").select("set", "component"))
+    labels = cut(rows.join(first, "set").groupBy(F.col("doc_id").alias("node")).agg(F.min("component").alias("component")))
+
+    known = stored(_known(postings.where("early"), labels), "known")
+    labels = merged(labels, _verified(texts, rows, _hub_pairs(known, 0, per_cent), size, per_cent))
+    known = _open(stored(_known(postings, labels), "known"))
+    labels = merged(labels, _verified(texts, rows, _hub_pairs(known, 1, per_cent), size, per_cent))
+    known = _open(stored(_known(known, labels), "known"))
+    labels = merged(labels, _verified(texts, rows, _rest_pairs(known, rows, per_cent), size, per_cent))
+
+    named = stored(rows.where("set is not null").join(labels, rows.doc_id == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "named")
+    return named.unionByName(rows.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _known(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with the component of their document."""
+    return postings.drop("component", "size").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+
+
+def _open(known: DataFrame) -> DataFrame:
+    """Postings of the signatures whose documents are not yet in one component; of signatures with just the same
+    documents (a shared passage has many), one stays."""
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same_{k}") for k in (1, 2)]
+    groups = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *same).where("low != high")
+    sigs = groups.groupBy("size", "same_1", "same_2").agg(F.min("sig").alias("sig")).select("sig", "size")
+    return stored(known.join(stored(sigs, "open"), "sig"), "open")
+
+
+def _close(per_cent: int):
+    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * per_cent) & (F.col("component") != F.col("other_component"))
+
+
+def _hub_pairs(known: DataFrame, salt: int, per_cent: int) -> DataFrame:
+    """(a, b): each document with one document of each of its groups, that of another component. Without salt, groups of much the same documents choose the same one; with it, each its own."""
+    hub = F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component")), F.xxhash64("node", *(["sig"] if salt else []), F.lit(salt)))
+    hubs = known.groupBy("sig").agg(hub.alias("hub"), F.count("*").alias("size")).where("size > 1").select("sig", "hub.*")
+    return known.join(stored(hubs, "hubs"), "sig").where(_close(per_cent)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
+def _rest_pairs(known: DataFrame, rows: DataFrame, per_cent: int, block: int = 256) -> DataFrame:
+    """(a, b): the pairs of a group's documents in different components that outlines don't rule out.
+
+    A group is dealt into blocks of about `block` documents; a task looks at two blocks at a time."""
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int").alias("part")
+    drawn = known.join(rows.select(F.col("doc_id").alias("node"), "coarse"), "node")
+    blocks = stored(drawn.groupBy("sig", part).agg(F.collect_list(F.struct("node", "n", "component", "coarse")).alias("members")), "blocks")
+    other = blocks.select("sig", F.col("part").alias("other_part"), F.col("members").alias("others"))
+    pairs = blocks.join(other, "sig").where("part <= other_part").select((F.col("part") == F.col("other_part")).alias("same"), "members", "others")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, same = batch.column("members"), batch.column("others"), batch.column("same").to_pylist()
+            found = [pair for k in range(batch.num_rows) for pair in possible_pairs(Members(left, k), None if same[k] else Members(right, k), per_cent)]
+            if found:
+                a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return pairs.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """The pairs (a, b) whose sets, made from the whole texts, are similar enough.
+
+    Outlines, some hundredth of a text in size, rule out most other pairs before any set is moved."""
+    of = lambda k: rows.select(F.col("doc_id").alias(k), F.col("outline").alias(f"{k}_outline"), F.col("n_shingles").alias(f"{k}_n"))
+    drawn = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("a_outline"), batch.column("b_outline")
+            n, m = batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist()
+            keep = [may_link(np.frombuffer(x[i].as_buffer(), np.uint8), np.frombuffer(y[i].as_buffer(), np.uint8), n[i], m[i], per_cent) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = stored(drawn.mapInArrow(sift, "a bigint, b bigint").distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    filter_ = texts.sparkSession.sparkContext.broadcast(bitmap_of(asked))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
-            keep = filter_.value.has(batch.column("h").to_numpy().view(np.uint64))
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(filter_.value.has(batch.column("h").to_numpy().view(np.uint64))))
             for part in pieces([batch]):
-                found = [shingles(t, size, hasher) for t in part.column("text").to_pylist()]
-                live = [x for x in found if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in live], pa.binary()), pa.array([x.tobytes() for x in live], pa.binary())], ["node", "tokens"])
+                found = shingles(part.column("text").to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "tokens"])
 
-    loaded = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(load, "node binary, tokens binary")
-    # copies of an asked set have the same node: one of them is enough
-    sets = stored(loaded.join(asked, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "asked")
+    # the bitmap lets few documents through that were not asked for; they meet no pair
+    sets = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(load, "doc_id bigint, tokens binary")
     both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +345,13 @@ def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, p
                 u, v = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
                 if len(u) > len(v):
                     u, v = v, u
+                if not len(u):
+                    keep.append(False)
+                    continue
                 at = np.searchsorted(v, u)
                 at[at == len(v)] = 0
-                both = int((v[at] == u).sum())
-                keep.append(100 * both >= per_cent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+                common = int((v[at] == u).sum())
+                keep.append(100 * common >= per_cent * (len(u) + len(v) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(compare, "a binary, b binary"), "links")
+    return stored(both.mapInArrow(compare, "a bigint, b bigint"), "links")

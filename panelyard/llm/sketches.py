@@ -33,19 +33,30 @@ class Bitmap:
         return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def counters(rows: DataFrame, hashes: Hashes) -> np.ndarray:
-    """How often hashes with the same leading bits came up. hashes: one array of different hashes a document."""
+class Counters:
+    """How often hashes with the same leading bits came up in a task."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, pack = np.zeros(1 << COUNTER_BITS, np.uint32), zstandard.ZstdCompressor(level=1)
-        for h in hashes(batches):
-            np.add.at(total, (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
-        # a slice goes out as the first of two levels of sums: 64 sums of a slice run side by side
-        salt = int(total[:4096].sum()) % 64
-        for k in range(0, len(total), _SLICE):
-            part = total[k : k + _SLICE]
+    schema = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("blob", pa.binary())])
+
+    def __init__(self) -> None:
+        self.total = np.zeros(1 << COUNTER_BITS, np.uint32)
+
+    def add(self, h: np.ndarray) -> None:
+        np.add.at(self.total, (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
+
+    def rows(self) -> dict[str, list]:
+        """slice, salt, blob: 64 sums of a slice can run side by side, as the first of two levels."""
+        pack, salt, out = zstandard.ZstdCompressor(level=1), int(self.total[:4096].sum()) % 64, {"slice": [], "salt": [], "blob": []}
+        for k in range(0, len(self.total), _SLICE):
+            part = self.total[k : k + _SLICE]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"slice": [k // _SLICE], "salt": [salt], "blob": [pack.compress(part.tobytes())]}, pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("blob", pa.binary())]))
+                for name, v in zip(out, (k // _SLICE, salt, pack.compress(part.tobytes()))):
+                    out[name].append(v)
+        return out
+
+
+def counters(parts: DataFrame) -> np.ndarray:
+    """The sum of the tasks' counters, from rows of slice, salt, blob."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total, unpack = np.zeros(_SLICE, np.uint64), zstandard.ZstdDecompressor()
@@ -55,7 +66,7 @@ def counters(rows: DataFrame, hashes: Hashes) -> np.ndarray:
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "salt": [0], "blob": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
 
     schema = "slice int, salt int, blob binary"
-    sums = rows.mapInArrow(local, schema).groupBy("slice", "salt").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    sums = parts.groupBy("slice", "salt").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
     out = np.zeros(1 << COUNTER_BITS, np.uint32)
     for r in sums.toLocalIterator():
         out[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["blob"])), np.uint32)
