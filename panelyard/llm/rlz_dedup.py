@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.sketches import FLUSH, bitmap_of, shared_hashes
-from panelyard.llm.text import WordHasher, pieces, stored, window_hashes, words
+from panelyard.llm.text import hash_words, pieces, stored, window_hashes, words
 
 MATCH = np.dtype([("at", "<i4"), ("ref_at", "<i4"), ("ref", "<i8")])
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i4"), ("at", "<i4")])
@@ -37,14 +37,17 @@ FACTORS = "array<struct<start:int,end:int,ref:bigint,ref_start:int>>"
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-    hasher = WordHasher()
     for batch in pieces(batches):
-        for i, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            yield (i, key), window_hashes(hasher.array(words(text)), window)
+        h, bounds = hash_words(batch.column("text").to_pylist())
+        w = window_hashes(h, window)
+        for owner, a, b in zip(zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()), bounds.tolist(), bounds[1:].tolist()):
+            yield owner, w[a : max(a, b - window + 1)]
 
 
 def _pack(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(array[f]).tobytes() for f in array.dtype.names))
+    """Column after column, all but hashes as differences."""
+    columns = [array[f] if f == "h" else np.diff(array[f], prepend=array.dtype[f].type(0)) for f in array.dtype.names]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
 def _unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
@@ -53,7 +56,8 @@ def _unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     out = np.empty(n, dtype)
     for f in dtype.names:
         size = dtype[f].itemsize * n
-        out[f] = np.frombuffer(raw[at : at + size], dtype[f])
+        column = np.frombuffer(raw[at : at + size], dtype[f])
+        out[f] = column if f == "h" else np.cumsum(column, dtype=dtype[f])
         at += size
     return out
 
@@ -83,11 +87,12 @@ def find_matches(texts: DataFrame, window: int) -> DataFrame:
     spark = texts.sparkSession
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     expected = total // 6  # words of about so many bytes; only balances the parts
-    parts_log = min(20, max(0, int(np.ceil(np.log2(max(1, expected / (2 * FLUSH)))))))
+    # the parts keep their number until they would get large, as each sends a document's matches in a row of its own
+    parts_log = min(20, max(4, int(np.ceil(np.log2(max(1, expected / (8 * FLUSH)))))))
     shared = spark.sparkContext.broadcast(shared_hashes(texts, lambda batches: (h for _, h in _hashes(batches, window)), expected))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("entries", pa.binary()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("matches", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("entries", pa.binary()), ("docs", pa.binary()), ("matches", pa.binary())])
         held: list[np.ndarray] = []
         owners: list[tuple[int, int]] = []
         count = 0
@@ -96,14 +101,18 @@ def find_matches(texts: DataFrame, window: int) -> DataFrame:
             docs = np.array(owners, DOC)
             entries, first = _first(np.concatenate(held), docs["id"])
             known = list(_matches(entries, first, docs))
-            rows = {"part": [None] * len(known), "entries": [None] * len(known), "docs": [None] * len(known), "doc_id": [k[0] for k in known], "key": [k[1] for k in known], "matches": [k[2] for k in known]}
+            # matches that are found already pass through the parts as well: one shuffle, and nothing is stored twice
+            rows = {
+                "part": [abs(k[0]) % (1 << parts_log) for k in known], "entries": [None] * len(known),
+                "docs": [_pack(np.array([k[:2]], DOC)) for k in known], "matches": [k[2] for k in known],
+            }
             entries = entries[docs["id"][entries["doc"]] == docs["id"][entries["doc"][first]]]
             part = (entries["h"] >> np.uint64(64 - parts_log)).astype(np.int64) if parts_log else np.zeros(len(entries), np.int64)
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             for a, b in zip(cut, [*cut[1:], len(entries)]):
-                some = entries[a:b].copy()
+                some = entries[a:b][np.lexsort((entries["at"][a:b], entries["doc"][a:b]))]
                 used, some["doc"] = np.unique(some["doc"], return_inverse=True)
-                for k, v in zip(rows, (int(part[a]), _pack(some), _pack(docs[used]), None, None, None)):
+                for k, v in zip(rows, (int(part[a]), _pack(some), _pack(docs[used]), None)):
                     rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema)
 
@@ -121,21 +130,24 @@ def find_matches(texts: DataFrame, window: int) -> DataFrame:
         if count:
             yield from out()
 
-    found = stored(texts.mapInArrow(index, "part int, entries binary, docs binary, doc_id bigint, key bigint, matches binary"), "windows")
-
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        # ids and keys come packed: pandas would turn long columns with gaps into doubles
+        known, across = pdf[pdf["entries"].isna()], pdf[pdf["entries"].notna()]
+        out = [(int(d["id"][0]), int(d["key"][0]), m) for d, m in ((_unpack(d, DOC), m) for d, m in zip(known["docs"], known["matches"]))]
         docs, entries, base = [], [], 0
-        for d, e in zip(pdf["docs"], pdf["entries"]):
+        for d, e in zip(across["docs"], across["entries"]):
             docs.append(_unpack(d, DOC))
             entries.append(_unpack(e, ENTRY))
             entries[-1]["doc"] += base
             base += len(docs[-1])
-        docs = np.concatenate(docs)
-        entries, first = _first(np.concatenate(entries), docs["id"])
-        return pd.DataFrame(list(_matches(entries, first, docs)), columns=["doc_id", "key", "matches"])
+        if entries:
+            docs = np.concatenate(docs)
+            entries, first = _first(np.concatenate(entries), docs["id"])
+            out += _matches(entries, first, docs)
+        return pd.DataFrame(out, columns=["doc_id", "key", "matches"])
 
-    across = found.where("part is not null").select("part", "entries", "docs").groupBy("part").applyInPandas(join, "doc_id bigint, key bigint, matches binary")
-    return found.where("part is null").select("doc_id", "key", "matches").unionByName(across)
+    found = texts.mapInArrow(index, "part int, entries binary, docs binary, matches binary")
+    return found.groupBy("part").applyInPandas(join, "doc_id bigint, key bigint, matches binary")
 
 
 def factors(matches: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
@@ -160,8 +172,9 @@ def factors(matches: np.ndarray, window: int) -> list[tuple[int, int, int, int]]
 def deduplicate(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, factors, kept (the other words, joined by one blank) of each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    matches = stored(find_matches(texts.where("doc_id is not null"), window), "matches")
-    flagged = docs.sparkSession.sparkContext.broadcast(bitmap_of(matches.select("doc_id")))
+    found = find_matches(texts.where("doc_id is not null"), window)
+    gathered = stored(found.groupBy("doc_id", "key").agg(F.collect_list("matches").alias("matches")), "matches")
+    flagged = docs.sparkSession.sparkContext.broadcast(bitmap_of(gathered.select("doc_id")))
     schema = f"doc_id bigint, n_words bigint, n_removed bigint, factors {FACTORS}, kept string"
 
     def result(ids: list, texts: list, found: list[list[tuple]]) -> pa.RecordBatch:
@@ -196,7 +209,6 @@ def deduplicate(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
 
     hashed = texts.withColumn("h", F.xxhash64("doc_id"))
     plain = hashed.mapInArrow(split(False), schema)
-    gathered = stored(matches.groupBy("doc_id", "key").agg(F.collect_list("matches").alias("matches")), "gathered")
     joined = hashed.mapInArrow(split(True), "doc_id bigint, key bigint, text binary").join(gathered, ["doc_id", "key"], "left")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
