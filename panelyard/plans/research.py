@@ -170,10 +170,10 @@ def calendar_period_ends(spark, sf_dir):
     return out[0]
 
 
-@query("WITH cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) SELECT date, lead(date, 5) OVER (ORDER BY date) AS shifted FROM cal")
+@query("WITH cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) SELECT date, CAST(lead(date, 5) OVER (ORDER BY date) AS VARCHAR) AS shifted FROM cal")
 def calendar_offset(spark, sf_dir):
     calendar = load(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
-    return asof.shifted(calendar, calendar, 5)
+    return asof.shifted(calendar, calendar, 5).withColumn("shifted", F.col("shifted").cast("string"))
 
 
 # ---- cross-sections ----------------------------------------------------------------------------------------------
@@ -269,9 +269,9 @@ def industry_equal_weights(spark, sf_dir):
     return neat(cross_section.industry_weights(sided, "s", "industry").select("code", "date", "weight"), "code", "date")
 
 
-@query(f"{PANEL}, {X_SQL}, {LABELS} SELECT date, CAST(label AS INTEGER) AS label, count(x) AS n, {R('avg(x)', 'mean')} FROM labels WHERE label IS NOT NULL GROUP BY CUBE (date, label)")
+@query(f"{PANEL}, {X_SQL}, {LABELS} SELECT CAST(date AS VARCHAR) AS date, CAST(label AS INTEGER) AS label, count(x) AS n, {R('avg(x)', 'mean')} FROM labels WHERE label IS NOT NULL GROUP BY CUBE (date, label)")
 def group_table(spark, sf_dir):
-    return neat(cross_section.group_table(labelled(spark, sf_dir), "label", "x"), "date", "label")
+    return neat(cross_section.group_table(labelled(spark, sf_dir), "label", "x").withColumn("date", F.col("date").cast("string")), "date", "label")
 
 
 @query(f"""{PANEL}, {X_SQL}, {LABELS} SELECT date, CAST(label AS INTEGER) AS label, count(x) AS n, {R('avg(x)', 'mean')}, {R('stddev_samp(x)', 'std')}, {R('min(x)', 'low')}, {R('quantile_cont(x, 0.25)', 'q25')},
