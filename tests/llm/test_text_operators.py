@@ -151,6 +151,21 @@ def test_base_scores_and_tree(docs, texts):
     assert all(r.score < 0 and r.train_tokens == n for r in found)
 
 
+def test_every_context_is_kept(docs, texts):
+    train = [t.encode() if t else b"" for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    keys, n = ctw._grams([t for t in train if t], 4)
+    keys, n = np.append(keys, np.uint64(2**32 - 1)), np.append(n, sum(not t for t in train))
+    grams = {}
+    for d in range(4):
+        u, i = np.unique((keys >> np.uint64(8)) % np.uint64(1 << 8 * d) * np.uint64(256) + keys % np.uint64(256), return_inverse=True)
+        grams[d] = ((u >> np.uint64(8)).astype(np.int64), (u % np.uint64(256)).astype(np.int64), np.bincount(i, n).astype(np.int64))
+    model = ctw.build(grams, 3)
+    want = sorted((i if i is not None else -1, len((t or "").encode()), float(model.symbols((t or "").encode()).sum(dtype=float))) for i, t in texts)
+    for limit in (20, 1 << 20):  # most grams joined, and all looked up
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.score) for r in ctw.score(docs, docs.where(~ctw.held_out()), depth=3, max_contexts=limit).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-4)
+
+
 def test_tree_probabilities_sum_to_one():
     keys, n = ctw._grams([b"abracadabra", b"banana"], 3)
     grams = {}
