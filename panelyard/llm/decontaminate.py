@@ -197,25 +197,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_words
     """Per document row: doc_id, n_words, spans of words inside a window of an item, and the items with such windows.
 
     docs: doc_id, text; items: item_id, text. Test words are held on driver and executors at most `max_words` at a
-    time; a larger test set goes through the same index in slices, each exact, whose results are then joined.
+    time; a larger test set goes through the same index in slices, each exact, whose results are then joined by a key that
+    each document row is given (and stored with) once.
     """
     spark = docs.sparkSession
     texts = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
     weight = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 + int(weight) // (2 * max_words)  # a word and its blank take two bytes at least
+    rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows") if slices > 1 else docs
     found: DataFrame | None = None
     for k in range(slices):
         part = texts if slices == 1 else texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
         phrases = [(r.item, w) for r in part.toLocalIterator() for w in windows_of(terms_of(bytes(r.text)), window)]
-        index = stored(build_index(docs, {t for _, w in phrases for t in w}), "postings")
+        index = stored(build_index(rows, {t for _, w in phrases for t in w}, "doc_id" if slices == 1 else "row"), "postings")
         hits = phrase_search(index, phrases, term_counts(index))
         if slices > 1:
             # blocks differ from slice to slice, so results meet by document row
-            hits = hits.select("doc_id", "n_words", "spans", "items")
+            hits = hits.select(F.col("doc_id").alias("row"), "n_words", "spans", "items")
         found = hits if found is None else found.unionByName(hits)
     if slices == 1:
         return found.select("doc_id", "n_words", "spans", "items")
-    joined = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = rows.select("row", F.col("doc_id").cast("long").alias("doc_id")).join(joined, "row").select("doc_id", "n_words", "spans", "items")
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

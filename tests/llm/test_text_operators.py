@@ -122,6 +122,16 @@ def test_decontamination(spark, docs, texts):
     assert {r.item for r in near} == {"q"}
 
 
+def test_decontamination_in_slices(spark, docs, texts):
+    shared = WORD.findall(next(t for _, t in texts if t and len(WORD.findall(t)) == 70))
+    more = spark.createDataFrame([(None, "two words"), (None, "no hits"), (7777, "two words"), (7777, "no hits"), (7777, "no hits")], "doc_id bigint, text string")
+    rows = docs.select("doc_id", "text").unionByName(more)
+    frame = spark.createDataFrame([(1, " ".join(shared[10:40])), (3, None), (5, "Two   WORDS"), (12, " ".join(shared[35:52]))], "item_id int, text string")
+    key = lambda r: (r.doc_id if r.doc_id is not None else -1, r.n_words, [(s.first, s.last) for s in r.spans], sorted(r["items"]))
+    once, sliced = (sorted(map(key, decontaminate.decontaminate(rows, frame, max_words=limit).collect())) for limit in (10**6, 20))
+    assert len(once) == len(texts) + 5 and sliced == once
+
+
 def test_id_store_round_trip(docs, texts):
     from tokenizers import Tokenizer
 
