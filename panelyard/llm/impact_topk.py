@@ -7,8 +7,12 @@ query's weights left over, and what is processed is off by at most half a level'
 other vector is below the k-th best lower bound, the rest cannot matter: only the possible members are then scored
 exactly. Shards and query blocks meet by an equi-join on the shard number.
 
-Cases: a vector that is null, or holds a null or a component that is not finite (or of 2**20 or more in size, whose
-products would not fit a long), takes no part; shorter vectors count as padded with zeros; rows with the same vec_id as
+Vectors with components so large that sums of doubles could be inexact are not indexed: their scores are computed one
+by one, as long or, where those could overflow, as Python integers. So every score is exact at any size; one that does
+not fit a long is ranked by its true value and given as the nearest long.
+
+Cases: a vector that is null, or holds a null or a component that is not finite (or whose quantised value is no long,
+where SQL fails), takes no part; shorter vectors count as padded with zeros; rows with the same vec_id as
 the query are its own and no candidates; a repeated query row gives its result once; an empty table gives an empty
 result; extra columns are ignored; rows with a null id take no part.
 """
@@ -22,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Quantised values below this can be indexed, as far as the number of dimensions lets sums of doubles stay exact.
 LIMIT = 1 << 20
+LONG = 1 << 63
 
 
 def quantised(embedding: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) of each component as int; null if the vector takes no part."""
+    """floor(scale * x) of each component as long; null if the vector takes no part."""
     values = F.transform(embedding, lambda x: x.cast("double") * scale)
-    fine = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT))
-    return F.when(embedding.isNotNull() & fine, F.transform(values, lambda x: F.floor(x).cast("int")))
+    fine = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= -float(LONG)) & (x < float(LONG)))
+    return F.when(embedding.isNotNull() & fine, F.transform(values, lambda x: F.floor(x).cast("long")))
 
 
 class ImpactIndex:
@@ -83,6 +89,28 @@ class ImpactIndex:
         return [x if x is not None else (np.empty(0, np.int64), np.empty(0, np.int64)) for x in out]
 
 
+def exact_top(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same as ImpactIndex.top, from all scores, at any size of the values; scores are Python integers if need be."""
+    most = np.abs(vectors.astype(np.float64)).max(initial=0) * np.abs(queries.astype(np.float64)).sum(axis=1).max(initial=0)
+    kind = np.int64 if most < LONG // 2 else object
+    scores = queries.astype(kind) @ vectors.T.astype(kind)
+    out = []
+    for row, q in zip(scores, own):
+        some = np.flatnonzero(ids != q)
+        if kind is object:
+            best = np.array(sorted(some.tolist(), key=lambda i: (-row[i], ids[i]))[:k], np.int64)
+        else:
+            best = some[np.lexsort((ids[some], -row[some]))[:k]]
+        out.append((row[best], ids[best]))
+    return out
+
+
+def small(vectors: np.ndarray) -> np.ndarray:
+    """Whether each vector can be indexed: with such queries all sums stay below 2**51, in halves, so exact in doubles."""
+    limit = min(float(LIMIT), (2.0**51 / max(1, vectors.shape[1])) ** 0.5)
+    return np.abs(vectors.astype(np.float64)).max(axis=1, initial=0) < limit
+
+
 def _matrix(rows: list[dict], size: int) -> tuple[np.ndarray, np.ndarray]:
     m = np.zeros((len(rows), size), np.int64)
     for i, r in enumerate(rows):
@@ -111,13 +139,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
                 size = max(len(r["v"]) for x in ("shard_rows", "block_rows") for r in row[x])
                 ids, matrix = _matrix(row["shard_rows"], size)
                 own, wanted = _matrix(row["block_rows"], size)
-                index = ImpactIndex(ids, matrix)
-                found = [x for a in range(0, len(own), 128) for x in index.top(wanted[a : a + 128], own[a : a + 128], k)]
+                plain, asked = small(matrix), small(wanted)
+                index = ImpactIndex(ids[plain], matrix[plain])
+                pairs = []
+                for a in range(0, len(own), 128):
+                    some, of, few = wanted[a : a + 128], own[a : a + 128], asked[a : a + 128]
+                    if few.any() and plain.any():
+                        pairs += zip(of[few], index.top(some[few], of[few], k))
+                    if few.any() and not plain.all():
+                        pairs += zip(of[few], exact_top(ids[~plain], matrix[~plain], some[few], of[few], k))
+                    if not few.all():
+                        pairs += zip(of[~few], exact_top(ids, matrix, some[~few], of[~few], k))
+                scores = [int(x) for _, (s, _) in pairs for x in s]
                 yield pa.RecordBatch.from_pydict(
-                    {"query_id": np.repeat(own, [len(s) for s, _ in found]), "vec_id": np.concatenate([x for _, x in found]), "score": np.concatenate([s for s, _ in found])},
-                    pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]),
-                )
-
-    found = spread.join(shards, "shard").select("shard_rows", "block_rows").mapInArrow(score, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                    {
+                        "query_id": [int(q) for q, (s, _) in pairs for _ in s], "vec_id": [int(x) for _, (_, v) in pairs for x in v], "score": [max(-LONG, min(LONG - 1, x)) for x in scores],
+                        "high": [x >> 96 for x in scores], "middle": [(x >> 48) & ((1 << 48) - 1) for x in scores], "low": [x & ((1 << 48) - 1) for x in scores],
+                    }, pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score", "high", "middle", "low")]),
+                )
+
+    found = spread.join(shards, "shard").select("shard_rows", "block_rows").mapInArrow(score, "query_id bigint, vec_id bigint, score bigint, high bigint, middle bigint, low bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("middle"), F.desc("low"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

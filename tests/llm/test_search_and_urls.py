@@ -24,6 +24,24 @@ def test_top_k(spark):
     assert impact_topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(60)]
+    sizes = (5e3, 1e7, 1e9, 1e14, 3e16)  # up to scores that fit no long
+    rows += [(100 + i, [rng.gauss(0, 1) * sizes[i % 5] if j == i % 4 else rng.gauss(0, 0.2) for j in range(4)]) for i in range(20)]
+    rows += [(200, [-(2.0**55), 0.0, 0.0, 0.0]), (201, [2.0**55, 0.0, 0.0, 0.0]), (202, [float("inf")] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    fine = {i: [math.floor(256 * x) for x in v] for i, v in rows if i < 201}
+    for shard, block in ((4096, 512), (10, 3)):
+        got = {}
+        for r in impact_topk.search(vectors, vectors, 5, shard_rows=shard, query_rows=block).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert set(got) == set(fine)
+        for q in fine:
+            best = sorted(((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q))[:5]
+            assert sorted(got[q]) == [(k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/fr/", "block"), ("a.net", "", "block"), ("a.net", "/x", "allow"), ("b.org", "/p/q", "block"), ("b.org", "/p/q", "allow")]
 
 
