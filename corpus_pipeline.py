@@ -28,25 +28,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col("lang_pred") != lang_cnn.UNDETERMINED).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Each row with a key of its own, stored so that it stays the same: ids can be null or repeated."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows that repeat an id, one row.
+    """Of each group of linked rows the one with the smallest id stays (rows without an id come last).
 
-    Rows without an id have no identity to be a copy of, and stay."""
-    linked = jaccard_join.link(docs.select("doc_id", "text"), size=5, per_cent=75)
-    leave = stored(linked.where("doc_id != component_id").select("doc_id").distinct(), "copies")
-    kept = docs.select(*COLUMNS).join(leave, "doc_id", "left_anti")
-    repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept.select(*COLUMNS)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    Rows are judged one by one: rows of the same id stay if their texts are not linked, as do all texts without words."""
+    rows = _keyed(docs)
+    linked = jaccard_join.link(rows.select(F.col("row").alias("doc_id"), "text"), size=5, per_cent=75).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
+    stay = stored(linked.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row"), "stay")
+    return rows.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten words in a row of a benchmark item (or all of a shorter one)."""
-    found = decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
-    leave = stored(found.where((F.size("spans") > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(leave, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops rows that hold ten words in a row of a benchmark item (or all of a shorter one), whatever their ids."""
+    rows = _keyed(docs)
+    found = decontaminate.decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), window=10)
+    leave = stored(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("row")), "contaminated")
+    return rows.join(leave, "row", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
