@@ -9,16 +9,17 @@ cannot have lost all its signatures. (This holds for the document whose prefix e
 prefix reaches at least as far.) The number of classes has to follow the size of the set, so sizes fall into tiers, and
 a document belongs to each tier in which a similar document may be.
 
-Only signatures found in two documents or more are shuffled (a bitmap of fixed size filters the others). Documents with
-the same set are one node from the start. Each signature's documents are compared with few documents of the group
-first, and components merged; only pairs that are still in different components are then compared, in blocks, where
-outlines of their sets (counts of tokens by leading bits) don't rule them out. So a group of many copies costs a few
-comparisons for each, while no link between different components is lost.
+Documents with the same set are one component from the start. Each signature's documents are first compared with the one
+of them that has the smallest id, which joins most copies. Then only documents that are not in their group's largest
+component are compared with the group's others: documents stand in blocks of bounded size, a document asks for a block
+once however many groups name it, and a block is compared with a document at one go, token by token. So a group of many
+copies costs a few comparisons for each, no pair of documents is ever a row, and no link between different components
+is lost.
 
 Cases: a null text, and a text without words, has the empty set, is linked with nothing and is its own component; a
-text of fewer words than a shingle is one shingle; copies are linked; rows with a null id have no identity and take no
-part; rows that share an id are each given, but are linked with what any of them is linked with; an empty table gives
-an empty result; extra columns are ignored.
+text of fewer words than a shingle is one shingle; copies are linked; rows with a null id are linked like others, and have
+the smallest id that they reach, or null (ids are below 2**62); rows that share an id are each given, but are linked with
+what any of them is linked with; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +27,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.graph import cut, merged
-from panelyard.llm.sketches import COUNTER_BITS, Counters, bitmap_of, counters, shared_hashes
+from panelyard.llm.sketches import COUNTER_BITS, Counters, bitmap_of, counters
 from panelyard.llm.text import as_long, hash_words, mix, pieces, stored, window_hashes
 
 #: The smallest set of each tier; tier k > 0 has FIRST_SIZE[k] // 2 classes of frequent shingles, the first tier has none.
 FIRST_SIZE = (0, 16, 128, 1024, 8192, 65536, 524288)
+#: Tokens found so much more often than others are frequent.
+FREQUENT = 250
+#: Tokens of the sets of a block.
+BLOCK = 1 << 17
+#: Rows without an id go by numbers from here on.
+UNNAMED = 1 << 62
 
 
 def shingles(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -53,68 +61,6 @@ def digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def outline(tokens: np.ndarray) -> bytes:
-    """How many tokens begin with which bits, about three a count: two outlines bound what their sets have in common."""
-    bits = max(0, int(len(tokens) // 3).bit_length())
-    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
-
-
-def folded(x: np.ndarray, size: int) -> np.ndarray:
-    """An outline with `size` counts at most; 255 stands for any count from there on."""
-    return np.minimum(x.astype(np.int64).reshape(size, -1).sum(axis=1), 255).astype(np.uint8) if len(x) > size else x
-
-
-class Members:
-    """A group's documents as arrays: node, n, component, and outlines of a power of two counts each."""
-
-    def __init__(self, column: pa.ListArray, row: int):
-        a, b = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
-        part = column.values.slice(a, b - a)
-        self.node, self.n, self.component = (part.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("node", "n", "component"))
-        coarse = part.field("coarse")
-        at = np.frombuffer(coarse.buffers()[1], np.int32)[coarse.offset : coarse.offset + len(coarse) + 1].astype(np.int64)
-        self.start, self.size, self.data = at[:-1], np.diff(at), np.frombuffer(coarse.buffers()[2], np.uint8)
-
-    def outlines(self, at: np.ndarray, size: int, fold: int) -> np.ndarray:
-        rows = self.data[self.start[at][:, None] + np.arange(size)]
-        return rows if size == fold else np.minimum(rows.reshape(len(at), fold, -1).sum(axis=2, dtype=np.int64), 255).astype(np.uint8)
-
-
-def possible_pairs(x: Members, y: Members | None, per_cent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different components that sizes and outlines don't rule out, between two lists of members or, without a
-    second one, within the first."""
-    same, y = y is None, y if y is not None else x
-    wanted = x.component[:, None] != y.component[None, :]
-    wanted &= np.minimum(x.n[:, None], y.n[None, :]) * 100 >= np.maximum(x.n[:, None], y.n[None, :]) * per_cent
-    if same:
-        wanted &= x.node[:, None] < y.node[None, :]
-    i, j = np.nonzero(wanted)
-    out = []
-    if not len(i):
-        return out
-    kinds = x.size[i] * 256 + y.size[j]
-    for kind in np.unique(kinds):
-        u, v = divmod(int(kind), 256)
-        p, q, w = i[kinds == kind], j[kinds == kind], min(u, v)
-        for k in range(0, len(p), 1_000_000 // w):
-            r, c = p[k : k + 1_000_000 // w], q[k : k + 1_000_000 // w]
-            least = np.minimum(x.outlines(r, u, w), y.outlines(c, v, w))
-            common = least.sum(axis=1, dtype=np.int64)
-            keep = (100 * common >= per_cent * (x.n[r] + y.n[c] - common)) | (least == 255).any(axis=1)
-            out.append((x.node[r[keep]], y.node[c[keep]]))
-    return out
-
-
-def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, per_cent: int) -> bool:
-    """False only if sets of n and m tokens with these outlines can't be similar enough."""
-    if max(x.max(initial=0), y.max(initial=0)) == 255:
-        return True
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    y = y.astype(np.int64).reshape(len(x), -1).sum(axis=1)
-    common = int(np.minimum(x, y).sum())
-    return 100 * common >= per_cent * (n + m - common)
-
-
 class Signer:
     """Signatures of a set, given the counts of its tokens. per_cent: the least Jaccard similarity of a link."""
 
@@ -122,7 +68,7 @@ class Signer:
         self.counts, self.per_cent = counts, per_cent
         mean = float(counts.sum()) / len(counts)
         # a counter above this holds a token that is frequent by itself, not just several rare ones
-        self.rare = mean + 3 * mean**0.5 + 4
+        self.rare = mean + 3 * mean**0.5 + FREQUENT
 
     def prefix_size(self, n: int) -> int:
         return n - -(-self.per_cent * n // 100) + 1
@@ -169,189 +115,155 @@ class Signer:
         return np.unique(np.concatenate(out))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(node, doc_id, text): a row without an id goes by a hash of its text that stands above all ids."""
+    unnamed = F.expr(f"(xxhash64(coalesce(text, '')) & {UNNAMED - 1}L) + {UNNAMED}L")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).select(F.coalesce("doc_id", unnamed).alias("node"), "doc_id", "text")
 
 
-def _new_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The sets of a task, each once, under the id of the first document that has it."""
-    seen: set[bytes] = set()
-    for batch in pieces(batches):
-        for i, tokens in zip(batch.column("doc_id").to_pylist(), shingles(batch.column("text").to_pylist(), size)):
-            if len(tokens) and (set_ := digest(tokens)) not in seen:
-                seen.add(set_)
-                yield i, tokens
-
-
-def _described(texts: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, set, outline) of each row, and the counts of the corpus: both from one reading."""
+def _described(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(node, doc_id, n, set) of each row; (node, n, tokens) of each set that is new to its task; and the counts of the
+    corpus: all from one reading of the texts."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.binary()), ("outline", pa.binary()), ("coarse", pa.binary()), *Counters.schema])
+        schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("tokens", pa.binary()), *Counters.schema])
         counts, seen = Counters(), set()
         for batch in pieces(batches):
             found = shingles(batch.column("text").to_pylist(), size)
             sets = [digest(x) if len(x) else None for x in found]
-            new = [x for x, k in zip(found, sets) if k and k not in seen and not seen.add(k)]
-            if new:
-                counts.add(np.concatenate(new))
+            new = [bool(k) and k not in seen and not seen.add(k) for k in sets]
+            if any(new):
+                counts.add(np.concatenate([x for x, is_new in zip(found, new) if is_new]))
             none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": [len(x) for x in found], "set": sets, "outline": (fine := [outline(x) for x in found]), "coarse": [folded(np.frombuffer(x, np.uint8), 128).tobytes() for x in fine], "slice": none, "salt": none, "blob": none}, schema)
+            tokens = [x.tobytes() if is_new else None for x, is_new in zip(found, new)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "doc_id": batch.column("doc_id"), "n": [len(x) for x in found], "set": sets, "tokens": tokens, "slice": none, "salt": none, "blob": none}, schema)
         rows = counts.rows()
         none = [None] * len(rows["slice"])
-        yield pa.RecordBatch.from_pydict({"doc_id": none, "n_shingles": none, "set": none, "outline": none, "coarse": none, **rows}, schema)
+        yield pa.RecordBatch.from_pydict({"node": none, "doc_id": none, "n": none, "set": none, "tokens": none, **rows}, schema)
 
-    both = stored(texts.mapInArrow(describe, "doc_id bigint, n_shingles bigint, set binary, outline binary, coarse binary, slice int, salt int, blob binary"), "sets")
-    return both.where("doc_id is not null").select("doc_id", "n_shingles", "set", "outline", "coarse"), counters(both.where("slice is not null").select("slice", "salt", "blob"))
+    both = stored(texts.mapInArrow(describe, "node bigint, doc_id bigint, n bigint, set binary, tokens binary, slice int, salt int, blob binary"), "sets")
+    counts = counters(both.where("slice is not null").select("slice", "salt", "blob"))
+    return both.where("node is not null").select("node", "doc_id", "n", "set"), both.where("tokens is not null").select("node", "n", "tokens"), counts
 
 
-def link(docs: DataFrame, size: int = 5, per_cent: int = 75, few: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: the smallest doc_id that links of a similarity of at least
-    `per_cent` reach.
-
-    few: how many signatures of each document take part in the first round, which finds most copies."""
-    texts = _texts(docs)
-    rows, counts = _described(texts, size)
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    if not total:
-        return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-
-    spark = docs.sparkSession
-    signer = spark.sparkContext.broadcast(Signer(counts, per_cent))
-    shared = spark.sparkContext.broadcast(shared_hashes(texts, lambda batches: (signer.value.sign(t) for _, t in _new_sets(batches, size)), total // 3))
+def _postings(sets: DataFrame, counts: np.ndarray, per_cent: int) -> DataFrame:
+    """(sig, node, n) of all signatures of all sets."""
+    signer = sets.sparkSession.sparkContext.broadcast(Signer(counts, per_cent))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int, int]] = []
-        count = 0
-
-        def out() -> pa.RecordBatch:
-            sizes = [len(s) for s, _, _ in held]
-            of = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in held], kind), sizes))
-            rank = np.concatenate([np.arange(n) for n in sizes])
-            return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([s for s, _, _ in held]))), of(1, np.int64), of(2, np.int32), pa.array(rank < few)], ["sig", "node", "n", "early"])
-
-        for node, tokens in _new_sets(batches, size):
-            sigs = signer.value.sign(tokens)
-            sigs = sigs[shared.value.has(sigs)]
-            if len(sigs):
-                held.append((sigs, node, len(tokens)))
-                count += len(sigs)
-            if count > 50_000:
-                yield out()
-                held, count = [], 0
-        if held:
-            yield out()
-
-    postings = stored(texts.mapInArrow(index, "sig bigint, node bigint, n int, early boolean"), "postings")
-    # copies of a set are one component from the start
-    first = cut(rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("component"), F.count("*").alias("copies")).where("copies > 1").select("set", "component"))
-    labels = cut(rows.join(first, "set").groupBy(F.col("doc_id").alias("node")).agg(F.min("component").alias("component")))
-
-    known = stored(_known(postings.where("early"), labels), "known")
-    labels = merged(labels, _verified(texts, rows, _hub_pairs(known, 0, per_cent), size, per_cent))
-    known = _open(stored(_known(postings, labels), "known"))
-    labels = merged(labels, _verified(texts, rows, _hub_pairs(known, 1, per_cent), size, per_cent))
-    known = _open(stored(_known(known, labels), "known"))
-    labels = merged(labels, _verified(texts, rows, _rest_pairs(known, rows, per_cent), size, per_cent))
-
-    named = stored(rows.where("set is not null").join(labels, rows.doc_id == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "named")
-    return named.unionByName(rows.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        for batch in pieces(batches, "tokens"):
+            sigs = [signer.value.sign(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column("tokens")]
+            at = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(sigs))), batch.column("node").take(pa.array(at)), batch.column("n").take(pa.array(at))], ["sig", "node", "n"])
 
+    return sets.mapInArrow(index, "sig bigint, node bigint, n bigint")
 
-def _known(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings with the component of their document."""
-    return postings.drop("component", "size").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
 
-
-def _open(known: DataFrame) -> DataFrame:
-    """Postings of the signatures whose documents are not yet in one component; of signatures with just the same
-    documents (a shared passage has many), one stays."""
+def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row: the smallest doc_id that links of a similarity of at least
+    `per_cent` reach."""
+    rows, sets, counts = _described(_keyed(docs), size)
+    # copies of a set are one component from the start
+    first = rows.where("set is not null").groupBy("set").agg(F.min("node").alias("component"), F.max("node").alias("last")).where("component != last").select("set", "component")
+    labels = cut(rows.join(first, "set").groupBy("node").agg(F.min("component").alias("component")))
+
+    postings = stored(_postings(sets, counts, per_cent), "postings")
+    groups = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
+    shared = stored(postings.join(groups, "sig"), "shared")
+    pairs = stored(shared.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("common")).select("node", "hub"), "pairs")
+    hubs, tokens = pairs.select("hub").distinct().count(), sets.agg(F.avg("n")).first()[0] or 0
+    block = F.pmod(F.xxhash64("hub"), F.lit(1 + int(hubs * tokens) // BLOCK)).alias("block")
+    labels = merged(labels, _linked(sets, pairs.select(block, F.col("hub").alias("node")).distinct(), pairs.select(block, "node").distinct(), labels, per_cent))
+    open_ = _open(shared, labels)
+    labels = merged(labels, _linked(sets, *_blocks(open_, BLOCK, per_cent), labels, per_cent))
+
+    named = rows.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    return named.withColumn("component_id", F.when(F.col("component_id") < UNNAMED, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, n, component) of the groups whose documents are not yet in one component; of groups with just the
+    same documents (a shared passage makes many), one stays."""
+    known = stored(shared.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component")), "known")
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same_{k}") for k in (1, 2)]
     groups = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *same).where("low != high")
-    sigs = groups.groupBy("size", "same_1", "same_2").agg(F.min("sig").alias("sig")).select("sig", "size")
-    return stored(known.join(stored(sigs, "open"), "sig"), "open")
-
-
-def _close(per_cent: int):
-    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * per_cent) & (F.col("component") != F.col("other_component"))
-
-
-def _hub_pairs(known: DataFrame, salt: int, per_cent: int) -> DataFrame:
-    """(a, b): each document with one document of each of its groups, that of another component. Without salt, groups of much the same documents choose the same one; with it, each its own."""
-    hub = F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component")), F.xxhash64("node", *(["sig"] if salt else []), F.lit(salt)))
-    hubs = known.groupBy("sig").agg(hub.alias("hub"), F.count("*").alias("size")).where("size > 1").select("sig", "hub.*")
-    return known.join(stored(hubs, "hubs"), "sig").where(_close(per_cent)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-
-
-def _rest_pairs(known: DataFrame, rows: DataFrame, per_cent: int, block: int = 256) -> DataFrame:
-    """(a, b): the pairs of a group's documents in different components that outlines don't rule out.
-
-    A group is dealt into blocks of about `block` documents; a task looks at two blocks at a time."""
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int").alias("part")
-    drawn = known.join(rows.select(F.col("doc_id").alias("node"), "coarse"), "node")
-    blocks = stored(drawn.groupBy("sig", part).agg(F.collect_list(F.struct("node", "n", "component", "coarse")).alias("members")), "blocks")
-    other = blocks.select("sig", F.col("part").alias("other_part"), F.col("members").alias("others"))
-    pairs = blocks.join(other, "sig").where("part <= other_part").select((F.col("part") == F.col("other_part")).alias("same"), "members", "others")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right, same = batch.column("members"), batch.column("others"), batch.column("same").to_pylist()
-            found = [pair for k in range(batch.num_rows) for pair in possible_pairs(Members(left, k), None if same[k] else Members(right, k), per_cent)]
-            if found:
-                a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    return pairs.mapInArrow(compare, "a bigint, b bigint")
-
-
-def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, made from the whole texts, are similar enough.
-
-    Outlines, some hundredth of a text in size, rule out most other pairs before any set is moved."""
-    of = lambda k: rows.select(F.col("doc_id").alias(k), F.col("outline").alias(f"{k}_outline"), F.col("n_shingles").alias(f"{k}_n"))
-    drawn = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    return stored(known.join(groups.groupBy("size", "same_1", "same_2").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "open")
+
+
+def _blocks(open_: DataFrame, limit: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """(block, node) of all documents of the groups, and (block, node) of those that have to be compared with a block.
+
+    Two documents of a group that are in different components are not both in its largest one: each document of
+    another component asks for the blocks of the group's documents, once for all its groups. Blocks hold `limit` tokens
+    or so, of documents of one size class: of one large component, or of small ones."""
+    # a little wider than the ratio of sizes that can link, so that such sizes are never two classes apart
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(101 / per_cent))).cast("int")
+    open_ = open_.withColumn("size_class", size_class)
+    nodes = open_.select("node", "n", "component", "size_class").distinct()
+    totals = nodes.groupBy("component", "size_class").agg(F.sum("n").alias("total"))
+    small = totals.where(F.col("total") * 8 < limit).groupBy("size_class").agg(F.sum("total").alias("small"))
+    of_small = F.col("total") * 8 < limit
+    part = lambda c, total: F.pmod(F.xxhash64(c), F.ceil(F.col(total) / limit))
+    block = F.when(of_small, F.xxhash64("size_class", part("component", "small"))).otherwise(F.xxhash64("size_class", "component", part("node", "total")))
+    dealt = nodes.join(totals, ["component", "size_class"]).join(small, "size_class", "left")
+    members = stored(dealt.select("node", block.alias("block"), F.when(~of_small, F.col("component")).alias("owner")), "members")
+
+    largest = open_.groupBy("sig", "component").agg(F.count("*").alias("size")).groupBy("sig").agg(F.max(F.struct("size", "component")).alias("most")).select("sig", F.col("most.component").alias("largest"))
+    asking = open_.join(largest, "sig").where("component != largest").select("sig", "node", "component", F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1)).alias("size_class"))
+    chunk = F.pmod(F.xxhash64("block"), F.lit(64)).alias("chunk")
+    asked = open_.select("sig", "node", "size_class").join(members, "node").groupBy("sig", "size_class", "owner", chunk).agg(F.collect_set("block").alias("blocks"))
+    wanted = asking.join(asked, ["sig", "size_class"]).where("owner is null or owner != component")
+    requests = wanted.groupBy("node", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")).select("node", F.explode("blocks").alias("block"))
+    return members.select("block", "node"), stored(requests, "requests")
+
+
+def _linked(sets: DataFrame, members: DataFrame, requests: DataFrame, labels: DataFrame, per_cent: int, most: int = 1024) -> DataFrame:
+    """(a, b): documents that ask for a block with members of it that are similar enough, one of each other component.
+
+    A task holds one block and at most about `most` of those that ask for it; a block that more ask for is copied."""
+    asked = requests.groupBy("block").agg(F.ceil(F.count("*") / most).cast("int").alias("copies"))
+    inside = members.join(asked, "block").select("node", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("member"))
+    asking = requests.join(asked, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(False).alias("member"))
+    places = inside.unionByName(asking).groupBy("node").agg(F.collect_list(F.struct("block", "copy", "member")).alias("places"))
+    places = stored(places.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "places"), "places")
+    wanted = sets.sparkSession.sparkContext.broadcast(bitmap_of(places.select("node")))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("a_outline"), batch.column("b_outline")
-            n, m = batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist()
-            keep = [may_link(np.frombuffer(x[i].as_buffer(), np.uint8), np.frombuffer(y[i].as_buffer(), np.uint8), n[i], m[i], per_cent) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = stored(drawn.mapInArrow(sift, "a bigint, b bigint").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    filter_ = texts.sparkSession.sparkContext.broadcast(bitmap_of(asked))
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(filter_.value.has(batch.column("h").to_numpy().view(np.uint64))))
-            for part in pieces([batch]):
-                found = shingles(part.column("text").to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "tokens"])
-
-    # the bitmap lets few documents through that were not asked for; they meet no pair
-    sets = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(load, "doc_id bigint, tokens binary")
-    both = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = []
-            for i in range(batch.num_rows):
-                u, v = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                if not len(u):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(v, u)
-                at[at == len(v)] = 0
-                common = int((v[at] == u).sum())
-                keep.append(100 * common >= per_cent * (len(u) + len(v) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return stored(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+            yield batch.filter(pa.array(wanted.value.has(batch.column("h").to_numpy().view(np.uint64)))).select(["node", "tokens"])
+
+    # the bitmap lets few sets through that nothing asks for; the join drops them
+    some = sets.select("node", "tokens", F.xxhash64("node").alias("h")).mapInArrow(sift, "node bigint, tokens binary")
+    dealt = some.join(places, "node").select("node", "component", "tokens", F.explode("places").alias("place")).select("node", "component", "tokens", "place.*")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        block, asking = rows[rows["member"]], rows[~rows["member"]]
+        found = Block(block["node"].to_numpy(), block["component"].to_numpy(), block["tokens"].tolist()) if len(block) and len(asking) else None
+        out = [(s, x) for s, c, t in zip(asking["node"], asking["component"], asking["tokens"]) for x in found.like(np.frombuffer(t, np.uint64), c, per_cent)] if found else []
+        return pd.DataFrame({"a": np.array([a for a, _ in out], np.int64), "b": np.array([b for _, b in out], np.int64)})
+
+    return stored(dealt.groupBy("block", "copy").applyInPandas(compare, "a bigint, b bigint"), "links")
+
+
+class Block:
+    """Some sets, ready to be compared with others: their tokens in order, each with the set it is of."""
+
+    def __init__(self, nodes: np.ndarray, components: np.ndarray, tokens: list[bytes]):
+        self.nodes, self.components = nodes, components
+        sets = [np.frombuffer(t, np.uint64) for t in tokens]
+        self.sizes = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, self.of = every[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        self.tokens, self.bounds = every[first], np.r_[first, len(every)]
+
+    def like(self, tokens: np.ndarray, component: int, per_cent: int) -> list[int]:
+        """A similar enough set of each component but the one given."""
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        at = at[self.tokens[at] == tokens]
+        start, times = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        inside = np.repeat(start - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        common = np.bincount(self.of[inside], minlength=len(self.nodes))
+        fine = np.flatnonzero((100 * common >= per_cent * (len(tokens) + self.sizes - common)) & (self.components != component))
+        return self.nodes[fine[np.unique(self.components[fine], return_index=True)[1]]].tolist()

@@ -1,7 +1,8 @@
-"""Summaries of fixed size, gathered from all rows: a counter sketch, and bitmaps of hashes.
+"""Summaries of bounded size, gathered from all rows: a counter sketch, and bitmaps of hashes.
 
-Their size doesn't depend on the data, so they can be broadcast. Both only ever let too much through: what they filter
-is checked exactly afterwards.
+Their size has a bound whatever the data, so they can be broadcast: a bitmap has about sixteen bits a hash, but never more
+than 2**MOST_BITS. Both only ever let too much through (a bitmap of more hashes filters less): what they filter is
+checked exactly afterwards.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 2**22 counters (16 MB as uint32) and 2**26 bits (8 MB).
-COUNTER_BITS, MAP_BITS = 22, 26
+#: 2**22 counters (16 MB as uint32), and 2**16 (8 kB) to 2**28 bits (32 MB).
+COUNTER_BITS, LEAST_BITS, MOST_BITS = 22, 16, 28
 _SLICE = 1 << 16
 #: Hashes that a task keeps before it hands them on.
 FLUSH = 2_000_000
@@ -25,11 +26,11 @@ Hashes = Callable[[Iterator[pa.RecordBatch]], Iterable[np.ndarray]]
 
 
 class Bitmap:
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits  # uint8, 2**(MAP_BITS - 3)
+    def __init__(self, bits: np.ndarray, log: int):
+        self.bits, self.log = bits, log  # uint8, 2**(log - 3)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        at = (h >> np.uint64(64 - self.log)).astype(np.int64)
         return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -76,7 +77,8 @@ def counters(parts: DataFrame) -> np.ndarray:
 def shared_hashes(rows: DataFrame, hashes: Hashes, expected: int) -> Bitmap:
     """The hashes that came up at least twice (and some others). expected: about how many hashes there are in all; the
     hashes are dealt by their leading bits to so many groups that each stays small."""
-    groups_log = min(16, max(0, int(np.ceil(np.log2(max(1, expected / FLUSH))))))
+    groups_log = min(24, max(0, int(np.ceil(np.log2(max(1, expected / FLUSH))))))
+    log = bits_for(expected // 4)
     low = np.uint64(32 - groups_log)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,28 +105,32 @@ def shared_hashes(rows: DataFrame, hashes: Hashes, expected: int) -> Bitmap:
         if n:
             yield from out()
 
-    span = 1 << (MAP_BITS - groups_log)
+    span = 1 << (log - groups_log)
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
         h = np.sort(np.concatenate([np.cumsum(np.frombuffer(unpack.decompress(b), "<u8")) for b in pdf["blob"]]))
         twice = h[1:][h[1:] == h[:-1]]
         bits = np.zeros(span, bool)
-        bits[((twice >> (np.uint64(64 - MAP_BITS) - low)) & np.uint64(span - 1)).astype(np.int64)] = True
+        bits[((twice >> (np.uint64(64 - log) - low)) & np.uint64(span - 1)).astype(np.int64)] = True
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "blob": [np.packbits(bits, bitorder="little").tobytes()]})
 
     found = rows.mapInArrow(local, "part int, blob binary").groupBy("part").applyInPandas(find, "part int, blob binary")
-    return _assembled(found, span)
+    return _assembled(found, span, log)
+
+
+def bits_for(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * max(1, n) - 1).bit_length()))
 
 
 def bitmap_of(values: DataFrame) -> Bitmap:
-    """A bitmap of the values of the only column (long), by their xxhash64 as Spark computes it."""
-    name = values.columns[0]
+    """A bitmap of the values of the only column (long), by their xxhash64 as Spark computes it; values: a stored table."""
+    name, log = values.columns[0], bits_for(values.count())
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS, bool)
+        bits = np.zeros(1 << log, bool)
         for b in batches:
-            bits[(b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+            bits[(b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - log)).astype(np.int64)] = True
         for k in np.flatnonzero(bits.reshape(-1, _SLICE).any(axis=1)):
             yield pa.RecordBatch.from_pydict({"part": [int(k)], "blob": [np.packbits(bits[k * _SLICE : (k + 1) * _SLICE], bitorder="little").tobytes()]}, pa.schema([("part", pa.int32()), ("blob", pa.binary())]))
 
@@ -132,11 +138,11 @@ def bitmap_of(values: DataFrame) -> Bitmap:
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "blob": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["blob"]]).tobytes()]})
 
     found = values.select(F.xxhash64(name).alias("h")).mapInArrow(local, "part int, blob binary").groupBy("part").applyInPandas(union, "part int, blob binary")
-    return _assembled(found, _SLICE)
+    return _assembled(found, _SLICE, log)
 
 
-def _assembled(found: DataFrame, span: int) -> Bitmap:
-    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+def _assembled(found: DataFrame, span: int, log: int) -> Bitmap:
+    bits = np.zeros(1 << (log - 3), np.uint8)
     for r in found.toLocalIterator():
         part = np.frombuffer(bytes(r["blob"]), np.uint8)
         at = r["part"] * span
@@ -144,4 +150,4 @@ def _assembled(found: DataFrame, span: int) -> Bitmap:
             bits[at >> 3 : (at >> 3) + len(part)] = part
         else:
             bits[at >> 3] |= part[0] << (at & 7)
-    return Bitmap(bits)
+    return Bitmap(bits, log)

@@ -28,28 +28,34 @@ _BLANK = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(256)], np.uint64)
 
 
-def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes | None], lower: bool = False, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and where each text's words begin (and, last, where all end).
 
-    A word's hash is a polynomial of its bytes, mixed; the bytes of all words are weighted and summed at once."""
-    global _POWERS
+    A word's hash is a polynomial of its bytes, mixed; the bytes of many words are weighted and summed at once, those of
+    about `limit` bytes at a time (a longer word stands alone)."""
     texts = [t or b"" for t in texts]
     raw = b"\n".join([*texts, b""])
     at = np.frombuffer(raw.lower() if lower else raw, np.uint8)
     solid = ~_BLANK[at]
     edge = np.flatnonzero(np.diff(solid, prepend=False))  # raw ends in a blank, so edges come in pairs
-    first, sizes = edge[0::2], edge[1::2] - edge[0::2]
+    first, end = edge[0::2], edge[1::2]
     bounds = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    if not len(first):
-        return np.empty(0, np.uint64), bounds
+    cut = np.unique(np.searchsorted(first, np.arange(0, len(raw) + limit, limit))).tolist()
+    found = [_hashed(at, solid, first[a:b], end[a:b]) for a, b in zip(cut, cut[1:])]
+    return np.concatenate(found) if found else np.empty(0, np.uint64), bounds
+
+
+def _hashed(at: np.ndarray, solid: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from first to end of the bytes `at`, in order."""
+    global _POWERS
+    sizes = end - first
     longest = int(sizes.max())
     while len(_POWERS) < longest:
         _POWERS = np.concatenate([_POWERS, _POWERS * _POWERS[-1] * np.uint64(0x9E3779B97F4A7C15)])
-    inside = np.flatnonzero(solid)
-    word_at = np.cumsum(sizes) - sizes
+    inside = np.flatnonzero(solid[first[0] : end[-1]]) + first[0]
     weight = _POWERS[inside - np.repeat(first, sizes)]
     weight *= at[inside].astype(np.uint64) + np.uint64(1)
-    return mix(np.add.reduceat(weight, word_at) + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), bounds
+    return mix(np.add.reduceat(weight, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -32,27 +33,55 @@ def test_hash_words_and_windows(texts):
     assert len(window_hashes(h[:4], 5)) == 0 and len(window_hashes(h[:7], 5)) == 3
 
 
-def test_jaccard_components(docs, texts):
+def components_of(texts):
+    """n_shingles and component of each row, by all pairs; rows of one id, or without id and of one text, are one node."""
     sets, parent = {}, {}
     for i, t in texts:
-        if i is not None:
-            w = WORD.findall(lower(t))
-            sets[i] = {tuple(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))} if w else set()
-            parent[i] = i
+        w = WORD.findall(lower(t))
+        node = (0, i) if i is not None else (1, t or "")
+        sets[node] = {tuple(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))} if w else set()
+        parent[node] = node
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
+    nodes = sorted(sets)
+    for a in nodes:
+        for b in nodes:
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
-    want = sorted((i, len(sets[i]), root(i)) for i, _ in texts if i is not None)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(docs).collect())
-    assert got == want and any(i != c for i, _, c in got)
+    named = lambda i, t: (0, i) if i is not None else (1, t or "")
+    least = lambda k: root(k)[1] if not root(k)[0] else None
+    return sorted(((i, len(sets[named(i, t)]), least(named(i, t))) for i, t in texts), key=str)
+
+
+def test_jaccard_components(spark, docs, texts):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(docs).collect()), key=str)
+    assert got == components_of(texts) and any(i != c for i, _, c in got)
+    assert any(i is None and c is not None for i, _, c in got)
+    assert jaccard_join.link(docs.limit(0)).count() == 0
+
+
+def test_jaccard_chains_and_groups(spark):
+    """Chains whose ends are not alike, and a group whose members are alike but for some just below the threshold."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(40):  # each differs from the next by little, the first from the last by much
+        rows.append(" ".join([f"x{k + j}" for j in range(60)]))
+    for k in range(150):
+        some = list(base)
+        for _ in range(rng.randint(0, 3)):
+            some[rng.randrange(90)] = f"c{rng.randrange(10**6)}"
+        rows.append(" ".join(some))
+    rng.shuffle(rows)
+    texts = list(enumerate(rows))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(docs).collect()), key=str)
+    assert got == components_of(texts)
+    assert 2 < len({c for _, _, c in got}) < 150
 
 
 def test_signatures_lose_no_pair():
@@ -69,7 +98,6 @@ def test_signatures_lose_no_pair():
         common = len(np.intersect1d(x, y))
         if 100 * common >= 75 * (len(x) + len(y) - common):
             assert len(np.intersect1d(signer.sign(x), signer.sign(y))), (len(x), len(y), common)
-            assert jaccard_join.may_link(*(np.frombuffer(jaccard_join.outline(s), np.uint8) for s in (x, y)), len(x), len(y), 75)
 
 
 def test_substring_dedup(docs, texts):
