@@ -16,6 +16,9 @@ once however many groups name it, and a block is compared with a document at one
 copies costs a few comparisons for each, no pair of documents is ever a row, and no link between different components
 is lost.
 
+Signatures that come up once are mostly left out by a bitmap before they are shuffled; sets are made from the texts when
+they are compared, and not kept.
+
 Cases: a null text, and a text without words, has the empty set, is linked with nothing and is its own component; a
 text of fewer words than a shingle is one shingle; copies are linked; rows with a null id are linked like others, and have
 the smallest id that they reach, or null (ids are below 2**62); rows that share an id are each given, but are linked with
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.graph import cut, merged
-from panelyard.llm.sketches import COUNTER_BITS, Counters, bitmap_of, counters
+from panelyard.llm.sketches import COUNTER_BITS, Counters, bitmap_of, counters, shared_hashes
 from panelyard.llm.text import as_long, hash_words, mix, pieces, stored, window_hashes
 
 #: The smallest set of each tier; tier k > 0 has FIRST_SIZE[k] // 2 classes of frequent shingles, the first tier has none.
@@ -121,61 +124,75 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).select(F.coalesce("doc_id", unnamed).alias("node"), "doc_id", "text")
 
 
-def _described(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(node, doc_id, n, set) of each row; (node, n, tokens) of each set that is new to its task; and the counts of the
-    corpus: all from one reading of the texts."""
+def _described(texts: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+    """(node, doc_id, n, set) of each row, and the counts of the corpus: both from one reading of the texts."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("tokens", pa.binary()), *Counters.schema])
+        schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), *Counters.schema])
         counts, seen = Counters(), set()
         for batch in pieces(batches):
             found = shingles(batch.column("text").to_pylist(), size)
             sets = [digest(x) if len(x) else None for x in found]
-            new = [bool(k) and k not in seen and not seen.add(k) for k in sets]
-            if any(new):
-                counts.add(np.concatenate([x for x, is_new in zip(found, new) if is_new]))
+            new = [x for x, k in zip(found, sets) if k and k not in seen and not seen.add(k)]
+            if new:
+                counts.add(np.concatenate(new))
             none = [None] * batch.num_rows
-            tokens = [x.tobytes() if is_new else None for x, is_new in zip(found, new)]
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "doc_id": batch.column("doc_id"), "n": [len(x) for x in found], "set": sets, "tokens": tokens, "slice": none, "salt": none, "blob": none}, schema)
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "doc_id": batch.column("doc_id"), "n": [len(x) for x in found], "set": sets, "slice": none, "salt": none, "blob": none}, schema)
         rows = counts.rows()
         none = [None] * len(rows["slice"])
-        yield pa.RecordBatch.from_pydict({"node": none, "doc_id": none, "n": none, "set": none, "tokens": none, **rows}, schema)
+        yield pa.RecordBatch.from_pydict({"node": none, "doc_id": none, "n": none, "set": none, **rows}, schema)
+
+    both = stored(texts.mapInArrow(describe, "node bigint, doc_id bigint, n bigint, set binary, slice int, salt int, blob binary"), "sets")
+    return both.where("node is not null").select("node", "doc_id", "n", "set"), counters(both.where("slice is not null").select("slice", "salt", "blob"))
+
 
-    both = stored(texts.mapInArrow(describe, "node bigint, doc_id bigint, n bigint, set binary, tokens binary, slice int, salt int, blob binary"), "sets")
-    counts = counters(both.where("slice is not null").select("slice", "salt", "blob"))
-    return both.where("node is not null").select("node", "doc_id", "n", "set"), both.where("tokens is not null").select("node", "n", "tokens"), counts
+def _postings(texts: DataFrame, counts: np.ndarray, size: int, per_cent: int, total: int) -> DataFrame:
+    """(sig, node, n) of the signatures of all sets; most of those that come up once are left out."""
+    signer = texts.sparkSession.sparkContext.broadcast(Signer(counts, per_cent))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in pieces(batches):
+            found = shingles(batch.column("text").to_pylist(), size)
+            new = [i for i, x in enumerate(found) if len(x) and (k := digest(x)) not in seen and not seen.add(k)]
+            sigs = [signer.value.sign(found[i]).tobytes() for i in new]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(new, pa.int64())), pa.array([len(found[i]) for i in new], pa.int64()), pa.array(sigs, pa.binary())], ["node", "n", "sigs"])
 
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        for batch in pieces(batches, "sigs"):
+            yield batch, [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("sigs")]
 
-def _postings(sets: DataFrame, counts: np.ndarray, per_cent: int) -> DataFrame:
-    """(sig, node, n) of all signatures of all sets."""
-    signer = sets.sparkSession.sparkContext.broadcast(Signer(counts, per_cent))
+    signed = stored(texts.mapInArrow(sign, "node bigint, n bigint, sigs binary"), "signatures")
+    shared = texts.sparkSession.sparkContext.broadcast(shared_hashes(signed, lambda batches: (np.concatenate(x) for _, x in lists(batches)), total // 3))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "tokens"):
-            sigs = [signer.value.sign(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column("tokens")]
-            at = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(sigs))), batch.column("node").take(pa.array(at)), batch.column("n").take(pa.array(at))], ["sig", "node", "n"])
+        for batch, sigs in lists(batches):
+            every = np.concatenate(sigs)
+            keep = shared.value.has(every)
+            at = pa.array(np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(every[keep])), batch.column("node").take(at), batch.column("n").take(at)], ["sig", "node", "n"])
 
-    return sets.mapInArrow(index, "sig bigint, node bigint, n bigint")
+    return stored(signed.mapInArrow(index, "sig bigint, node bigint, n bigint"), "postings")
 
 
 def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the smallest doc_id that links of a similarity of at least
     `per_cent` reach."""
-    rows, sets, counts = _described(_keyed(docs), size)
+    texts = _keyed(docs)
+    rows, counts = _described(texts, size)
+    total = rows.agg(F.sum("n")).first()[0] or 0
     # copies of a set are one component from the start
     first = rows.where("set is not null").groupBy("set").agg(F.min("node").alias("component"), F.max("node").alias("last")).where("component != last").select("set", "component")
     labels = cut(rows.join(first, "set").groupBy("node").agg(F.min("component").alias("component")))
 
-    postings = stored(_postings(sets, counts, per_cent), "postings")
+    postings = _postings(texts, counts, size, per_cent, total)
     groups = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
     shared = stored(postings.join(groups, "sig"), "shared")
-    pairs = stored(shared.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("common")).select("node", "hub"), "pairs")
-    hubs, tokens = pairs.select("hub").distinct().count(), sets.agg(F.avg("n")).first()[0] or 0
-    block = F.pmod(F.xxhash64("hub"), F.lit(1 + int(hubs * tokens) // BLOCK)).alias("block")
-    labels = merged(labels, _linked(sets, pairs.select(block, F.col("hub").alias("node")).distinct(), pairs.select(block, "node").distinct(), labels, per_cent))
-    open_ = _open(shared, labels)
-    labels = merged(labels, _linked(sets, *_blocks(open_, BLOCK, per_cent), labels, per_cent))
+    pairs = stored(shared.where("node != hub").select("node", "hub").distinct(), "pairs")
+    tokens = pairs.select(F.col("hub").alias("node")).distinct().join(rows, "node").agg(F.sum("n")).first()[0] or 0
+    block = F.pmod(F.xxhash64("hub"), F.lit(1 + tokens // BLOCK)).alias("block")
+    labels = merged(labels, _linked(texts, pairs.select(block, F.col("hub").alias("node")).distinct(), pairs.select(block, "node").distinct(), labels, size, per_cent))
+    labels = merged(labels, _linked(texts, *_blocks(_open(shared, labels), per_cent), labels, size, per_cent))
 
     named = rows.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     return named.withColumn("component_id", F.when(F.col("component_id") < UNNAMED, F.col("component_id")).otherwise(F.col("doc_id")))
@@ -190,7 +207,7 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(known.join(groups.groupBy("size", "same_1", "same_2").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "open")
 
 
-def _blocks(open_: DataFrame, limit: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(open_: DataFrame, per_cent: int, limit: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(block, node) of all documents of the groups, and (block, node) of those that have to be compared with a block.
 
     Two documents of a group that are in different components are not both in its largest one: each document of
@@ -217,7 +234,7 @@ def _blocks(open_: DataFrame, limit: int, per_cent: int) -> tuple[DataFrame, Dat
     return members.select("block", "node"), stored(requests, "requests")
 
 
-def _linked(sets: DataFrame, members: DataFrame, requests: DataFrame, labels: DataFrame, per_cent: int, most: int = 1024) -> DataFrame:
+def _linked(texts: DataFrame, members: DataFrame, requests: DataFrame, labels: DataFrame, size: int, per_cent: int, most: int = 1024) -> DataFrame:
     """(a, b): documents that ask for a block with members of it that are similar enough, one of each other component.
 
     A task holds one block and at most about `most` of those that ask for it; a block that more ask for is copied."""
@@ -226,14 +243,17 @@ def _linked(sets: DataFrame, members: DataFrame, requests: DataFrame, labels: Da
     asking = requests.join(asked, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(False).alias("member"))
     places = inside.unionByName(asking).groupBy("node").agg(F.collect_list(F.struct("block", "copy", "member")).alias("places"))
     places = stored(places.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "places"), "places")
-    wanted = sets.sparkSession.sparkContext.broadcast(bitmap_of(places.select("node")))
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(places.select("node")))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(wanted.value.has(batch.column("h").to_numpy().view(np.uint64)))).select(["node", "tokens"])
+            batch = batch.filter(pa.array(wanted.value.has(batch.column("h").to_numpy().view(np.uint64))))
+            for part in pieces([batch]):
+                found = shingles(part.column("text").to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "tokens"])
 
-    # the bitmap lets few sets through that nothing asks for; the join drops them
-    some = sets.select("node", "tokens", F.xxhash64("node").alias("h")).mapInArrow(sift, "node bigint, tokens binary")
+    # the bitmap lets few texts through that nothing asks for; the join drops them
+    some = texts.select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(load, "node bigint, tokens binary")
     dealt = some.join(places, "node").select("node", "component", "tokens", F.explode("places").alias("place")).select("node", "component", "tokens", "place.*")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:

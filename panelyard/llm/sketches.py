@@ -78,7 +78,7 @@ def shared_hashes(rows: DataFrame, hashes: Hashes, expected: int) -> Bitmap:
     """The hashes that came up at least twice (and some others). expected: about how many hashes there are in all; the
     hashes are dealt by their leading bits to so many groups that each stays small."""
     groups_log = min(24, max(0, int(np.ceil(np.log2(max(1, expected / FLUSH))))))
-    log = bits_for(expected // 4)
+    log = max(groups_log, bits_for(expected // 16))
     low = np.uint64(32 - groups_log)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
