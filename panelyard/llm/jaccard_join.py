@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.graph import cut, merged
 from panelyard.llm.sketches import COUNTER_BITS, Counters, bitmap_of, counters, shared_hashes
-from panelyard.llm.text import as_long, hash_words, mix, pieces, stored, window_hashes
+from panelyard.llm.text import as_long, discard, hash_words, mix, pieces, stored, window_hashes
 
 #: The smallest set of each tier; tier k > 0 has FIRST_SIZE[k] // 2 classes of frequent shingles, the first tier has none.
 FIRST_SIZE = (0, 16, 128, 1024, 8192, 65536, 524288)
@@ -172,7 +172,9 @@ def _postings(texts: DataFrame, counts: np.ndarray, size: int, per_cent: int, to
             at = pa.array(np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])[keep])
             yield pa.RecordBatch.from_arrays([pa.array(as_long(every[keep])), batch.column("node").take(at), batch.column("n").take(at)], ["sig", "node", "n"])
 
-    return stored(signed.mapInArrow(index, "sig bigint, node bigint, n bigint"), "postings")
+    found = stored(signed.mapInArrow(index, "sig bigint, node bigint, n bigint"), "postings")
+    discard(signed)
+    return found
 
 
 def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
@@ -188,6 +190,7 @@ def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
     postings = _postings(texts, counts, size, per_cent, total)
     groups = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
     shared = stored(postings.join(groups, "sig"), "shared")
+    discard(postings)
     pairs = stored(shared.where("node != hub").select("node", "hub").distinct(), "pairs")
     tokens = pairs.select(F.col("hub").alias("node")).distinct().join(rows, "node").agg(F.sum("n")).first()[0] or 0
     block = F.pmod(F.xxhash64("hub"), F.lit(1 + tokens // BLOCK)).alias("block")
