@@ -9,14 +9,15 @@ cannot have lost all its signatures. (This holds for the document whose prefix e
 prefix reaches at least as far.) The number of classes has to follow the size of the set, so sizes fall into tiers, and
 a document belongs to each tier in which a similar document may be.
 
-Documents with the same set are one component from the start. Each signature's documents are first compared with the one
-of them that has the smallest id, which joins most copies. Then only documents that are not in their group's largest
+Documents with the same set are one component from the start. The smallest id of a signature's documents is their hub;
+each document is first compared with the hub that it shares most signatures with, which joins most copies. Then only documents that are not in their group's largest
 component are compared with the group's others: documents stand in blocks of bounded size, a document asks for a block
 once however many groups name it, and a block is compared with a document at one go, token by token. So a group of many
 copies costs a few comparisons for each, no pair of documents is ever a row, and no link between different components
 is lost.
 
-Signatures that come up once are mostly left out by a bitmap before they are shuffled; sets are made from the texts when
+Blocks are compared by three bytes of each token first, which rules out nearly all that isn't similar, and by whole
+tokens then. Signatures that come up once are mostly left out by a bitmap before they are shuffled; sets are made from the texts when
 they are compared, and not kept.
 
 Cases: a null text, and a text without words, has the empty set, is linked with nothing and is its own component; a
@@ -27,7 +28,7 @@ what any of them is linked with; an empty table gives an empty result; extra col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -191,11 +192,22 @@ def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
     groups = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
     shared = stored(postings.join(groups, "sig"), "shared")
     discard(postings)
-    pairs = stored(shared.where("node != hub").select("node", "hub").distinct(), "pairs")
+    # a document is first compared with the hub it has most signatures in common with; the others can wait
+    often = shared.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n")).where(F.col("common") * 500 >= F.col("n") * (100 - per_cent))
+    pairs = stored(often.groupBy("node").agg(F.max(F.struct("common", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub")), "pairs")
     tokens = pairs.select(F.col("hub").alias("node")).distinct().join(rows, "node").agg(F.sum("n")).first()[0] or 0
     block = F.pmod(F.xxhash64("hub"), F.lit(1 + tokens // BLOCK)).alias("block")
-    labels = merged(labels, _linked(texts, pairs.select(block, F.col("hub").alias("node")).distinct(), pairs.select(block, "node").distinct(), labels, size, per_cent))
-    labels = merged(labels, _linked(texts, *_blocks(_open(shared, labels), per_cent), labels, size, per_cent))
+    places = _places(pairs.select(block, F.col("hub").alias("node")).distinct(), pairs.select(block, "node").distinct(), labels)
+    labels = merged(labels, _linked(texts, places, size, per_cent))
+    discard(pairs, places)
+    open_ = _open(shared, labels)
+    discard(shared)
+    rough = _places(*_blocks(open_, per_cent), labels)
+    some = _possible(texts, rough, size, per_cent)
+    discard(open_, rough)
+    places = _places(some.where("member").select("block", "node"), some.where("not member").select("block", "node"), labels)
+    labels = merged(labels, _linked(texts, places, size, per_cent))
+    discard(some, places)
 
     named = rows.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     return named.withColumn("component_id", F.when(F.col("component_id") < UNNAMED, F.col("component_id")).otherwise(F.col("doc_id")))
@@ -237,15 +249,19 @@ def _blocks(open_: DataFrame, per_cent: int, limit: int = BLOCK) -> tuple[DataFr
     return members.select("block", "node"), stored(requests, "requests")
 
 
-def _linked(texts: DataFrame, members: DataFrame, requests: DataFrame, labels: DataFrame, size: int, per_cent: int, most: int = 1024) -> DataFrame:
-    """(a, b): documents that ask for a block with members of it that are similar enough, one of each other component.
+def _places(members: DataFrame, requests: DataFrame, labels: DataFrame, most: int = 1024) -> DataFrame:
+    """(node, component, places): the blocks in which each document is a member or asks.
 
-    A task holds one block and at most about `most` of those that ask for it; a block that more ask for is copied."""
+    A place holds one block and at most about `most` of those that ask for it; a block that more ask for is copied."""
     asked = requests.groupBy("block").agg(F.ceil(F.count("*") / most).cast("int").alias("copies"))
     inside = members.join(asked, "block").select("node", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("member"))
     asking = requests.join(asked, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(False).alias("member"))
     places = inside.unionByName(asking).groupBy("node").agg(F.collect_list(F.struct("block", "copy", "member")).alias("places"))
-    places = stored(places.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "places"), "places")
+    return stored(places.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "places"), "places")
+
+
+def _dealt(texts: DataFrame, places: DataFrame, size: int, written: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(node, component, tokens, block, copy, member): the set of each document at each of its places."""
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(places.select("node")))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,27 +269,68 @@ def _linked(texts: DataFrame, members: DataFrame, requests: DataFrame, labels: D
             batch = batch.filter(pa.array(wanted.value.has(batch.column("h").to_numpy().view(np.uint64))))
             for part in pieces([batch]):
                 found = shingles(part.column("text").to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([written(x) for x in found], pa.binary())], ["node", "tokens"])
 
     # the bitmap lets few texts through that nothing asks for; the join drops them
     some = texts.select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(load, "node bigint, tokens binary")
-    dealt = some.join(places, "node").select("node", "component", "tokens", F.explode("places").alias("place")).select("node", "component", "tokens", "place.*")
+    return some.join(places, "node").select("node", "component", "tokens", F.explode("places").alias("place")).select("node", "component", "tokens", "place.*")
+
+
+def _linked(texts: DataFrame, places: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """(a, b): documents that ask for a block with members of it that are similar enough, one of each other component."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
         block, asking = rows[rows["member"]], rows[~rows["member"]]
-        found = Block(block["node"].to_numpy(), block["component"].to_numpy(), block["tokens"].tolist()) if len(block) and len(asking) else None
-        out = [(s, x) for s, c, t in zip(asking["node"], asking["component"], asking["tokens"]) for x in found.like(np.frombuffer(t, np.uint64), c, per_cent)] if found else []
+        if len(block) and len(asking):
+            nodes, components = block["node"].to_numpy(), block["component"].to_numpy()
+            sets = Block([np.frombuffer(t, np.uint64) for t in block["tokens"]])
+            for s, c, t in zip(asking["node"], asking["component"], asking["tokens"]):
+                fine = sets.like(np.frombuffer(t, np.uint64), per_cent)
+                fine = fine[components[fine] != c]
+                out += [(s, x) for x in nodes[fine[np.unique(components[fine], return_index=True)[1]]]]
         return pd.DataFrame({"a": np.array([a for a, _ in out], np.int64), "b": np.array([b for _, b in out], np.int64)})
 
-    return stored(dealt.groupBy("block", "copy").applyInPandas(compare, "a bigint, b bigint"), "links")
+    return stored(_dealt(texts, places, size, np.ndarray.tobytes).groupBy("block", "copy").applyInPandas(compare, "a bigint, b bigint"), "links")
+
+
+def _possible(texts: DataFrame, places: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """(block, node, member): what is left of the places if documents are compared by three bytes of each token: these
+    never have less in common than the tokens."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        block, asking = rows[rows["member"]], rows[~rows["member"]]
+        inside, asks = np.zeros(len(block), bool), np.zeros(len(asking), bool)
+        if len(block) and len(asking):
+            components = block["component"].to_numpy()
+            sets = Block([unshortened(t) for t in block["tokens"]])
+            for k, (c, t) in enumerate(zip(asking["component"], asking["tokens"])):
+                fine = sets.like(unshortened(t), per_cent)
+                fine = fine[components[fine] != c]
+                inside[fine] = True
+                asks[k] = len(fine) > 0
+        kept = [block[inside], asking[asks]]
+        return pd.DataFrame({c: np.concatenate([x[c].to_numpy() for x in kept]) for c in ("block", "node", "member")})
+
+    found = _dealt(texts, places, size, shortened).groupBy("block", "copy").applyInPandas(compare, "block bigint, node bigint, member boolean")
+    return stored(found.distinct(), "possible")
+
+
+def shortened(tokens: np.ndarray) -> bytes:
+    """The three leading bytes of each token."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 5:]).tobytes()
+
+
+def unshortened(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 8), np.uint8)
+    out[:, 5:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return out.reshape(-1).view(np.uint64)
 
 
 class Block:
     """Some sets, ready to be compared with others: their tokens in order, each with the set it is of."""
 
-    def __init__(self, nodes: np.ndarray, components: np.ndarray, tokens: list[bytes]):
-        self.nodes, self.components = nodes, components
-        sets = [np.frombuffer(t, np.uint64) for t in tokens]
+    def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
@@ -281,12 +338,11 @@ class Block:
         first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         self.tokens, self.bounds = every[first], np.r_[first, len(every)]
 
-    def like(self, tokens: np.ndarray, component: int, per_cent: int) -> list[int]:
-        """A similar enough set of each component but the one given."""
+    def like(self, tokens: np.ndarray, per_cent: int) -> np.ndarray:
+        """The numbers of the sets that are similar enough (or, where tokens repeat, may be)."""
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
         at = at[self.tokens[at] == tokens]
         start, times = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         inside = np.repeat(start - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-        common = np.bincount(self.of[inside], minlength=len(self.nodes))
-        fine = np.flatnonzero((100 * common >= per_cent * (len(tokens) + self.sizes - common)) & (self.components != component))
-        return self.nodes[fine[np.unique(self.components[fine], return_index=True)[1]]].tolist()
+        common = np.bincount(self.of[inside], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= per_cent * (len(tokens) + self.sizes - common))

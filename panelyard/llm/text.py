@@ -127,30 +127,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Spark's setting by which a query's shuffle files go when the query has ended.
-_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: its lineage ends there, so a lost executor costs one read,
-    and the shuffle files that led to it are no longer needed."""
+    """Writes `df` to the shared folder and reads it back: its lineage ends there, so a lost executor costs one read."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANED, "false")
-    spark.conf.set(_CLEANED, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANED, before)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a stored table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more, and lets Spark drop the shuffle files that no plan
+    refers to: it does so when the driver's JVM collects its garbage, which a driver with little to do puts off."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
