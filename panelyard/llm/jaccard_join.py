@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.graph import cut, merged
-from panelyard.llm.sketches import COUNTER_BITS, Counters, bitmap_of, counters, shared_hashes
+from panelyard.llm.sketches import COUNTER_BITS, Bitmap, Counters, bitmap_of, counters, shared_hashes
 from panelyard.llm.text import as_long, discard, hash_words, mix, pieces, stored, window_hashes
 
 #: The smallest set of each tier; tier k > 0 has FIRST_SIZE[k] // 2 classes of frequent shingles, the first tier has none.
@@ -147,13 +147,20 @@ def _described(texts: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("node is not null").select("node", "doc_id", "n", "set"), counters(both.where("slice is not null").select("slice", "salt", "blob"))
 
 
-def _postings(texts: DataFrame, counts: np.ndarray, size: int, per_cent: int, total: int) -> DataFrame:
-    """(sig, node, n) of the signatures of all sets; most of those that come up once are left out."""
+def _kept(batches: Iterator[pa.RecordBatch], wanted: Bitmap) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(wanted.has(batch.column("h").to_numpy().view(np.uint64))))
+
+
+def _postings(texts: DataFrame, firsts: DataFrame, counts: np.ndarray, size: int, per_cent: int, total: int) -> DataFrame:
+    """(sig, node, n) of the signatures of all sets; most of those that come up once are left out, and most copies of a
+    set but the first (firsts: the first document of each set)."""
     signer = texts.sparkSession.sparkContext.broadcast(Signer(counts, per_cent))
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(firsts))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in pieces(batches):
+        for batch in pieces(_kept(batches, wanted.value)):
             found = shingles(batch.column("text").to_pylist(), size)
             new = [i for i, x in enumerate(found) if len(x) and (k := digest(x)) not in seen and not seen.add(k)]
             sigs = [signer.value.sign(found[i]).tobytes() for i in new]
@@ -163,7 +170,7 @@ def _postings(texts: DataFrame, counts: np.ndarray, size: int, per_cent: int, to
         for batch in pieces(batches, "sigs"):
             yield batch, [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("sigs")]
 
-    signed = stored(texts.mapInArrow(sign, "node bigint, n bigint, sigs binary"), "signatures")
+    signed = stored(texts.withColumn("h", F.xxhash64("node")).mapInArrow(sign, "node bigint, n bigint, sigs binary"), "signatures")
     shared = texts.sparkSession.sparkContext.broadcast(shared_hashes(signed, lambda batches: (np.concatenate(x) for _, x in lists(batches)), total // 3))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +192,17 @@ def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
     rows, counts = _described(texts, size)
     total = rows.agg(F.sum("n")).first()[0] or 0
     # copies of a set are one component from the start
-    first = rows.where("set is not null").groupBy("set").agg(F.min("node").alias("component"), F.max("node").alias("last")).where("component != last").select("set", "component")
-    labels = cut(rows.join(first, "set").groupBy("node").agg(F.min("component").alias("component")))
+    first = stored(rows.where("set is not null").groupBy("set").agg(F.min("node").alias("component"), F.max("node").alias("last")), "first")
+    labels = cut(rows.join(first.where("component != last").select("set", "component"), "set").groupBy("node").agg(F.min("component").alias("component")))
 
-    postings = _postings(texts, counts, size, per_cent, total)
-    groups = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
+    postings = _postings(texts, first.select("component"), counts, size, per_cent, total)
+    # of groups with just the same documents (a shared passage makes many), one stays
+    groups = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("same")).where("hub != last")
+    groups = groups.groupBy("hub", "last", "size", "same").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "hub", "weight")
     shared = stored(postings.join(groups, "sig"), "shared")
     discard(postings)
     # a document is first compared with the hub it has most signatures in common with; the others can wait
-    often = shared.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n")).where(F.col("common") * 500 >= F.col("n") * (100 - per_cent))
+    often = shared.where("node != hub").groupBy("node", "hub").agg(F.sum("weight").alias("common"), F.first("n").alias("n")).where(F.col("common") * 500 >= F.col("n") * (100 - per_cent))
     pairs = stored(often.groupBy("node").agg(F.max(F.struct("common", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub")), "pairs")
     tokens = pairs.select(F.col("hub").alias("node")).distinct().join(rows, "node").agg(F.sum("n")).first()[0] or 0
     block = F.pmod(F.xxhash64("hub"), F.lit(1 + tokens // BLOCK)).alias("block")
@@ -214,12 +223,12 @@ def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, n, component) of the groups whose documents are not yet in one component; of groups with just the
-    same documents (a shared passage makes many), one stays."""
+    """(sig, node, n, component) of the groups whose documents are not yet in one component."""
     known = stored(shared.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component")), "known")
-    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same_{k}") for k in (1, 2)]
-    groups = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *same).where("low != high")
-    return stored(known.join(groups.groupBy("size", "same_1", "same_2").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "open")
+    groups = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("sig")
+    open_ = stored(known.join(groups, "sig"), "open")
+    discard(known)
+    return open_
 
 
 def _blocks(open_: DataFrame, per_cent: int, limit: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -232,11 +241,13 @@ def _blocks(open_: DataFrame, per_cent: int, limit: int = BLOCK) -> tuple[DataFr
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(101 / per_cent))).cast("int")
     open_ = open_.withColumn("size_class", size_class)
     nodes = open_.select("node", "n", "component", "size_class").distinct()
-    totals = nodes.groupBy("component", "size_class").agg(F.sum("n").alias("total"))
+    # small components that share a signature often stand in the same block
+    key = open_.groupBy("component", "size_class").agg(F.min("sig").alias("key"))
+    totals = nodes.groupBy("component", "size_class").agg(F.sum("n").alias("total")).join(key, ["component", "size_class"])
     small = totals.where(F.col("total") * 8 < limit).groupBy("size_class").agg(F.sum("total").alias("small"))
     of_small = F.col("total") * 8 < limit
     part = lambda c, total: F.pmod(F.xxhash64(c), F.ceil(F.col(total) / limit))
-    block = F.when(of_small, F.xxhash64("size_class", part("component", "small"))).otherwise(F.xxhash64("size_class", "component", part("node", "total")))
+    block = F.when(of_small, F.xxhash64("size_class", part("key", "small"))).otherwise(F.xxhash64("size_class", "component", part("node", "total")))
     dealt = nodes.join(totals, ["component", "size_class"]).join(small, "size_class", "left")
     members = stored(dealt.select("node", block.alias("block"), F.when(~of_small, F.col("component")).alias("owner")), "members")
 
@@ -254,22 +265,21 @@ def _places(members: DataFrame, requests: DataFrame, labels: DataFrame, most: in
 
     A place holds one block and at most about `most` of those that ask for it; a block that more ask for is copied."""
     asked = requests.groupBy("block").agg(F.ceil(F.count("*") / most).cast("int").alias("copies"))
-    inside = members.join(asked, "block").select("node", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("member"))
-    asking = requests.join(asked, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(False).alias("member"))
-    places = inside.unionByName(asking).groupBy("node").agg(F.collect_list(F.struct("block", "copy", "member")).alias("places"))
+    inside = members.join(asked, "block").select("node", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("member"), F.lit(False).alias("asks"))
+    asking = requests.join(asked, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(False).alias("member"), F.lit(True).alias("asks"))
+    both = inside.unionByName(asking).groupBy("node", "block", "copy").agg(F.max("member").alias("member"), F.max("asks").alias("asks"))
+    places = both.groupBy("node").agg(F.collect_list(F.struct("block", "copy", "member", "asks")).alias("places"))
     return stored(places.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "places"), "places")
 
 
 def _dealt(texts: DataFrame, places: DataFrame, size: int, written: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """(node, component, tokens, block, copy, member): the set of each document at each of its places."""
+    """(node, component, tokens, block, copy, member, asks): the set of each document at each of its places."""
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(places.select("node")))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.has(batch.column("h").to_numpy().view(np.uint64))))
-            for part in pieces([batch]):
-                found = shingles(part.column("text").to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([written(x) for x in found], pa.binary())], ["node", "tokens"])
+        for part in pieces(_kept(batches, wanted.value)):
+            found = shingles(part.column("text").to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([written(x) for x in found], pa.binary())], ["node", "tokens"])
 
     # the bitmap lets few texts through that nothing asks for; the join drops them
     some = texts.select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(load, "node bigint, tokens binary")
@@ -281,7 +291,7 @@ def _linked(texts: DataFrame, places: DataFrame, size: int, per_cent: int) -> Da
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        block, asking = rows[rows["member"]], rows[~rows["member"]]
+        block, asking = rows[rows["member"]], rows[rows["asks"]]
         if len(block) and len(asking):
             nodes, components = block["node"].to_numpy(), block["component"].to_numpy()
             sets = Block([np.frombuffer(t, np.uint64) for t in block["tokens"]])
@@ -299,7 +309,7 @@ def _possible(texts: DataFrame, places: DataFrame, size: int, per_cent: int) ->
     never have less in common than the tokens."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        block, asking = rows[rows["member"]], rows[~rows["member"]]
+        block, asking = rows[rows["member"]], rows[rows["asks"]]
         inside, asks = np.zeros(len(block), bool), np.zeros(len(asking), bool)
         if len(block) and len(asking):
             components = block["component"].to_numpy()
@@ -310,7 +320,7 @@ def _possible(texts: DataFrame, places: DataFrame, size: int, per_cent: int) ->
                 inside[fine] = True
                 asks[k] = len(fine) > 0
         kept = [block[inside], asking[asks]]
-        return pd.DataFrame({c: np.concatenate([x[c].to_numpy() for x in kept]) for c in ("block", "node", "member")})
+        return pd.DataFrame({"block": np.concatenate([x["block"].to_numpy() for x in kept]), "node": np.concatenate([x["node"].to_numpy() for x in kept]), "member": np.arange(inside.sum() + asks.sum()) < inside.sum()})
 
     found = _dealt(texts, places, size, shortened).groupBy("block", "copy").applyInPandas(compare, "block bigint, node bigint, member boolean")
     return stored(found.distinct(), "possible")
