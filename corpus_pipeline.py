@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from panelyard.llm import decontaminate, jaccard_join, lang_cnn, length_packing, secret_crf
 from panelyard.llm.text import stored, table
@@ -54,10 +53,9 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret span, found by rule or by the field, by a mark."""
-    found = secret_crf.scan(docs.select(*COLUMNS), secret_crf.train(docs), keep=COLUMNS[1:])
-    redact = F.udf(lambda text, spans: secret_crf.redact(text, [(s["start"], s["end"]) for s in spans], REDACTED), StringType())
-    masked = found.where("size(spans) > 0").withColumn("text", redact("text", "spans")).withColumn("n_chars", F.length("text").cast("long"))
-    return found.where("size(spans) = 0").select(*COLUMNS).unionByName(masked.select(*COLUMNS))
+    found = secret_crf.scan(docs.select(*COLUMNS), secret_crf.train(docs), keep=COLUMNS[1:], mark=REDACTED)
+    hit = F.size("spans") > 0
+    return found.withColumn("n_chars", F.when(hit, F.length("masked").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("masked")).select(*COLUMNS)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

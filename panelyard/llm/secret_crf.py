@@ -3,7 +3,8 @@
 Words (runs without white space) are tagged B, I or O. Each word falls into a class made of its shape; a class has
 features for the word itself, for the word before and for the word after, and the file as a whole adds a bias for how
 much of it isn't prose. Weights come from maximum likelihood (forward-backward in numpy) on texts in which the rules'
-matches stand as labels. Decoding is Viterbi. Words that no best path can leave O on are found first, by a bound on
+matches stand as labels, and into which random secrets of other forms, that no rule finds, have been planted: so the
+field learns how secrets look rather than what the rules look for. Decoding is Viterbi. Words that no best path can leave O on are found first, by a bound on
 what the transitions can give; Viterbi then runs over the words between them, which changes no result.
 
 Cases: a null text counts as empty; an empty text has no span; repeated rows are scanned alike; a text of one huge
@@ -168,8 +169,30 @@ def crf_spans(text: str, tags: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def random_secret(rng: np.random.Generator) -> str:
+    """A made-up secret of one of six forms: prefixed key, bare key, base64, dotted token, passphrase, key in groups."""
+    some = lambda chars, low, high: "".join(rng.choice(list(chars), int(rng.integers(low, high + 1))))
+    match int(rng.integers(0, 6)):
+        case 0:
+            return some("abcdefghijklmnopqrstuvwxyz", 2, 5) + str(rng.choice(["_", "-"])) + some(_ALNUM, 20, 40)
+        case 1:
+            return some(_ALNUM, 18, 44)
+        case 2:
+            return some(_ALNUM + "+/", 22, 60) + "=" * int(rng.integers(0, 3))
+        case 3:
+            return ".".join(some(_ALNUM + "_-", 12, 40) for _ in range(3))
+        case 4:
+            return some(_ALNUM[26:52], 1, 4) + some(_ALNUM + "0123456789", 8, 14) + some("!@#$%^&*+", 1, 2) + some(_ALNUM + "0123456789", 1, 4)
+        case _:
+            return "-".join(some(_ALNUM[:26] + "0123456789" * 2, 5, 5) for _ in range(int(rng.integers(3, 6))))
+
+
 def fit(texts: list[str], radius: int = 8, runs: int = 3, steps: int = 100, rate: float = 0.2, decay: float = 0.003, seed: int = 5) -> Crf:
-    """Maximum likelihood with a squared penalty on windows of words: around each rule match, and `runs` others a text."""
+    """Maximum likelihood with a squared penalty on windows of words: around each rule match and planted secret, and `runs`
+    others a text. Every other text gets two secrets."""
     rng, classes = np.random.default_rng(seed), Classes()
     size = 2 * radius + 1
     cut: list[tuple[np.ndarray, np.ndarray, int]] = []
@@ -184,9 +207,16 @@ def fit(texts: list[str], radius: int = 8, runs: int = 3, steps: int = 100, rate
             inside = np.flatnonzero((starts < b) & (ends > a))
             y[inside] = I
             y[inside[0]] = B
+        centres = [*np.flatnonzero(y == B)[:runs]]
+        if rng.integers(0, 2):
+            places = np.sort(rng.integers(0, len(c) + 1, 2))
+            places = places[[k == len(c) or y[k] != I for k in places]]  # not inside a match
+            c = np.insert(c, places, [classes[random_secret(rng).encode()] for _ in places])
+            y = np.insert(y, places, B)
+            centres = [*np.flatnonzero(y == B)[: 2 * runs]]
         prose = np.array([f == ("prose",) for f in classes.features])
         bucket = file_bucket(c, prose)
-        centres = [*np.flatnonzero(y == B)[:runs], *rng.integers(0, len(c), runs)]
+        centres += [*rng.integers(0, len(c), runs)]
         odd = np.flatnonzero(~prose[c] & (y == O))
         centres += [*rng.choice(odd, min(runs, len(odd)), replace=False)] if len(odd) else []
         for k in centres:
@@ -259,21 +289,23 @@ def train(docs: DataFrame, sample: int = 3000, max_chars: int = 20_000, id_col:
     return fit(texts)
 
 
-def scan(docs: DataFrame, model: Crf, caution: float = 1.5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, spans (kind, start, end; in order of start and kind) and the `keep` columns of each row.
+def scan(docs: DataFrame, model: Crf, caution: float = 1.5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), mark: str | None = None) -> DataFrame:
+    """doc_id, spans (kind, start, end; in order of start and kind) and the `keep` columns of each row; with a mark, also
+    `masked`, the text in which the mark stands for each span.
 
     The spans of the rules stay as they are; a span of the field is added where it meets none of them. caution: added
     to the log score of O at each word, as a missed span costs less here than a clean word taken for a secret."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     schema = rows.drop("text").withColumn("spans", F.expr("cast(null as array<struct<kind:string,start:int,end:int>>)")).schema
+    schema = schema.add("masked", "string") if mark is not None else schema
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, classes, bias = shared.value, Classes(), np.eye(3)[O] * caution
         tables: tuple = ()
         for batch in pieces(batches):
-            out = []
+            out, masked = [], []
             for raw in batch.column("text").to_pylist():
                 some = raw.split() if raw else []
                 c = np.fromiter(map(classes.__getitem__, some), np.int32, len(some))
@@ -289,11 +321,14 @@ def scan(docs: DataFrame, model: Crf, caution: float = 1.5, id_col: str = "doc_i
                     base = list(found)
                     found += [(a, 3, b) for a, b in crf_spans(text, tags) if text and not any(a < e and s < b for s, _, e in base)]
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found)])
+                if mark is not None:
+                    masked.append(redact(text, [(a, b) for a, _, b in found], mark).encode() if found else raw)
             names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, arrow)], [*names, "spans"])
+            more = [pa.array(masked, pa.binary()).cast(pa.string())] if mark is not None else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, arrow), *more], [*names, "spans", *(["masked"] if more else [])])
 
     found = rows.mapInArrow(tag, schema)
-    return found.select("doc_id", "spans", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)))
+    return found.select("doc_id", "spans", *(["masked"] if mark is not None else []), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
