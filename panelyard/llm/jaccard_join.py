@@ -83,6 +83,11 @@ class Signer:
         least = -(-self.per_cent * n // 100)
         return [k for k in range(own + 1) if k == own or FIRST_SIZE[k + 1] > least]
 
+    def pure(self, tokens: np.ndarray) -> bool:
+        """Whether the prefix has rare tokens alone, so that each of them is a signature."""
+        rare = int((self.counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] <= self.rare).sum())
+        return rare >= self.prefix_size(len(tokens))
+
     def sign(self, tokens: np.ndarray) -> np.ndarray:
         """Hashes of the signatures. A pair of similar sets is looked for in the tier of the smaller one."""
         n = len(tokens)
@@ -153,7 +158,7 @@ def _kept(batches: Iterator[pa.RecordBatch], wanted: Bitmap) -> Iterator[pa.Reco
 
 
 def _postings(texts: DataFrame, firsts: DataFrame, counts: np.ndarray, size: int, per_cent: int, total: int) -> DataFrame:
-    """(sig, node, n) of the signatures of all sets; most of those that come up once are left out, and most copies of a
+    """(sig, node, n, pure) of the signatures of all sets; most of those that come up once are left out, and most copies of a
     set but the first (firsts: the first document of each set)."""
     signer = texts.sparkSession.sparkContext.broadcast(Signer(counts, per_cent))
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(firsts))
@@ -164,13 +169,13 @@ def _postings(texts: DataFrame, firsts: DataFrame, counts: np.ndarray, size: int
             found = shingles(batch.column("text").to_pylist(), size)
             new = [i for i, x in enumerate(found) if len(x) and (k := digest(x)) not in seen and not seen.add(k)]
             sigs = [signer.value.sign(found[i]).tobytes() for i in new]
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(new, pa.int64())), pa.array([len(found[i]) for i in new], pa.int64()), pa.array(sigs, pa.binary())], ["node", "n", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(new, pa.int64())), pa.array([len(found[i]) for i in new], pa.int64()), pa.array([signer.value.pure(found[i]) for i in new], pa.bool_()), pa.array(sigs, pa.binary())], ["node", "n", "pure", "sigs"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for batch in pieces(batches, "sigs"):
             yield batch, [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("sigs")]
 
-    signed = stored(texts.withColumn("h", F.xxhash64("node")).mapInArrow(sign, "node bigint, n bigint, sigs binary"), "signatures")
+    signed = stored(texts.withColumn("h", F.xxhash64("node")).mapInArrow(sign, "node bigint, n bigint, pure boolean, sigs binary"), "signatures")
     shared = texts.sparkSession.sparkContext.broadcast(shared_hashes(signed, lambda batches: (np.concatenate(x) for _, x in lists(batches)), total // 3))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +183,9 @@ def _postings(texts: DataFrame, firsts: DataFrame, counts: np.ndarray, size: int
             every = np.concatenate(sigs)
             keep = shared.value.has(every)
             at = pa.array(np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(every[keep])), batch.column("node").take(at), batch.column("n").take(at)], ["sig", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(every[keep])), *(batch.column(c).take(at) for c in ("node", "n", "pure"))], ["sig", "node", "n", "pure"])
 
-    found = stored(signed.mapInArrow(index, "sig bigint, node bigint, n bigint"), "postings")
+    found = stored(signed.mapInArrow(index, "sig bigint, node bigint, n bigint, pure boolean"), "postings")
     discard(signed)
     return found
 
@@ -209,7 +214,7 @@ def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
     places = _places(pairs.select(block, F.col("hub").alias("node")).distinct(), pairs.select(block, "node").distinct(), labels)
     labels = merged(labels, _linked(texts, places, size, per_cent))
     discard(pairs, places)
-    open_ = _open(shared, labels)
+    open_ = _promising(_open(shared, labels), per_cent)
     discard(shared)
     rough = _places(*_blocks(open_, per_cent), labels)
     some = _possible(texts, rough, size, per_cent)
@@ -223,14 +228,39 @@ def link(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, n, component) of the groups whose documents are not yet in one component."""
-    known = stored(shared.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component")), "known")
+    """(sig, node, n, pure, weight, component) of the groups whose documents are not yet in one component."""
+    known = stored(shared.join(labels, "node", "left").select("sig", "node", "n", "pure", "weight", F.coalesce("component", "node").alias("component")), "known")
     groups = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("sig")
     open_ = stored(known.join(groups, "sig"), "open")
     discard(known)
     return open_
 
 
+def _promising(open_: DataFrame, per_cent: int, steps: int = 8) -> DataFrame:
+    """The rows of the documents that have signatures enough in common with others to be similar to one.
+
+    Let x and y be similar, t the least similarity. They have a = t / (1 + t) (|x| + |y|) tokens or more in common, so of
+    the first |x| - ceil(t |x|) + 1 tokens of x all but |x| - a are in y, and likewise for y; what prefixes have in common
+    are the first common tokens of all, so it is the smaller of a - t |x| and a - t |y| at least. These are signatures
+    if the prefix of x is of rare tokens alone (y then has them in its prefix, or has all its rare tokens there). The
+    number depends on the other's size: sizes fall into `steps` ranges, and a document is kept if for one of them as
+    many of its signatures stand in groups with documents of such a size."""
+    t = per_cent / 100
+    edges = [t ** (1 - 2 * k / steps) for k in range(steps + 1)]
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1.05))).cast("int")
+    classes = open_.groupBy("sig").agg(F.collect_set(size_class).alias("classes"))
+    joined = open_.join(classes, "sig")
+    meets = lambda low, high: F.exists("classes", lambda c: (F.pow(F.lit(1.05), c + 1) >= low * 0.999 * F.col("n")) & (F.pow(F.lit(1.05), c) <= high * 1.001 * F.col("n")))
+    counted = joined.groupBy("node").agg(F.max("n").alias("size"), F.min("pure").alias("clear"), *(F.sum(F.when(meets(low, high), F.col("weight"))).alias(f"common_{k}") for k, (low, high) in enumerate(zip(edges, edges[1:]))))
+    keep = ~F.col("clear")
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        least = min(t / (1 + t) * (1 + low) - t, t / (1 + t) * (1 + high) - t * high)
+        keep = keep | (F.coalesce(f"common_{k}", F.lit(0)) >= F.greatest(F.lit(1.0), least * F.col("size") - 1))
+    out = stored(open_.join(counted.where(keep).select("node"), "node", "left_semi"), "promising")
+    discard(open_)
+    return out
+
+
 def _blocks(open_: DataFrame, per_cent: int, limit: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(block, node) of all documents of the groups, and (block, node) of those that have to be compared with a block.
 
