@@ -66,6 +66,20 @@ def intervals_of(history: DataFrame, key: str = "code", ts: str = "datetime", va
     return changed.select(key, value, F.col(ts).alias("valid_from"), F.lead(ts).over(w).alias("valid_to"))
 
 
+def labels_at(probes: DataFrame, membership: DataFrame, scheme: str, exact: bool = False, ts: str = "input_ts") -> DataFrame:
+    """(code, ts, value): the label of each probe's code under a scheme, or under the latest of all versions of it (those
+    whose names begin so). A code's memberships under one scheme follow each other without gaps."""
+    some = membership.where((F.col("scheme") == scheme) if exact else F.startswith("scheme", F.lit(scheme)))
+    last = some.groupBy("code", "valid_from").agg(F.max_by("value", "scheme").alias("value"))
+    return nearest(probes, last.withColumnRenamed("valid_from", "datetime"), "before", None, "code", ts).select("code", ts, "value")
+
+
+def members_at(membership: DataFrame, ts: str, labels: list[str]) -> DataFrame:
+    """(code, value) of the codes whose latest label at a time is among the wanted ones."""
+    latest = membership.where(F.col("valid_from") <= F.to_timestamp(F.lit(ts))).groupBy("code").agg(F.max_by("value", F.struct("valid_from", "scheme")).alias("value"))
+    return latest.where(F.col("value").isin(labels))
+
+
 def universe_at(dates: DataFrame, snapshots: DataFrame, date: str = "date") -> DataFrame:
     """(date, code, ordinal): the constituents of the latest snapshot at or before each date. snapshots: effective_at,
     code, ordinal. Snapshot dates are few; constituents join by equality."""
@@ -107,3 +121,17 @@ def shifted(dates: DataFrame, calendar: DataFrame, offset: int, date: str = "dat
     numbered = calendar.select(date).distinct().withColumn("n", place)
     target = numbered.select(F.col(date).alias("shifted"), (F.col("n") - offset).alias("n"))
     return dates.join(numbered, date).join(target, "n", "left").select(date, "shifted")
+
+
+def at_or_after(probes: DataFrame, facts: DataFrame, probe_date: str, fact_date: str, code: str = "code") -> DataFrame:
+    """Each probe (dates) with the earliest fact of its code at or after it."""
+    fine = lambda c: F.to_timestamp(c) - F.expr("INTERVAL 1 SECOND")
+    hit = nearest(probes.withColumn("__at", fine(probe_date)), facts.withColumn("__fact", F.to_timestamp(fact_date)), "after", None, code, "__at", "__fact")
+    return hit.drop("__at", "__fact", "diff_hours")
+
+
+def execution_prices(rebalances: DataFrame, prices: DataFrame, hours: float, code: str = "code") -> DataFrame:
+    """The first price after each rebalance and before the code's next one; after the last, within some hours."""
+    later = F.lead("start_ts").over(Window.partitionBy(code).orderBy("start_ts"))
+    ends = rebalances.withColumn("end_ts", F.coalesce(later, F.col("start_ts") + F.expr(f"INTERVAL {hours} HOURS")))
+    return nearest_in_range(ends, prices, "after", code)

@@ -131,7 +131,19 @@ def group_table(df: DataFrame, label: str, x: str, date: str = "date") -> DataFr
     return df.where(F.col(label).isNotNull()).cube(date, label).agg(F.count(x).alias("n"), F.avg(x).alias("mean"))
 
 
+def label_tables(df: DataFrame, labels: list[str], values: list[str]) -> DataFrame:
+    """Count and means over every combination of labels, with the margins; a missing label is 0, a margin `all`."""
+    table = df.cube(*labels).agg(F.count("*").alias("n"), *(F.avg(v).alias(f"mean_{v}") for v in values), *(F.grouping(c).alias(f"__{c}") for c in labels))
+    return table.withColumns({c: F.when(F.col(f"__{c}") == 1, "all").otherwise(F.coalesce(F.col(c).cast("string"), F.lit("0"))) for c in labels}).drop(*(f"__{c}" for c in labels))
+
+
 def group_statistics(df: DataFrame, label: str, x: str, date: str = "date") -> DataFrame:
     q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = df.where(F.col(label).isNotNull()).groupBy(date, label).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), q.alias("q"), F.max(x).alias("high"))
     return out.select(date, label, "n", "mean", "std", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "high")
+
+
+def equal_weights(df: DataFrame, price: str, date: str = "date") -> DataFrame:
+    """The same weight for each code that has a price on the date, 0 for the others."""
+    there = F.col(price).isNotNull().cast("int")
+    return df.withColumn("weight", F.coalesce(F.try_divide(there, F.sum(there).over(_by(date))), F.lit(0.0)))

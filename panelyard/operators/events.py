@@ -42,3 +42,24 @@ def adjusted(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Returns less the benchmark's on the same event and day; only days that both have."""
     other = benchmark.groupBy("event_id", "day").agg(F.avg("ret").alias("__b"))
     return rows.join(other, ["event_id", "day"]).withColumn("ret", F.col("ret") - F.col("__b")).drop("__b")
+
+
+def by_event(rows: DataFrame) -> DataFrame:
+    """(event_id, day, ret): the mean over codes, where an event concerns several."""
+    return rows.groupBy("event_id", "day").agg(F.avg("ret").alias("ret"), F.count("ret").alias("codes"))
+
+
+def at_offsets(rows: DataFrame, offsets: dict[str, int]) -> DataFrame:
+    """(code, event_id, period, cumulative) at fixed offsets from day 0. offsets: period -> day."""
+    label = F.element_at(F.create_map(*[F.lit(x) for k, d in offsets.items() for x in (d, k)]), F.col("day"))
+    return cumulative(rows).where(F.col("day").isin(list(offsets.values()))).select("code", "event_id", label.alias("period"), "cumulative")
+
+
+def period_statistics(rows: DataFrame, x: str = "cumulative", by: str = "period") -> DataFrame:
+    return day_statistics(rows.withColumn("ret", F.col(x)), by)
+
+
+def event_coverage(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """(code, events, placed, days): how many of a code's events have bars around them."""
+    placed = rows.groupBy("code").agg(F.count_distinct("event_id").alias("placed"), F.count("ret").alias("days"))
+    return events.groupBy("code").agg(F.count_distinct("event_id").alias("events")).join(placed, "code", "left").select("code", "events", F.coalesce("placed", F.lit(0)).alias("placed"), F.coalesce("days", F.lit(0)).alias("days"))

@@ -68,3 +68,35 @@ def fill(df: DataFrame, x: str, how: str, code: str = "code", date: str = "date"
 
 def coverage(df: DataFrame, dataset: str, date: str = "date") -> DataFrame:
     return df.groupBy(dataset).agg(F.min(date).alias("first"), F.max(date).alias("last"), F.count("*").alias("rows"), F.count_distinct("code").alias("codes"))
+
+
+def dataset_coverage(df: DataFrame, by: list[str], days: int, ts: str = "datetime", code: str = "code") -> DataFrame:
+    """Rows, codes and range of each dataset; stale: it ends more than some days before the last of all."""
+    latest = df.agg(F.max(ts).alias("__l"))
+    found = df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_distinct(code).alias("codes"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    return found.join(F.broadcast(latest)).withColumn("stale", F.col("last") < F.col("__l") - F.expr(f"INTERVAL {days} DAYS")).drop("__l")
+
+
+def time_report(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """One row about a text column of times: rows, what is no time, keys that come twice, first and last."""
+    t = F.try_to_timestamp(F.trim(text))
+    twice = df.withColumn("__t", t).where("__t is not null").groupBy(*keys, "__t").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("repeated"))
+    return df.agg(F.count("*").alias("rows"), F.count_if(t.isNull()).alias("not_a_time"), F.min(t).alias("first"), F.max(t).alias("last")).join(F.broadcast(twice))
+
+
+def gaps(df: DataFrame, date: str = "date", code: str = "code") -> DataFrame:
+    """(code, n, most_common_gap): days between a code's dates; the smaller of equally common gaps."""
+    step = F.datediff(F.col(date), F.lag(date).over(Window.partitionBy(code).orderBy(date)))
+    counted = df.select(code, date).distinct().withColumn("gap", step).where("gap is not null").groupBy(code, "gap").agg(F.count("*").alias("k"))
+    return counted.groupBy(code).agg(F.sum("k").alias("n"), F.max_by("gap", F.struct("k", -F.col("gap"))).alias("most_common_gap"))
+
+
+def fixed_times(df: DataFrame, text: str, keys: list[str], order: str) -> DataFrame:
+    """Rows whose text is a time, under that time; of rows with equal keys and time the last by `order`."""
+    good = df.withColumn(text, F.try_to_timestamp(F.trim(text))).where(F.col(text).isNotNull())
+    return keep_one(good, [*keys, text], order)
+
+
+def inconsistent(df: DataFrame, keys: list[str], verified: list[str]) -> DataFrame:
+    """(keys, rows, versions) of keys whose rows don't agree on the verified columns."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_distinct(F.struct(*verified)).alias("versions")).where("versions > 1")

@@ -97,3 +97,10 @@ def monthly_table(df: DataFrame, value: str = "nav", series: str = "code", date:
     months = ends.select(series, F.year("__m").alias("year"), F.month("__m").alias("month"), (F.try_divide("v", F.coalesce(F.lag("v").over(w), F.col("f"))) - 1).alias("ret"))
     years = months.groupBy(series, "year").agg(compounded(F.col("ret")).alias("ret")).select(series, "year", F.lit(0).alias("month"), "ret")
     return months.unionByName(years)
+
+
+def annual_turnover(turnovers: DataFrame, date: str = "date") -> DataFrame:
+    """One row: the mean turnover of a rebalance, and that of a year at the mean gap between rebalances."""
+    a = turnovers.agg(F.count("*").alias("rebalances"), F.avg("turnover").alias("mean"), F.datediff(F.max(date), F.min(date)).alias("__d"))
+    gap = F.try_divide(F.col("__d").cast("double"), F.col("rebalances") - 1)
+    return a.select("rebalances", "mean", F.try_divide(F.col("mean") * 365, gap).alias("annual"))

@@ -99,3 +99,69 @@ def sparse_status(df: DataFrame, date: str = "date") -> DataFrame:
     """The first normal day of each code, and all its other days."""
     first = F.min(F.when(F.col("status") == 1, F.col(date))).over(Window.partitionBy("code"))
     return df.withColumn("__f", first).where((F.col("status") != 1) | (F.col(date) == F.col("__f"))).drop("__f")
+
+
+def remarks(df: DataFrame, column: str = "remark", key: str = "text") -> DataFrame:
+    """`remark` as a map: a JSON object's fields, or the text itself under a key; an empty one is NULL."""
+    text = F.trim(column)
+    found = F.from_json(text, "map<string,string>")
+    return df.withColumn("remark", F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), found).otherwise(F.create_map(F.lit(key), text)))
+
+
+def resolved(df: DataFrame, aliases: DataFrame, metric: str = "metric") -> DataFrame:
+    """Metrics under their own names. aliases: alias, canonical; a small dictionary, left to Spark to broadcast."""
+    return df.join(aliases.select(F.col("alias").alias(metric), "canonical"), metric, "left").withColumn(metric, F.coalesce("canonical", metric)).drop("canonical")
+
+
+def industry_rows(df: DataFrame) -> DataFrame:
+    """(code, date, scheme, value, name) of industry rows date, code, ind_name, ind_code, scheme: the value is the
+    number in the industry's code; rows without one are left out."""
+    number = F.regexp_extract("ind_code", r"(\d+)", 1)
+    return df.where(number != "").select("code", "date", "scheme", number.cast("long").alias("value"), F.col("ind_name").alias("name"))
+
+
+def snapshots(df: DataFrame, keys: list[str], code: str = "code", ordinal: str = "ordinal") -> DataFrame:
+    """One row a snapshot: its constituents as an array in order, and how many there are."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ordinal), F.col(code)))), lambda s: s[code])
+    return df.groupBy(*keys).agg(listed.alias("constituents"), F.count("*").alias("n"))
+
+
+def constituents(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, code, ordinal) of snapshots whose different constituents are as many as `n` says."""
+    some = df.withColumn("constituents", F.array_distinct("constituents")).where(F.size("constituents") == F.col("n"))
+    return some.select(*keys, F.posexplode("constituents").alias("ordinal", "code"))
+
+
+def calendars(df: DataFrame) -> DataFrame:
+    """(exchange, date) of a table with one column of dates, as text, for each exchange."""
+    long = df.unpivot([], list(df.columns), "exchange", "text")
+    return long.select(F.upper(F.trim("exchange")).alias("exchange"), F.try_to_date(F.trim("text"), "yyyy-MM-dd").alias("date")).where("date is not null").distinct()
+
+
+def report(df: DataFrame, keys: list[str], value: str = "value", ts: str = "datetime") -> DataFrame:
+    """One row about a long table before it is loaded: rows, keys that come twice, bad values and times, its range."""
+    twice = df.groupBy(*keys).agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("repeated_keys"))
+    v = F.col(value)
+    return df.agg(
+        F.count("*").alias("rows"), F.count_distinct("code").alias("codes"), F.count_distinct("metric").alias("metrics"), F.count_if(v.isNull()).alias("missing_values"),
+        F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("bad_values"), F.count_if(F.col(ts).isNull()).alias("missing_times"), F.min(ts).cast("string").alias("first"), F.max(ts).cast("string").alias("last"),
+    ).join(F.broadcast(twice))
+
+
+def without(df: DataFrame, condition: Column, columns: list[str] | None = None) -> DataFrame:
+    """The table after a deletion: the rows are gone, or some of their columns are NULL."""
+    hit = F.coalesce(condition, F.lit(False))
+    return df.withColumns({c: F.when(~hit, F.col(c)) for c in columns}) if columns else df.where(~hit)
+
+
+def membership(df: DataFrame, code: str = "code", scheme: str = "scheme", ts: str = "datetime") -> DataFrame:
+    """(code, scheme, value, valid_from, valid_to): each membership lasts until the next of its code and scheme."""
+    w = Window.partitionBy(code, scheme).orderBy(ts)
+    return df.select(code, scheme, "value", F.col(ts).alias("valid_from"), F.lead(ts).over(w).alias("valid_to"))
+
+
+def integrity(df: DataFrame, text: list[str], numbers: list[str]) -> DataFrame:
+    """(issue, column, rows) of blank texts and of missing or infinite numbers, in one pass."""
+    issues = [F.struct(F.lit("blank").alias("issue"), F.lit(c).alias("column"), (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "").alias("hit")) for c in text]
+    issues += [F.struct(F.lit("not finite").alias("issue"), F.lit(c).alias("column"), F.coalesce(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True)).alias("hit")) for c in numbers]
+    return df.select(F.explode(F.array(*issues)).alias("i")).groupBy("i.issue", "i.column").agg(F.count_if(F.col("i.hit")).alias("rows"))

@@ -1,5 +1,7 @@
 """Every query with SQL, on the smallest tables, against DuckDB."""
 
+from numbers import Number
+
 import duckdb
 import pandas as pd
 import pytest
@@ -23,9 +25,9 @@ def normal(df: pd.DataFrame) -> list:
     cols = sorted(df.columns)
 
     def one(v):
-        if v is None or v is pd.NaT or v != v:
+        if pd.isna(v):
             return "~"
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
+        if isinstance(v, Number) and not isinstance(v, bool):
             return f"{float(v):.6f}"
         return str(v)[:19].removesuffix(" 00:00:00")
 
