@@ -14,10 +14,12 @@ def window_returns(events: DataFrame, prices: DataFrame, before: int, after: int
     w = Window.partitionBy("code").orderBy("date")
     bars = prices.withColumn("bar", F.row_number().over(w)).withColumn("ret", F.try_divide("price", F.lag("price").over(w)) - 1)
     due = events.withColumn("due", F.date_add(F.to_date("event_ts"), (F.hour("event_ts") >= cutoff_hour).cast("int")))
-    # the first bar at or after the due date: one ordered pass over bars and events of a code, from the end
-    both = bars.select("code", F.col("date").alias("at"), F.lit(0).alias("e"), "bar", F.lit(None).cast("string").alias("event_id")).unionByName(due.select("code", F.col("due").alias("at"), F.lit(1).alias("e"), F.lit(None).cast("int").alias("bar"), F.col("event_id").cast("string").alias("event_id")))
+    # many events share a due date: its first bar is found once, in one ordered pass over bars and dates of a code
+    dates = due.select("code", "due").distinct()
+    both = bars.select("code", F.col("date").alias("at"), F.lit(0).alias("e"), "bar").unionByName(dates.select("code", F.col("due").alias("at"), F.lit(1).alias("e"), F.lit(None).cast("int").alias("bar")))
     zero = F.last("bar", ignorenulls=True).over(Window.partitionBy("code").orderBy(F.desc("at"), "e").rowsBetween(Window.unboundedPreceding, 0))
-    placed = both.withColumn("zero", zero).where("e = 1 and zero is not null").select("code", "event_id", "zero")
+    first = both.withColumn("zero", zero).where("e = 1 and zero is not null").select("code", F.col("at").alias("due"), "zero")
+    placed = due.join(first, ["code", "due"]).select("code", F.col("event_id").cast("string").alias("event_id"), "zero")
     days = placed.select("code", "event_id", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("day"), "zero").withColumn("bar", F.col("zero") + F.col("day"))
     return days.join(bars.select("code", "bar", "ret"), ["code", "bar"]).select("code", "event_id", "day", "ret")
 

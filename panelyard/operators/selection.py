@@ -48,16 +48,17 @@ def violation(limits: dict[str, tuple[str, float]]) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
+def pareto_front(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
     """Rows that no other row beats on one measure without losing on the other.
 
     Ordered by x, then y, downwards, a row is on the front if its y is above all y of larger x, and the best of its x.
-    The table holds one row a candidate, which a grid bounds."""
+    A row off the front of some of the rows is off that of all: fronts of `parts` parts come first, and only they meet."""
     valid = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    by_x = Window.orderBy(F.desc("__x"))
-    steps = valid.groupBy(F.col(x).alias("__x")).agg(F.max(y).alias("__y")).withColumn("__above", F.max("__y").over(by_x.rowsBetween(Window.unboundedPreceding, -1)))
-    keep = steps.where(F.col("__above").isNull() | (F.col("__y") > F.col("__above"))).select(F.col("__x").alias(x), F.col("__y").alias(y))
-    return valid.join(keep, [x, y], "left_semi")
+    steps = valid.groupBy(F.col(x).alias("__x")).agg(F.max(y).alias("__y"))
+    for by in ([F.pmod(F.xxhash64("__x"), F.lit(parts))], []):
+        larger = Window.partitionBy(*by).orderBy(F.desc("__x")).rowsBetween(Window.unboundedPreceding, -1)
+        steps = steps.withColumn("__above", F.max("__y").over(larger)).where(F.col("__above").isNull() | (F.col("__y") > F.col("__above"))).select("__x", "__y")
+    return valid.join(steps.select(F.col("__x").alias(x), F.col("__y").alias(y)), [x, y], "left_semi")
 
 
 def survivors(df: DataFrame, score: str, reduction: int, least: int, gid: str = "gid", always: tuple = ()) -> DataFrame:
