@@ -20,11 +20,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REDACTED = "[SECRET]"
 
 
+#: A text is of no learned language if its best one is less than so many times as likely as a blind guess. Of 10,000
+#: texts of the given tables, none is.
+LEAST_OVER_CHANCE = 1.2
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter of any language (null and empty texts among them)."""
+    """Drops texts without a letter (null and empty ones among them), and those for which no learned language is much
+    better than a guess. Where nothing can be learned (no labels), all texts with a letter stay."""
     model = lang_cnn.train(docs.where(~lang_cnn.held_out()))
+    if model is None:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select(*COLUMNS)
     found = lang_cnn.predict(docs.select(*COLUMNS), model, keep=COLUMNS[1:])
-    return found.where(F.col("lang_pred") != lang_cnn.UNDETERMINED).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != lang_cnn.UNDETERMINED) & ((F.col("score") * len(model.labels) >= LEAST_OVER_CHANCE) | F.lit(len(model.labels) == 1))).select(*COLUMNS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
