@@ -62,7 +62,7 @@ def col(name: str) -> X:
     return X("col", par=name)
 
 
-_CODE_OPS = {"lag", "min", "max", "sum", "mean", "std", "product", "argmax", "argmin", "ts_rank", "decay", "corr", "cov", "ema"}
+_CODE_OPS = {"lag", "min", "max", "sum", "mean", "std", "product", "argmax", "argmin", "ts_rank", "decay", "corr", "cov"}
 _DATE_OPS = {"rank", "scale", "demean"}
 
 

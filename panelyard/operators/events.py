@@ -65,3 +65,8 @@ def event_coverage(events: DataFrame, rows: DataFrame) -> DataFrame:
     """(code, events, placed, days): how many of a code's events have bars around them."""
     placed = rows.groupBy("code").agg(F.count_distinct("event_id").alias("placed"), F.count("ret").alias("days"))
     return events.groupBy("code").agg(F.count_distinct("event_id").alias("events")).join(placed, "code", "left").select("code", "events", F.coalesce("placed", F.lit(0)).alias("placed"), F.coalesce("days", F.lit(0)).alias("days"))
+
+
+def mean_curves(rows: DataFrame) -> DataFrame:
+    """(code, day, n, cumulative): the mean over a code's events of the return compounded outward from day 0."""
+    return cumulative(rows).groupBy("code", "day").agg(F.count("*").alias("n"), F.avg("cumulative").alias("cumulative"))

@@ -196,3 +196,15 @@ def last_days(calendar: DataFrame, first: int, last: int, date: str = "date") ->
     w = Window.partitionBy(F.date_trunc("month", date))
     placed = calendar.select(date).distinct().withColumn("__n", F.row_number().over(w.orderBy(F.desc(date)))).withColumn("__k", F.count("*").over(w))
     return placed.where((F.col("__n") <= first) & (F.col("__n") >= last) & (F.col("__k") >= first)).select(date)
+
+
+def segment_metrics(segments: DataFrame) -> DataFrame:
+    """(side, segments, wins, mean, mean_length, best, worst) of the trade segments of each side."""
+    r = F.col("ret")
+    return segments.groupBy("side").agg(F.count("*").alias("segments"), F.avg((r > 0).cast("double")).alias("wins"), F.avg(r).alias("mean"), F.avg("length").alias("mean_length"), F.max(r).alias("best"), F.min(r).alias("worst"))
+
+
+def stock_and_cash(weights: DataFrame, date: str = "date", code: str = "code") -> DataFrame:
+    """(date, stock, cash, primary): what is held and what is left, and the code of the largest weight by size."""
+    size = F.round(F.abs("weight"), 12)
+    return weights.groupBy(date).agg(F.sum(F.abs("weight")).alias("stock"), (1 - F.sum("weight")).alias("cash"), F.max_by(code, F.struct(size, -F.col(code))).alias("primary"))

@@ -66,3 +66,25 @@ def survivors(df: DataFrame, score: str, reduction: int, least: int, gid: str =
     total = df.count()
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last(score), gid))
     return df.withColumn("place", place).where((F.col("place") <= max(least, total // reduction)) | F.col(gid).isin(*always))
+
+
+def frequent_winners(counts: DataFrame, percentile: float) -> DataFrame:
+    """Candidates whose wins reach a percentile of all candidates' wins."""
+    edge = counts.agg(F.percentile("wins", F.lit(percentile)).alias("__e"))
+    return counts.join(F.broadcast(edge)).where(F.col("wins") >= F.col("__e")).drop("__e")
+
+
+def ranks(df: DataFrame, score: str, gid: str = "gid", by: tuple[str, ...] = ("window",)) -> DataFrame:
+    """Adds the rank of each candidate of a window by its score; equal scores share the better rank."""
+    return df.where(F.col(score).isNotNull()).withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(F.desc(score))))
+
+
+def selection_table(df: DataFrame, x: str, y: str, broken: Column, gid: str = "gid") -> DataFrame:
+    """The front of the feasible candidates (or, if none is, of those that break their limits least), and whether each is
+    in the top fifth of the front by x; in order of that, y and id."""
+    judged = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("violation", F.round(broken, 12))
+    least = judged.agg(F.min("violation").alias("__v"))
+    front = pareto_front(judged.join(F.broadcast(least)).where(F.col("violation") <= F.col("__v") + 1e-12).drop("__v"), x, y)
+    edge = front.agg(F.percentile(x, F.lit(0.8)).alias("__e"))
+    found = front.join(F.broadcast(edge)).withColumn("top", F.col(x) >= F.col("__e")).drop("__e")
+    return found.orderBy(F.desc("top"), F.desc(y), gid)

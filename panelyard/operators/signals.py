@@ -136,3 +136,41 @@ def horizons(df: DataFrame, price: str, bars: list[int], code: str = "code", dat
     w = Window.partitionBy(code).orderBy(date)
     parts = F.array(*[F.struct(F.lit(k).alias("horizon"), (F.try_divide(F.lead(price, k).over(w), F.col(price)) - 1).alias("forward")) for k in bars])
     return df.withColumn("__h", parts).withColumn("__h", F.explode("__h")).select("*", "__h.*").drop("__h")
+
+
+def robustness(ic: DataFrame, by: str = "code") -> DataFrame:
+    """(by, mean and icir in and out of sample, decay, robust): robust where both means have one sign and the decay is
+    below a half. ic: by, sample (in or out), ic."""
+    of = lambda s: F.when(F.col("sample") == s, F.col("ic"))
+    a = ic.groupBy(by).agg(F.avg(of("in")).alias("mean_in"), F.stddev_samp(of("in")).alias("__si"), F.avg(of("out")).alias("mean_out"), F.stddev_samp(of("out")).alias("__so"))
+    icir = lambda m, s: F.try_divide(m, F.nullif(s, F.lit(0.0)))
+    decay = F.try_divide(F.abs(F.col("mean_out") - F.col("mean_in")), F.nullif(F.abs("mean_in"), F.lit(0.0)))
+    robust = F.coalesce((F.signum("mean_in") == F.signum("mean_out")) & (F.coalesce(decay, F.lit(0.0)) < 0.5), F.lit(False))
+    return a.select(by, "mean_in", icir("mean_in", "__si").alias("icir_in"), "mean_out", icir("mean_out", "__so").alias("icir_out"), decay.alias("decay"), robust.alias("robust"))
+
+
+def timing_score(ic: DataFrame, tested: DataFrame, fitted: DataFrame, stable: DataFrame, by: str = "code") -> DataFrame:
+    """(by, four parts, score, grade A to F): coefficients 30 %, signals 25 %, regression 20 %, robustness 25 %.
+
+    ic: by, icir, hit_rate; tested: by, hit; fitted: by, r2, t (a beta counts from |t| of 1.96 on); stable: of `robustness`."""
+    joined = ic.select(by, "icir", "hit_rate").join(tested.select(by, "hit"), by, "left").join(fitted.select(by, "r2", "t"), by, "left").join(stable.select(by, "mean_in", "mean_out", "decay"), by, "left")
+    r = F.abs(F.coalesce("icir", F.lit(0.0)))
+    level = F.when(r >= 2, 0.9).when(r >= 1, 0.7).when(r >= 0.5, 0.5).otherwise(F.greatest(F.lit(0.1), r / 2))
+    parts = {
+        "part_ic": level * 0.7 + F.least(F.coalesce("hit_rate", F.lit(0.5)), F.lit(1.0)) * 0.3,
+        "part_signal": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.coalesce("hit", F.lit(0.3)) - 0.3) / 0.4)),
+        "part_regression": F.least(F.lit(1.0), F.coalesce("r2", F.lit(0.0)) * 10) * 0.5 + F.when(F.abs("t") >= 1.96, 0.5).otherwise(0.0),
+        "part_robust": F.when(F.col("mean_in").isNull() | F.col("mean_out").isNull(), 0.1).otherwise(F.when(F.signum("mean_in") == F.signum("mean_out"), 0.5).otherwise(0.0) + F.coalesce(F.greatest(F.lit(0.0), 0.5 - F.least("decay", F.lit(1.0)) * 0.5), F.lit(0.0))),
+    }
+    score = F.col("part_ic") * 0.30 + F.col("part_signal") * 0.25 + F.col("part_regression") * 0.20 + F.col("part_robust") * 0.25
+    out = joined.select(by, *(c.alias(k) for k, c in parts.items())).withColumn("score", score)
+    s = F.round("score", 9)
+    return out.withColumn("grade", F.when(s >= 0.8, "A").when(s >= 0.6, "B").when(s >= 0.4, "C").when(s >= 0.2, "D").otherwise("F"))
+
+
+def window_regressions(df: DataFrame, y: str, x: str, length: int, step: int, code: str = "code", date: str = "date") -> DataFrame:
+    """(code, window, n, beta, t, r2) over windows of `length` bars, every `step` bars; a bar belongs to all its windows."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__k", F.row_number().over(Window.partitionBy(code).orderBy(date)) - 1)
+    first = F.greatest(F.lit(0), F.ceil((F.col("__k") - (length - 1)) / step)).cast("int")
+    placed = both.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("__k") / step).cast("int"))))
+    return regression(placed, y, x, [code, "window"], length).select(code, "window", "n", "beta", "t", "r2")

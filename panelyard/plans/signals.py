@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators import backtest, cross_section, evaluation, events, quality, signals, timing
+from panelyard.operators import backtest, cross_section, evaluation, events, portfolio, quality, selection, signals, timing
 from panelyard.operators.asof import in_universe
 from panelyard.plans.access import RAW, raw
-from panelyard.plans.research import BASE, IC, LABELS, PANEL, SNAPSHOTS, WEIGHTS, X_SQL, R, _rules_sql, _universe, forward, neat, xs
+from panelyard.plans.research import BASE, IC, LABELS, PANEL, SNAPSHOTS, WEIGHTS, X_SQL, R, _rules_sql, _universe, forward, neat, weighted, xs
+from panelyard.plans.sweeps import YEARLY, _candidates
 from panelyard.sources.panel import load, panel
 
 QUERIES: dict = {}
@@ -240,3 +241,88 @@ def factor_run(spark, sf_dir):
     weights = cross_section.long_short_weights(cross_section.quantile_label(inside, "x", 5).where("label is not null"))
     full = bars.select("code", "date").join(weights.select("code", "date", "weight"), ["code", "date"], "left").select(F.lit("run").alias("portfolio"), "code", "date", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     return neat(backtest.vector(full, bars.select("code", "date", F.col("returns").alias("ret"))).drop("portfolio"), "date")
+
+
+# ---- scores, windows, choices ------------------------------------------------------------------------------------
+
+TIMED = f"""{PANEL}, {X_SQL}, tf AS (SELECT code, date, x, CASE WHEN count(returns) OVER w = 3 THEN sum(returns) OVER w END AS f FROM x WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+tg AS (SELECT code, date, count(*) OVER w AS k, covar_pop(x, f) OVER w AS c, stddev_pop(x) OVER w * stddev_pop(f) OVER w AS s FROM tf WHERE x IS NOT NULL AND f IS NOT NULL WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+tic AS (SELECT code, date, CASE WHEN k = 12 AND s > 1e-12 THEN c / s END AS ic, CASE WHEN row_number() OVER (PARTITION BY code ORDER BY date) <= count(*) OVER (PARTITION BY code) * 0.7 THEN 'in' ELSE 'out' END AS sample FROM tg),
+rb AS (SELECT code, avg(ic) FILTER (sample = 'in') AS mean_in, stddev_samp(ic) FILTER (sample = 'in') AS si, avg(ic) FILTER (sample = 'out') AS mean_out, stddev_samp(ic) FILTER (sample = 'out') AS so FROM tic GROUP BY code),
+rob AS (SELECT *, abs(mean_out - mean_in) / nullif(abs(mean_in), 0) AS decay FROM rb)"""
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    return signals.split(signals.timing_ic(xs(spark, sf_dir), "x", "returns", 3, 12), 0.7)
+
+
+@query(f"{TIMED} SELECT code, {R('mean_in', 'mean_in')}, {R('mean_in / nullif(si, 0)', 'icir_in')}, {R('mean_out', 'mean_out')}, {R('mean_out / nullif(so, 0)', 'icir_out')}, {R('decay', 'decay')}, coalesce(sign(mean_in) = sign(mean_out) AND coalesce(decay, 0) < 0.5, FALSE) AS robust FROM rob")
+def timing_robustness(spark, sf_dir):
+    return neat(signals.robustness(_timed(spark, sf_dir)), "code", "robust").select("code", "mean_in", "icir_in", "mean_out", "icir_out", "decay", "robust")
+
+
+@query(f"""{TIMED}, ics AS (SELECT code, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(CAST(ic > 0 AS DOUBLE)) AS hr FROM tic GROUP BY code),
+{SIG}, hits AS (SELECT code, (count(*) FILTER (signal > 0 AND x > 0) + count(*) FILTER (signal < 0 AND x < 0)) / nullif(CAST(count(*) FILTER (signal <> 0) AS DOUBLE), 0) AS hit FROM sg WHERE signal IS NOT NULL GROUP BY code),
+ry AS (SELECT code, x, lead(returns) OVER (PARTITION BY code ORDER BY date) AS y FROM x), {REGRESSION.format(by='code', source='ry', least=10)},
+pt AS (SELECT ics.code, CASE WHEN abs(coalesce(icir, 0)) >= 2 THEN 0.9 WHEN abs(coalesce(icir, 0)) >= 1 THEN 0.7 WHEN abs(coalesce(icir, 0)) >= 0.5 THEN 0.5 ELSE greatest(0.1, abs(coalesce(icir, 0)) / 2) END * 0.7 + least(coalesce(hr, 0.5), 1) * 0.3 AS a,
+least(1, greatest(0, (coalesce(hit, 0.3) - 0.3) / 0.4)) AS b, least(1, coalesce(r2, 0) * 10) * 0.5 + CASE WHEN sqrt(f) >= 1.96 THEN 0.5 ELSE 0 END AS c,
+CASE WHEN mean_in IS NULL OR mean_out IS NULL THEN 0.1 ELSE CASE WHEN sign(mean_in) = sign(mean_out) THEN 0.5 ELSE 0 END + coalesce(greatest(0, 0.5 - least(decay, 1) * 0.5), 0) END AS d FROM ics LEFT JOIN hits USING (code) LEFT JOIN e USING (code) LEFT JOIN rob USING (code)),
+sc AS (SELECT *, a * 0.30 + b * 0.25 + c * 0.20 + d * 0.25 AS score FROM pt)
+SELECT code, {R('a', 'part_ic')}, {R('b', 'part_signal')}, {R('c', 'part_regression')}, {R('d', 'part_robust')}, {R('score', 'score')}, CASE WHEN round(score, 9) >= 0.8 THEN 'A' WHEN round(score, 9) >= 0.6 THEN 'B' WHEN round(score, 9) >= 0.4 THEN 'C' WHEN round(score, 9) >= 0.2 THEN 'D' ELSE 'F' END AS grade FROM sc""")
+def timing_score(spark, sf_dir):
+    timed = _timed(spark, sf_dir)
+    ahead = xs(spark, sf_dir).withColumn("y", F.lead("returns").over(Window.partitionBy("code").orderBy("date")))
+    tested = signals.signal_test(_signals(spark, sf_dir), "signal", "x", ["code"])
+    found = signals.timing_score(evaluation.ic_summary(timed, ("code",)), tested, signals.regression(ahead, "y", "x", ["code"]), signals.robustness(timed))
+    return neat(found, "code", "grade").select("code", "part_ic", "part_signal", "part_regression", "part_robust", "score", "grade")
+
+
+@query(f"""{PANEL}, {X_SQL}, wy AS (SELECT code, date, x, lead(returns) OVER (PARTITION BY code ORDER BY date) AS y FROM x), wk AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) - 1 AS k FROM wy WHERE x IS NOT NULL AND y IS NOT NULL),
+ww AS (SELECT code, x, y, CAST(unnest(generate_series(greatest(0, CAST(ceil((k - 23) / 12.0) AS BIGINT)), k // 12)) AS INTEGER) AS w FROM wk), {REGRESSION.format(by='code, w', source='ww', least=24)} SELECT code, w AS "window", n, {R('beta', 'beta')}, {R('sign(beta) * sqrt(f)', 't')}, {R('r2', 'r2')} FROM e""")
+def window_regressions(spark, sf_dir):
+    ahead = xs(spark, sf_dir).withColumn("y", F.lead("returns").over(Window.partitionBy("code").orderBy("date")))
+    return neat(signals.window_regressions(ahead, "y", "x", 24, 12), "code", "window", "n")
+
+
+@query(f"""{PANEL}, {YEARLY}, b AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY score DESC, gid) AS k FROM cand WHERE score IS NOT NULL), w AS (SELECT gid, count(*) AS wins, avg(score) AS m FROM b WHERE k = 1 GROUP BY gid) SELECT gid, wins, {R('m', 'mean_score')} FROM w WHERE wins >= (SELECT quantile_cont(wins, 0.5) FROM w)""")
+def frequent_winners(spark, sf_dir):
+    return neat(selection.frequent_winners(selection.wins(selection.champions(_candidates(spark, sf_dir), "score"), "score"), 0.5), "gid", "wins")
+
+
+@query(f"""{PANEL}, {YEARLY} SELECT gid, CAST("window" AS INTEGER) AS "window", {R('score', 'score')}, CAST(rank() OVER (PARTITION BY "window" ORDER BY score DESC) AS INTEGER) AS rank FROM cand WHERE score IS NOT NULL""")
+def candidate_ranks(spark, sf_dir):
+    return neat(selection.ranks(_candidates(spark, sf_dir).select("gid", "window", "score"), "score"), "gid", "window", "rank")
+
+
+@query(f"""{PANEL}, {YEARLY}, v AS (SELECT *, round(greatest(0, 10 - n) / 10.0 + greatest(0, -calm - 0.4) / 0.4, 12) AS v FROM cand WHERE score IS NOT NULL AND calm IS NOT NULL), fe AS (SELECT * FROM v WHERE v <= (SELECT min(v) FROM v) + 1e-12),
+fr AS (SELECT * FROM fe WHERE NOT EXISTS (SELECT 1 FROM fe o WHERE o.score >= fe.score AND o.calm >= fe.calm AND (o.score > fe.score OR o.calm > fe.calm)))
+SELECT gid, CAST("window" AS INTEGER) AS "window", {R('score', 'score')}, {R('calm', 'calm')}, {R('v', 'violation')}, score >= (SELECT quantile_cont(score, 0.8) FROM fr) AS top FROM fr""")
+def selection_table(spark, sf_dir):
+    limits = selection.violation({"n": ("min", 10.0), "spread": ("max", 0.4)})
+    found = selection.selection_table(_candidates(spark, sf_dir).withColumn("spread", -F.col("calm")), "score", "calm", limits)
+    return neat(found.select("gid", "window", "score", "calm", "violation", "top"), "gid", "window", "top").select("gid", "window", "score", "calm", "violation", "top")
+
+
+@query(f"""{PANEL}, {X_SQL}, {LABELS}, {WEIGHTS}, j AS (SELECT p.code, p.date, p.returns, CAST(sign(coalesce(weight, 0)) AS INTEGER) AS side FROM panel p LEFT JOIN weights w ON w.code = p.code AND w.date = p.date),
+c AS (SELECT *, coalesce(CAST(side <> lag(side) OVER (PARTITION BY code ORDER BY date) AS INTEGER), 1) AS c FROM j), g AS (SELECT *, sum(c) OVER (PARTITION BY code ORDER BY date) AS segment FROM c),
+sm AS (SELECT side, count(*) AS length, exp(sum(ln(1 + greatest(side * coalesce(returns, 0), -0.999999)))) - 1 AS ret FROM g WHERE side <> 0 GROUP BY code, segment, side)
+SELECT side, count(*) AS segments, {R('avg(CAST(ret > 0 AS DOUBLE))', 'wins')}, {R('avg(ret)', 'mean')}, {R('avg(length)', 'mean_length')}, {R('max(ret)', 'best')}, {R('min(ret)', 'worst')} FROM sm GROUP BY side""")
+def segment_metrics(spark, sf_dir):
+    full = panel(spark, sf_dir).select("code", "date", "returns").join(weighted(spark, sf_dir).select("code", "date", "weight"), ["code", "date"], "left")
+    return neat(portfolio.segment_metrics(portfolio.trade_segments(full, "returns")), "side", "segments")
+
+
+@query(f"{PANEL}, {X_SQL}, {LABELS}, {WEIGHTS} SELECT date, {R('sum(abs(weight))', 'stock')}, {R('1 - sum(weight)', 'cash')}, max_by(code, struct_pack(a := round(abs(weight), 12), b := -code)) AS \"primary\" FROM weights WHERE weight <> 0 GROUP BY date")
+def stock_and_cash(spark, sf_dir):
+    return neat(portfolio.stock_and_cash(weighted(spark, sf_dir).where("weight <> 0")), "date", "primary")
+
+
+@query(f"WITH {MANY} SELECT code, day, count(ret) AS n, {R('avg(ret)', 'mean')}, {R('stddev_samp(ret)', 'std')} FROM win GROUP BY code, day")
+def event_statistics_by_code(spark, sf_dir):
+    rows = _many(spark, sf_dir)[1].withColumn("key", F.struct("code", "day"))
+    return neat(events.day_statistics(rows, "key").select("key.code", "key.day", "n", "mean", "std"), "code", "day", "n")
+
+
+@query(f"WITH {FIXED} SELECT code, day, count(*) AS n, {R('avg(cumulative)', 'cumulative')} FROM cu GROUP BY code, day")
+def event_mean_curves(spark, sf_dir):
+    return neat(events.mean_curves(_many(spark, sf_dir)[1]), "code", "day", "n")
