@@ -6,7 +6,7 @@ low, close, volume, amount, vwap, returns, cap, and the labels subindustry, indu
 
 from panelyard.functions.formula import (
     X, abs_, adv, col, correlation, covariance, decay_linear, delay, delta, greatest, indneutralize, least, log, product, rank, scale, sign,
-    signedpower, stddev, ts_argmax, ts_argmin, ts_max, ts_mean, ts_min, ts_rank, ts_sum, where,
+    signedpower, stddev, ts_argmax, ts_argmin, ts_max, ts_half_mean, ts_mean, ts_min, ts_rank, ts_sum, where,
 )
 
 open_, high, low, close, volume, vwap, returns, cap = (col(c) for c in ("open", "high", "low", "close", "volume", "vwap", "returns", "cap"))
@@ -118,7 +118,7 @@ FORMULAS: dict[int, X] = {
 #: Factors beside the list: displacement from the highest close, and the price impact of traded amounts.
 OTHERS: dict[str, X] = {
     "disp": -close / ts_max(close, 20),
-    "illiq": ts_mean(abs_(returns) / col("amount"), 20),
+    "illiq": ts_half_mean(abs_(returns) / col("amount"), 20),
 }
 
 
@@ -127,4 +127,4 @@ def history(x: X) -> int:
     below = max((history(a) for a in x.args), default=1)
     if x.op == "lag":
         return below + x.par
-    return below + (x.par - 1 if x.op in {"min", "max", "sum", "mean", "std", "product", "argmax", "argmin", "ts_rank", "decay", "corr", "cov"} else 0)
+    return below + (x.par - 1 if x.op in {"min", "max", "sum", "mean", "std", "product", "argmax", "argmin", "ts_rank", "decay", "corr", "cov", "half_mean"} else 0)

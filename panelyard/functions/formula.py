@@ -62,7 +62,7 @@ def col(name: str) -> X:
     return X("col", par=name)
 
 
-_CODE_OPS = {"lag", "min", "max", "sum", "mean", "std", "product", "argmax", "argmin", "ts_rank", "decay", "corr", "cov"}
+_CODE_OPS = {"lag", "min", "max", "sum", "mean", "std", "product", "argmax", "argmin", "ts_rank", "decay", "corr", "cov", "half_mean"}
 _DATE_OPS = {"rank", "scale", "demean"}
 
 
@@ -71,6 +71,7 @@ def _rolling(op: str) -> Callable:
 
 
 ts_min, ts_max, ts_sum, ts_mean, stddev, product = (_rolling(o) for o in ("min", "max", "sum", "mean", "std", "product"))
+ts_half_mean = _rolling("half_mean")  # the mean of what a window has, if that is half of it at least
 ts_argmax, ts_argmin, ts_rank, decay_linear = (_rolling(o) for o in ("argmax", "argmin", "ts_rank", "decay"))
 
 
@@ -165,10 +166,11 @@ def _windowed(x: X, a: list[Column], names: list[str]) -> Column:
     if x.op == "lag":
         return F.lag(a[0], n).over(code)
     if x.op == "rank":
-        # NULLs have a partition of their own; ties share the mean of their places
+        # NULLs have a partition of their own; ties share the mean of their places: one exchange and one sort for it all
         own = Window.partitionBy(DATE, a[0].isNull())
-        place = F.rank().over(own.orderBy(a[0])) + (F.count(F.lit(1)).over(Window.partitionBy(DATE, a[0])) - 1) / 2
-        return F.when(a[0].isNotNull(), place / F.count(a[0]).over(date))
+        ties = own.orderBy(a[0]).rangeBetween(Window.currentRow, Window.currentRow)
+        place = F.rank().over(own.orderBy(a[0])) + (F.count(F.lit(1)).over(ties) - 1) / 2
+        return F.when(a[0].isNotNull(), place / F.count(F.lit(1)).over(own))
     if x.op == "scale":
         return F.round(F.try_divide(a[0] * n, F.sum(F.abs(a[0])).over(date)), DIGITS)
     if x.op == "demean":
@@ -183,6 +185,8 @@ def _windowed(x: X, a: list[Column], names: list[str]) -> Column:
             return F.when(full, F.round(cov, DIGITS))
         spread = F.stddev_samp(u).over(w) * F.stddev_samp(v).over(w)
         return F.when(full & (spread > 1e-12), F.round(cov / spread, DIGITS))
+    if x.op == "half_mean":
+        return F.when(F.count(a[0]).over(w) >= n // 2, F.round(F.avg(a[0]).over(w), DIGITS))
     full = F.count(a[0]).over(w) == n
     held = F.collect_list(a[0]).over(w)
     match x.op:
@@ -305,6 +309,8 @@ def _sql_windowed(x: X, a: list[str]) -> str:
             return f"CASE WHEN count({u}) {w} = {n} THEN round({cov}, {DIGITS}) END"
         spread = f"(stddev_samp({u}) {w} * stddev_samp({v}) {w})"
         return f"CASE WHEN count({u}) {w} = {n} AND {spread} > 1e-12 THEN round({cov} / {spread}, {DIGITS}) END"
+    if x.op == "half_mean":
+        return f"CASE WHEN count({a[0]}) {w} >= {n // 2} THEN round(avg({a[0]}) {w}, {DIGITS}) END"
     held = f"list({a[0]}) {w}"
     out = {
         "min": f"min({a[0]}) {w}", "max": f"max({a[0]}) {w}", "sum": f"round(sum({a[0]}) {w}, {DIGITS})", "mean": f"round(avg({a[0]}) {w}, {DIGITS})",
