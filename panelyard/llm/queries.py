@@ -111,18 +111,18 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH RECURSIVE doc AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-  FROM documents WHERE doc_id IS NOT NULL),
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'row ' || row_number() OVER ()) AS k,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g
-  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM doc WHERE len(w) > 0)),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  SELECT DISTINCT k, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g
+  FROM (SELECT k, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM doc WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT k, count(*) AS n FROM s GROUP BY k),
 link AS MATERIALIZED (
-  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
-  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 75 * (p.n + q.n - common)),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+  SELECT a, b FROM (SELECT x.k AS a, y.k AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.k <> y.k GROUP BY 1, 2)
+  JOIN n p ON p.k = a JOIN n q ON q.k = b WHERE 100 * common >= 75 * (p.n + q.n - common)),
+reach AS (SELECT k AS a, k AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT doc.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.b, doc.doc_id) AS component_id
-FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) c ON c.a = doc.doc_id
+FROM doc LEFT JOIN n USING (k) LEFT JOIN (SELECT a, min(d.doc_id) AS b FROM reach JOIN (SELECT DISTINCT k, doc_id FROM doc) d ON d.k = reach.b GROUP BY a) c ON c.a = doc.k
 """
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
