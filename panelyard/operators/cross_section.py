@@ -32,8 +32,9 @@ def winsorize(df: DataFrame, x: str, method: str = "mad", n: float = 3.0, date:
 def pct_rank(x: str, date: str = "date") -> Column:
     """Rank among the non-NULL values of the date, ties averaged, over their number."""
     own = Window.partitionBy(date, F.col(x).isNull())
-    place = F.rank().over(own.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(date, x)) - 1) / 2
-    return F.when(F.col(x).isNotNull(), place / F.count(x).over(_by(date)))
+    ties = own.orderBy(x).rangeBetween(Window.currentRow, Window.currentRow)
+    place = F.rank().over(own.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2
+    return F.when(F.col(x).isNotNull(), place / F.count(F.lit(1)).over(own))
 
 
 def standardize(df: DataFrame, x: str, method: str = "zscore", date: str = "date") -> DataFrame:

@@ -66,7 +66,7 @@ def autocorrelation(df: DataFrame, x: str, lags: list[int], least: int = 5, code
     """(lag, n, mean): mean rank correlation of the factor's cross-sections that many periods apart."""
     ranked = df.where(F.col(x).isNotNull()).select(code, date, F.col(x).alias("__v"))
     dates = ranked.select(date).distinct().withColumn("__p", F.row_number().over(Window.orderBy(date)))
-    now = ranked.join(F.broadcast(dates), date).select(code, "__p", "__v")
+    now = ranked.join(dates, date).select(code, "__p", "__v")
     later = now.select(code, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("__p") + k).alias("__p")) for k in lags])).alias("s"), F.col("__v").alias("__u")).select(code, "s.lag", "s.__p", "__u")
     both = now.join(later, [code, "__p"]).withColumn("__d", F.struct("lag", "__p"))
     return information_coefficient(both, "__v", "__u", True, least, "__d").groupBy(F.col("__d.lag").alias("lag")).agg(F.count("ic").alias("n"), F.avg("ic").alias("mean"))
@@ -78,9 +78,9 @@ def selection_turnover(df: DataFrame, x: str, quantile: float = 0.8, code: str =
     chosen = df.where(F.col(x).isNotNull()).withColumn("__e", edge).where(F.col(x) >= F.col("__e")).select(code, date)
     dates = df.where(F.col(x).isNotNull()).select(date).distinct().withColumn("__b", F.lag(date).over(Window.orderBy(date)))
     size = chosen.groupBy(date).agg(F.count("*").alias("n"))
-    kept = chosen.join(F.broadcast(dates), date).join(chosen.select(code, F.col(date).alias("__b")), [code, "__b"]).groupBy(date).agg(F.count("*").alias("kept"))
+    kept = chosen.join(dates, date).join(chosen.select(code, F.col(date).alias("__b")), [code, "__b"]).groupBy(date).agg(F.count("*").alias("kept"))
     before = size.select(F.col(date).alias("__b"), F.col("n").alias("n_before"))
-    out = size.join(F.broadcast(dates), date).join(before, "__b").join(kept, date, "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    out = size.join(dates, date).join(before, "__b").join(kept, date, "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
     return out.select(date, "n", "kept", (1 - F.col("kept") / F.col("n_before")).alias("turnover"), (F.col("kept") / (F.col("n") + F.col("n_before") - F.col("kept"))).alias("jaccard"))
 
 

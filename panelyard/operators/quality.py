@@ -20,8 +20,10 @@ def conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def keep_one(df: DataFrame, keys: list[str], order: str, last: bool = True) -> DataFrame:
-    """The last (or first) row of each key by `order`."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order) if last else F.asc(order))
+    """The last (or first) row of each key by `order`; rows of equal order go by their other columns, so that the choice
+    doesn't depend on where they lie."""
+    others = [F.asc(c) for c, t in df.dtypes if c not in keys and c != order and not t.startswith("map")]
+    w = Window.partitionBy(*keys).orderBy(F.desc(order) if last else F.asc(order), *others)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
