@@ -25,7 +25,7 @@ def max_t_test(long: DataFrame, replicates: int = 200, seed: int = 1, date: str
     m = long.groupBy("factor").agg((F.avg("y") - F.covar_samp("x", "y") / F.var_samp("x") * F.avg("x")).alias("__a"), F.try_divide(F.covar_samp("x", "y"), F.nullif(F.var_samp("x"), F.lit(0.0))).alias("__b"), t_value("y", "x").alias("t"))
     numbered = long.select(date).distinct().withColumn("place", F.row_number().over(Window.orderBy(date)) - 1)
     n = numbered.count()
-    flat = long.join(F.broadcast(m), "factor").withColumn("__r", F.col("y") - F.col("__b") * F.col("x")).join(F.broadcast(numbered), date).select("place", "factor", "x", "__r")
+    flat = long.join(m, "factor").withColumn("__r", F.col("y") - F.col("__b") * F.col("x")).join(numbered, date).select("place", "factor", "x", "__r")
     spark = long.sparkSession
     picks = draws(n, spark.range(replicates).select(F.col("id").cast("int").alias("replicate")), seed)
     largest = picks.join(flat, "place").groupBy("replicate", "factor").agg(t_value("__r", "x").alias("t")).groupBy("replicate").agg(F.max(F.abs("t")).alias("__m"))
