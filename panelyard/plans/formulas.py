@@ -15,14 +15,14 @@ LONG = 50
 
 
 def rounded(x: Column) -> Column:
-    """Both engines sum in their own order: 6 digits, shifted off the ties of rational values; 2 for large values, and
-    the logarithm, with the sign, of huge ones."""
-    large = F.when(F.abs(x) < 1e9, F.round(x + 3.7e-5, 2)).otherwise(F.signum(x) * F.round(F.log10(F.abs(x)), 6))
+    """Both engines sum in their own order: 6 digits, shifted off the ties of rational values; 2 for large values, and 7
+    digits in all for huge ones."""
+    large = F.when(F.abs(x) < 1e9, F.round(x + 3.7e-5, 2)).otherwise(F.format_string("%.6e", x.cast("double")).try_cast("double"))
     return F.when(F.abs(x) < 1000, F.round(x + 3.7e-9, 6)).otherwise(large)
 
 
 def rounded_sql(x: str) -> str:
-    return f"(CASE WHEN abs({x}) < 1000 THEN round({x} + 3.7e-9, 6) WHEN abs({x}) < 1e9 THEN round({x} + 3.7e-5, 2) ELSE sign({x}) * round(log10(abs({x})), 6) END)"
+    return f"(CASE WHEN abs({x}) < 1000 THEN round({x} + 3.7e-9, 6) WHEN abs({x}) < 1e9 THEN round({x} + 3.7e-5, 2) ELSE CAST(format('{{:.6e}}', CAST({x} AS DOUBLE)) AS DOUBLE) END)"
 
 
 def bar_of(formula: X) -> str:
@@ -35,7 +35,7 @@ def run(formula: X, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql(formula: X) -> str:
-    return formula_sql(panel_sql(bar_of(formula)), formula, "code, date, " + rounded_sql("{factor}") + " AS factor")
+    return formula_sql(panel_sql(bar_of(formula)), formula, "code, date, " + rounded_sql("{factor}").replace("{:.6e}", "{{:.6e}}") + " AS factor")
 
 
 NAMED: dict[str, X] = {f"alpha_{n:03d}": f for n, f in catalog.FORMULAS.items()} | {f"factor_{k}": f for k, f in catalog.OTHERS.items()}
