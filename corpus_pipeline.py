@@ -8,12 +8,15 @@ their input has; n_chars follows the text where that changes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm import decontaminate, jaccard_join, lang_cnn, length_packing, secret_crf
+from panelyard.llm.sketches import bitmap_of
 from panelyard.llm.text import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,27 +39,51 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Each row with a key of its own, stored so that it stays the same: ids can be null or repeated."""
+    """Each row with a key of its own: its id where all ids are there and differ; else a number, with which the rows are
+    stored so that it stays the same."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("row"))
     return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
 
 
+def _without(rows: DataFrame, leave: DataFrame) -> DataFrame:
+    """The rows whose key is not in `leave`, a stored table of different keys. Only rows that a bitmap of these keys doesn't clear are
+    shuffled to meet them."""
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap_of(leave))
+    hashed = rows.select(*COLUMNS, "row", F.xxhash64("row").alias("h"))
+    kept = [*COLUMNS, "row"]
+
+    def split(hit: bool) -> Callable:
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(wanted.value.has(batch.column("h").to_numpy().view(np.uint64)) == hit)).select(kept)
+
+        return some
+
+    schema = rows.select(*kept).schema
+    clear, other = (hashed.mapInArrow(split(hit), schema) for hit in (False, True))
+    return clear.unionByName(other.join(leave, "row", "left_anti").select(*kept)).select(*COLUMNS)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the smallest id stays (rows without an id come last).
 
     Rows are judged one by one: rows of the same id stay if their texts are not linked, as do all texts without words."""
     rows = _keyed(docs)
-    linked = jaccard_join.link(rows.select(F.col("row").alias("doc_id"), "text"), size=5, per_cent=75).select(F.col("doc_id").alias("row"), "component_id")
+    linked = stored(jaccard_join.link(rows.select(F.col("row").alias("doc_id"), "text"), size=5, per_cent=75).select(F.col("doc_id").alias("row"), "component_id"), "linked")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
-    stay = stored(linked.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row"), "stay")
-    return rows.join(stay, "row", "left_semi").select(*COLUMNS)
+    several = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    group = stored(linked.join(several, "component_id").join(rows.select("row", "doc_id"), "row"), "groups")
+    first = group.groupBy("component_id").agg(F.min(order).alias("first")).select("component_id", F.col("first.row").alias("stays"))
+    return _without(rows, stored(group.join(first, "component_id").where("row <> stays").select("row"), "leave"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold ten words in a row of a benchmark item (or all of a shorter one), whatever their ids."""
     rows = _keyed(docs)
     found = decontaminate.decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), window=10)
-    leave = stored(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("row")), "contaminated")
-    return rows.join(leave, "row", "left_anti").select(*COLUMNS)
+    return _without(rows, stored(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("row")), "contaminated"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
