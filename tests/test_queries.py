@@ -28,7 +28,7 @@ def normal(df: pd.DataFrame) -> list:
         if pd.isna(v):
             return "~"
         if isinstance(v, Number) and not isinstance(v, bool):
-            return f"{float(v):.6f}"
+            return f"{float(v) + 0.0:.6f}"
         return str(v)[:19].removesuffix(" 00:00:00")
 
     return sorted(tuple(one(v) for v in row) for row in df[cols].itertuples(index=False))
