@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import ctw, decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, rlz_dedup, secret_crf, url_trie
+from panelyard.llm import ctw, decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, rlz_dedup, secret_crf, url_trie, word_bpe
 from panelyard.llm.text import table
 
 
@@ -151,5 +151,13 @@ def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", ctw.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-QUERIES = {"op2_ctw_score": op2_ctw_score, "op6_substring_dedup": op6_substring_dedup, "op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    read = word_bpe.decode(word_bpe.encode(table(spark, sf_dir, "documents"), path), word_bpe.vocabulary_pieces(spark, path))
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op12_word_bpe": op12_word_bpe, "op2_ctw_score": op2_ctw_score, "op6_substring_dedup": op6_substring_dedup, "op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
 ORACLE_SQL = {"op6_substring_dedup": OP6_SQL, "op5_jaccard_join": OP5_SQL, "op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}
