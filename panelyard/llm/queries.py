@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import ctw, decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, rlz_dedup, secret_crf, url_trie, word_bpe
+from panelyard.llm import conversation_repair, conversation_trie, ctw, decontaminate, id_store, impact_topk, jaccard_join, lang_cnn, length_packing, rlz_dedup, secret_crf, url_trie, word_bpe
 from panelyard.llm.text import table
 
 
@@ -159,5 +159,89 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op12_word_bpe": op12_word_bpe, "op2_ctw_score": op2_ctw_score, "op6_substring_dedup": op6_substring_dedup, "op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
-ORACLE_SQL = {"op6_substring_dedup": OP6_SQL, "op5_jaccard_join": OP5_SQL, "op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"), head=(F.crc32(c.cast("string")) % 6).cast("int"), base=c - c % 100, most=5)
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    byte = "lambda c, b: list_reduce(list_concat([xor(c, b)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))), {byte}), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH conv AS MATERIALIZED (
+  SELECT conv_id, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS own
+  FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+cut AS (SELECT *, CAST({crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS INTEGER) AS h FROM conv),
+path AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(b.own[:c.h], []), CASE WHEN c.h < len(c.own) THEN c.own[c.h + 1:] ELSE [] END) AS p
+  FROM cut c LEFT JOIN conv b ON b.conv_id = c.conv_id - c.conv_id % 100),
+member AS MATERIALIZED (
+  SELECT conv_id, d, list_transform(p[:d], lambda t: t.k) AS node, CASE WHEN d > 0 THEN list_transform(p[:d - 1], lambda t: t.k) END AS up, CASE WHEN d > 0 THEN p[d].n ELSE 0 END AS n, len(p) = d AS here
+  FROM (SELECT conv_id, p, unnest(generate_series(0, len(p))) AS d FROM path)),
+node AS MATERIALIZED (
+  SELECT node, any_value(up) AS up, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN here THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM member GROUP BY node),
+kids AS MATERIALIZED (SELECT up, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+under AS (
+  SELECT a.node, sum(b.saved) AS saved, count(*) FILTER (k.up IS NULL) AS leaves
+  FROM (SELECT node, saved, unnest(generate_series(0, depth)) AS d FROM node) b JOIN node a ON a.node = b.node[:b.d] LEFT JOIN kids k ON k.up = b.node GROUP BY a.node)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, a.n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM node a JOIN under u ON u.node = a.node LEFT JOIN node p ON p.node = a.up LEFT JOIN kids k ON k.up = a.node
+"""
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    place = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    return conversation_repair.report(conversations, conversation_repair.damage(conversations, F.crc32(place) % 20))
+
+
+OP11_SQL = f"""
+WITH RECURSIVE src AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code FROM conversations),
+rows AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM src)),
+put AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i, role[1] AS c,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z FROM rows),
+flag AS MATERIALIZED (
+  SELECT *, z = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, z NOT IN ('.', '!', '?') AS open, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM put),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+    count(*) FILTER (NOT blank AND NOT again AND open) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM flag GROUP BY conv_id),
+put_in(q, q2, letters, cost) AS (VALUES (0, 0, '', 0), (0, 2, 'I', 2), (0, 3, 'II', 4), (1, 1, '', 0), (1, 2, 'I', 2), (1, 3, 'II', 4), (2, 2, '', 0), (2, 3, 'I', 2), (2, 2, 'II', 4), (3, 3, '', 0), (3, 2, 'I', 2), (3, 3, 'II', 4)),
+go(q, c, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+given(q, q2) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit FROM (
+    SELECT b.conv_id, b.i + 1 AS i, e.q2 AS q, b.cost + p.cost + e.cost + CASE WHEN e.l <> 'D' AND f.open THEN 1 ELSE 0 END AS cost, b.audit || p.letters || e.l AS audit
+    FROM best b JOIN put_in p ON p.q = b.q JOIN flag f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1
+    JOIN (SELECT q, NULL AS c, q AS q2, 'D' AS l, 3 AS cost FROM given UNION ALL SELECT q, c, q2, 'K', 0 FROM go UNION ALL SELECT q, NULL, q2, 'R', 2 FROM given) e
+      ON e.q = p.q2 AND (e.l = 'D' OR NOT (f.blank OR f.again)) AND (e.c IS NULL OR e.c = f.c)) GROUP BY conv_id, i, q),
+ended AS (
+  SELECT b.conv_id, min(b.cost + p.cost) AS cost, arg_min(b.audit || p.letters, (b.cost + p.cost, b.audit || p.letters)) AS audit
+  FROM best b JOIN counts k ON k.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = k.n JOIN put_in p ON p.q = b.q WHERE p.q2 IN (0, 3) GROUP BY b.conv_id),
+step AS (
+  SELECT conv_id, k, e, count(*) FILTER (e <> 'I') OVER w AS i, audit, count(*) FILTER (e <> 'D') OVER w AS place
+  FROM (SELECT conv_id, audit, unnest(string_split(audit, '')) AS e, unnest(generate_series(1, length(audit))) AS k FROM ended WHERE audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+kept AS (
+  SELECT s.conv_id, s.place, s.e, f.role, f.text, max(CASE WHEN s.place = 1 AND s.e = 'K' AND f.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS lead
+  FROM step s LEFT JOIN flag f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i AND s.e <> 'I' WHERE s.e <> 'D'),
+out AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY place)) AS h FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.cost, 0) AS cost, coalesce(e.audit, '') AS audit, coalesce(out.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN out ON out.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+QUERIES = {"op11_conversation_repair": op11_conversation_repair, "op13_conversation_trie": op13_conversation_trie, "op12_word_bpe": op12_word_bpe, "op2_ctw_score": op2_ctw_score, "op6_substring_dedup": op6_substring_dedup, "op5_jaccard_join": op5_jaccard_join, "op9_id_store": op9_id_store, "op1_length_packing": op1_length_packing, "op3_url_filter": op3_url_filter, "op4_impact_topk": op4_impact_topk, "op8_language_id": op8_language_id, "op10_secret_scan": op10_secret_scan, "op7_decontaminate": op7_decontaminate}
+ORACLE_SQL = {"op11_conversation_repair": OP11_SQL, "op13_conversation_trie": OP13_SQL, "op6_substring_dedup": OP6_SQL, "op5_jaccard_join": OP5_SQL, "op3_url_filter": OP3_SQL, "op4_impact_topk": OP4_SQL, "op7_decontaminate": OP7_SQL}
