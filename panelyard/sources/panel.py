@@ -7,6 +7,8 @@ is dense: every code has a row for every date, with NULLs where it did not trade
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,19 @@ def dense(traded: DataFrame) -> DataFrame:
     return everyone.select("code", F.explode("dates").alias("date")).join(traded, ["code", "date"], "left")
 
 
-def panel(spark: SparkSession, sf_dir: str, every: str = "month") -> DataFrame:
-    """Months: one code per supplier. Weeks: one code per nation, for formulas that look back far."""
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder of spark.checkpoint.dir and read from there: queries that use a
+    table several times don't compute it several times, and a lost executor costs a read. Where no folder is set (tests)
+    a temporary one is."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def panel(spark: SparkSession, sf_dir: str, every: str = "month", once: bool = False) -> DataFrame:
+    """Months: one code per supplier. Weeks: one code per nation, for formulas that look back far. once: trade lines are
+    read once, and the panel is kept, for queries that read it several times."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     nations = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -51,8 +64,9 @@ def panel(spark: SparkSession, sf_dir: str, every: str = "month") -> DataFrame:
             F.col("s_nationkey").cast("long").alias("code"), "cap", (F.col("s_nationkey") % 10).cast("long").alias("subindustry"), (F.col("s_nationkey") % 5).cast("long").alias("industry"), F.col("n_regionkey").cast("long").alias("sector"),
         )
     before = F.lag("close").over(Window.partitionBy("code").orderBy("date"))
-    full = dense(traded).join(facts, "code", "left")
-    return full.select("code", "date", "open", "high", "low", "close", "volume", "amount", F.try_divide("amount", "volume").alias("vwap"), (F.try_divide("close", before) - 1).alias("returns"), "cap", "subindustry", "industry", "sector")
+    full = dense(kept(traded) if once else traded).join(facts, "code", "left")
+    whole = full.select("code", "date", "open", "high", "low", "close", "volume", "amount", F.try_divide("amount", "volume").alias("vwap"), (F.try_divide("close", before) - 1).alias("returns"), "cap", "subindustry", "industry", "sector")
+    return kept(whole) if once else whole
 
 
 def panel_sql(every: str = "month") -> str:
