@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelyard.operators import bootstrap, selection, tables
+from panelyard.operators import selection, tables
 from panelyard.plans.formulas import rounded_sql
 from panelyard.plans.research import BASE, LABELS, NAV, PANEL, WEIGHTS, X_SQL, R, forward, navs, neat, weighted
 from panelyard.sources.panel import load, panel
@@ -78,14 +78,6 @@ def sweep_survivors(spark, sf_dir):
     return neat(selection.survivors(mean, "score", 4, 3, always=(1,)), "gid")
 
 
-@query()
-def bootstrap_max_t(spark, sf_dir):
-    """Monthly mean returns on three market series; draws are seeded hashes, so SQL can't repeat them."""
-    market = panel(spark, sf_dir).groupBy("date").agg(F.avg("returns").alias("y"), F.avg(F.col("volume") / 100).alias("volume"), F.avg("vwap").alias("vwap"), F.stddev_samp("returns").alias("spread"))
-    long = market.select("date", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("x")) for k in ("volume", "vwap", "spread")])).alias("s")).select("date", "s.factor", "s.x", "y").where("x is not null and y is not null")
-    return neat(bootstrap.max_t_test(long), "factor")
-
-
 @query(f"""{NAV}, p AS (SELECT code FROM (SELECT code, max(abs(nav)) AS p FROM nav GROUP BY code) ORDER BY p DESC, code LIMIT 5) SELECT code, date, nav FROM nav SEMI JOIN p USING (code)""")
 def leading_codes(spark, sf_dir):
     return tables.leading(navs(spark, sf_dir), "nav", 5)
