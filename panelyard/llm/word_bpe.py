@@ -2,8 +2,9 @@
 are joined back to every place where it stands; ids become text again through a join with the pieces of the vocabulary.
 
 Texts travel in blocks (the rows that one task reads, about `block_bytes` of text each), so the words that are shuffled
-are the distinct words of a block, not all words of all texts. The table of distinct words is partitioned by word and
-joined with the blocks' words; what comes back to a block is a bounded dictionary, whatever the corpus.
+are the distinct words of a block, numbered by first sight, not all words of all texts. The table of distinct words is
+partitioned and sorted by word; each entry is encoded once and its ids go back to every block's number for it. What comes
+back to a block is a bounded dictionary, whatever the corpus; the block's rows then take their ids by position.
 
 A cut is only made where the tokenizer surely cuts too: before white space, and between an ASCII or Latin letter or digit
 and punctuation. Texts with other characters are cut before white space alone; texts that hold an added token, or one of
@@ -18,18 +19,18 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from panelyard.llm.text import pieces as small_batches
 
@@ -82,22 +83,28 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def blocks(docs: DataFrame, keep: tuple[str, ...], block_bytes: int) -> DataFrame:
-    """The rows with a block number and their text packed; a block is what a task reads, up to block_bytes."""
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    """The rows, by block and place in it, with their text packed; a block is what a task reads, up to block_bytes."""
+    fields = _fields(docs, keep)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=3).compress
+        block, place, held, squeeze = TaskContext.get().partitionId() << 32, 0, 0, zstandard.ZstdCompressor(level=3).compress
         for batch in small_batches(batches, "packed"):
             texts = batch.column("packed").to_pylist()
             size = sum(len(t) for t in texts if t)
             if held and held + size > block_bytes:
-                block, held = block + 1, 0
+                block, held, place = block + 1, 0, 0
             held += size
+            n = len(texts)
             packed = [None if t is None else squeeze(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(texts), pa.int64()), *(batch.column(c) for c in keep), pa.array(packed, pa.binary())], ["block", *keep, "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), *(batch.column(c) for c in keep), pa.array(packed, pa.binary())], ["block", "place", *keep, "packed"])
+            place += n
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(*keep, F.col("text").cast("binary").alias("packed")).mapInArrow(pack, f"block bigint, {fields}, packed binary").repartition(n, "block")
+    return docs.select(*keep, F.col("text").cast("binary").alias("packed")).mapInArrow(pack, f"block bigint, place bigint, {fields}, packed binary").repartition(n, "block")
+
+
+def _fields(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
 
 def _texts(packed: pa.ChunkedArray | pa.Array) -> Iterator[str]:
@@ -105,75 +112,147 @@ def _texts(packed: pa.ChunkedArray | pa.Array) -> Iterator[str]:
     return ("" if p is None else unpack(p).decode("utf-8", "replace") for p in packed.to_pylist())
 
 
-def block_words(packed: DataFrame, path: str, limit: int = 500_000) -> DataFrame:
-    """block, word: each distinct word of each block (more than once where a block has more words than the limit)."""
+class _Codes(dict):
+    """Word -> number in the order of first sight."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen, held = vocabulary(path).cut, {}, 0
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for block, own in seen.items():
-                listed = list(own)
-                for at in range(0, len(listed), 50_000):
-                    part = listed[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.binary())], ["block", "word"])
+    def digest(self) -> bytes:
+        return xxhash.xxh3_128_digest(b"\0".join(self))
 
-        for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), _texts(batch.column("packed"))):
-                own = seen.setdefault(block, set())
-                held -= len(own)
-                own.update(cut(text))
-                held += len(own)
-                if held > limit:
-                    yield from rows()
-                    seen, held = {}, 0
-        yield from rows()
 
-    return packed.mapInArrow(words, "block bigint, word binary")  # all columns: so both readers of `packed` share one exchange
+def block_words(packed: DataFrame, path: str) -> DataFrame:
+    """block, code, word: each distinct word of each block, numbered by first sight; code -1 has the digest of them all."""
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, own, at = vocabulary(path).cut, _Codes(), None
 
-def word_ids(words: DataFrame, path: str) -> DataFrame:
-    """word, n_blocks, ids: every distinct word encoded once; ids are little-endian unsigned 32-bit integers."""
+        def rows() -> Iterator[pa.RecordBatch]:
+            listed = [own.digest(), *own]
+            for k in range(0, len(listed), 50_000):
+                part = listed[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(range(k - 1, k - 1 + len(part)), pa.int64()), pa.array(part, pa.binary())], ["block", "code", "word"])
 
-    @pandas_udf("binary")
-    def ids(word: pd.Series) -> pd.Series:
-        found = vocabulary(path).encode([bytes(w).decode() for w in word])
-        return pd.Series([np.array(x, "<u4").tobytes() for x in found], dtype=object)
+        for batch in batches:
+            for block, text in zip(batch.column("block").to_pylist(), _texts(batch.column("packed"))):
+                if block != at:
+                    if at is not None:
+                        yield from rows()
+                    at, own = block, _Codes()
+                deque(map(own.__getitem__, cut(text)), maxlen=0)
+        if at is not None:
+            yield from rows()
+
+    # all columns go in, so that both readers of `packed` share one exchange
+    return packed.sortWithinPartitions("block", "place").mapInArrow(words, "block bigint, code bigint, word binary")
+
+
+def word_ids(words: DataFrame, path: str, flush: int = 500_000) -> DataFrame:
+    """The table of distinct words: partitioned and sorted by word, each distinct word is encoded once, and its ids go to
+    every (block, code) that has it. block, table: packed (code, ids) of a block's words; digest: the block's digest."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, last, ids = vocabulary(path).encode, None, np.empty(0, "<u4")
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def row(blocks: list, tables: list, digests: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(tables, pa.binary()), pa.array(digests, pa.binary())], ["block", "table", "digest"])
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            block, code, size, flat = map(np.concatenate, zip(*held))
+            first, order = np.cumsum(size) - size, np.lexsort((code, block))
+            block, code, size, first = (x[order] for x in (block, code, size, first))
+            cuts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)].tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                s = size[a:b]
+                yield row([int(block[a])], [_pack(code[a:b], s, flat[np.repeat(first[a:b] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))])], [None])
 
-    return words.groupBy("word").agg(F.count("block").alias("n_blocks")).withColumn("ids", ids("word"))
+        for batch in batches:
+            codes = batch.column("code").to_numpy()
+            if (told := np.flatnonzero(codes < 0)).size:
+                part = batch.take(pa.array(told))
+                yield row(part.column("block").to_pylist(), [None] * len(told), part.column("word").to_pylist())
+                batch = batch.take(pa.array(np.flatnonzero(codes >= 0)))
+            listed = batch.column("word").to_pylist()
+            number = _Codes()
+            at = np.fromiter(map(number.__getitem__, listed), np.int64, len(listed))
+            fresh = [w for w in number if w != last]  # sorted: only the first word can have been encoded with the batch before
+            new = [np.array(x, "<u4") for x in encode([w.decode() for w in fresh])]
+            known = [ids, *new] if len(fresh) < len(number) else new
+            if not known:
+                continue
+            last, ids = next(reversed(number)), known[-1]
+            sizes, flat = np.fromiter(map(len, known), np.int64, len(known)), np.concatenate(known)
+            size, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+            held.append((batch.column("block").to_numpy(), batch.column("code").to_numpy(), size, flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]))
+            if sum(len(x[0]) for x in held) > flush:
+                yield from packed()
+                held.clear()
+        if held:
+            yield from packed()
+
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(learn, "block bigint, table binary, digest binary")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, their first bytes first, then their second bytes, and so on: these pack better."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _pack(code: np.ndarray, size: np.ndarray, ids: np.ndarray) -> bytes:
+    return len(code).to_bytes(8, "little") + zstandard.compress(_planes(np.diff(code, prepend=0)) + _planes(size) + _planes(ids), 3)
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, x = int.from_bytes(raw[:8], "little"), np.frombuffer(zstandard.decompress(raw[8:]), np.uint8)
+    flat = lambda p: np.ascontiguousarray(p.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(flat(x[: 4 * n])), flat(x[4 * n : 8 * n]), flat(x[8 * n :])
+
+
+def _ids(rows: pa.Table, cut: Callable[[str], list[bytes]], own: _Codes, start: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, bytearray] | None:
+    """Where each text's ids end, and all ids; None if there are more different words than ids are known of."""
+    ends, out = [0], bytearray()
+    for text in _texts(rows.column("packed")):
+        words = cut(text)
+        at = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+        if len(own) > len(sizes):
+            return None
+        s = sizes[at]
+        out += flat[np.repeat(start[at] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))].tobytes()
+        ends.append(len(out) // 4)
+    return np.array(ends, np.int64), out
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 32 << 20) -> DataFrame:
     """The columns `keep`, n_tokens, and ids (binary, little-endian unsigned 32-bit integers) of every row of docs (text)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = blocks(docs, keep, block_bytes)
-    words = block_words(packed, path).repartition(n, "word")
-    known = words.join(word_ids(words, path).where("n_blocks > 0"), "word").select("block", "word", "ids")
-    schema = pa.schema([*((c, t) for c, t in zip(keep, _arrow_types(docs, keep))), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    known = word_ids(block_words(packed, path), path)
+    schema = pa.schema([*zip(keep, _arrow_types(docs, keep)), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
-    def back(rows: pa.Table, table: pa.Table) -> pa.Table:
+    def back(rows: pa.Table, tables: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        listed = table.column("word").to_pylist()
-        number = dict(zip(listed, range(len(listed))))
-        held = table.column("ids").combine_chunks()
-        first = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64) // 4 if len(held) else np.zeros(1, np.int64)
-        flat = np.frombuffer(held.buffers()[2] or b"", "<u4") if len(held) else np.empty(0, "<u4")
-        size, cut, out, counts = np.diff(first), vocabulary(path).cut, [], []
-        for text in _texts(rows.column("packed")):
-            words = cut(text)
-            try:
-                at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                sizes = size[at]
-                ids = flat[np.repeat(first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-            except KeyError:  # the block was read again in another order after an executor was lost: encode this text by itself
-                ids = np.array([i for x in vocabulary(path).encode([w.decode() for w in words]) for i in x], "<u4")
-            counts.append(len(ids))
-            out.append(ids.astype("<u4").tobytes())
-        return pa.Table.from_arrays([*(rows.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], schema=schema)
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(back, f"{fields}, n_tokens bigint, ids binary")
+        rows, cut = rows.sort_by("place"), vocabulary(path).cut
+        code, size, flat = map(np.concatenate, zip(*[_unpack(t) for t in tables.column("table").to_pylist() if t] or [[np.empty(0, np.int64)] * 3]))
+        sizes, start = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        start[code], sizes[code] = np.cumsum(size) - size, size
+        told, own = tables.column("digest").to_pylist(), _Codes()
+        found = _ids(rows, cut, own, start, sizes, flat.astype("<u4"))
+        if found is None or own.digest() not in told:
+            # the block was read again, with other rows, after an executor was lost: it encodes its words itself
+            for text in _texts(rows.column("packed")):
+                deque(map(own.__getitem__, cut(text)), maxlen=0)
+            new = vocabulary(path).encode([w.decode() for w in own])
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            found = _ids(rows, cut, own, np.cumsum(sizes) - sizes, sizes, np.array([i for x in new for i in x], "<u4"))
+        ends, ids = found
+        binary = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids)])
+        return pa.Table.from_arrays([*(rows.column(c) for c in keep), pa.array(np.diff(ends), pa.int64()), binary], schema=schema)
+
+    return packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(back, f"{_fields(docs, keep)}, n_tokens bigint, ids binary")
 
 
 def _arrow_types(docs: DataFrame, keep: tuple[str, ...]) -> list[pa.DataType]:
