@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelyard.plans import access, formulas, inference, mining, portfolio, research, signals, sweeps
+from panelyard.plans import access, formulas, inference, mining, portfolio, research, signals, smooth, sweeps
 
-_PARTS = (formulas, research, access, portfolio, signals, sweeps, mining, inference)
+_PARTS = (formulas, research, access, portfolio, signals, sweeps, mining, inference, smooth)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
