@@ -104,3 +104,17 @@ def annual_turnover(turnovers: DataFrame, date: str = "date") -> DataFrame:
     a = turnovers.agg(F.count("*").alias("rebalances"), F.avg("turnover").alias("mean"), F.datediff(F.max(date), F.min(date)).alias("__d"))
     gap = F.try_divide(F.col("__d").cast("double"), F.col("rebalances") - 1)
     return a.select("rebalances", "mean", F.try_divide(F.col("mean") * 365, gap).alias("annual"))
+
+
+def rolling_drawdown(df: DataFrame, n: int, value: str = "nav", series: str = "code", date: str = "date") -> DataFrame:
+    """Adds the deepest fall from an earlier peak within the last n rows (NULL before there are n): the window's values fold
+    into (peak, fall), n numbers at most."""
+    w = _over(series, date).rowsBetween(-(n - 1), 0)
+    held = F.collect_list(F.col(value).cast("double")).over(w)
+    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("fall"))
+
+    def step(s: Column, v: Column) -> Column:
+        peak = F.greatest(s["peak"], v)
+        return F.struct(peak.alias("peak"), F.least(s["fall"], F.coalesce(F.try_divide(v, peak) - 1, F.lit(0.0))).alias("fall"))
+
+    return df.withColumn("rolling_drawdown", F.when(F.count(value).over(w) == n, F.aggregate(held, start, step, lambda s: s["fall"])))
