@@ -422,14 +422,6 @@ def vector_backtest(spark, sf_dir):
     return neat(backtest.vector(w, bars.select("code", "date", F.col("returns").alias("ret"))), "portfolio", "date")
 
 
-@query()
-def integer_lot_backtest(spark, sf_dir):
-    """One portfolio per industry, long its top group; tested against a plain loop."""
-    top = labelled(spark, sf_dir).where("label = 4 and industry is not null and close is not null")
-    w = top.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("industry", "date"))).select(F.col("industry").alias("portfolio"), "date", "code", "weight", F.col("close").alias("price"))
-    return neat(backtest.integer_lots(w, 1e7), "portfolio", "date", "code")
-
-
 @query(f"""{PANEL}, {X_SQL}, v AS (SELECT * FROM x WHERE x IS NOT NULL), t AS (SELECT code, date, x, count(x) OVER w AS k, avg(x) OVER w + 0.5 * stddev_samp(x) OVER w AS th FROM v WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
 SELECT code, date, {R('CASE WHEN k = 12 THEN th END', 'threshold')}, CASE WHEN k = 12 THEN CAST(x > th AS DOUBLE) END AS weight FROM t""")
 def rolling_threshold(spark, sf_dir):
