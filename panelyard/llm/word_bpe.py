@@ -45,33 +45,38 @@ _BROAD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _UNSURE = re.compile("[\x1c-\x1f᠎]")
 
 
-class Vocabulary:
-    """The tokenizer of a file, and how texts may be cut into words for it."""
+class Cutter:
+    """How texts may be cut into words for the tokenizer of a file; small, and all that most tasks need of it."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         told = json.loads(Path(path).read_text())
         before = told["pre_tokenizer"] or {}
         if told["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
             raise ValueError(f"{path}: not a byte-level tokenizer that cuts words by its own pattern")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.holds_added = re.compile("|".join(map(re.escape, self.added)) or r"(?!)")
+        self.whole = re.compile("|".join(map(re.escape, (t["content"] for t in told["added_tokens"]))) or r"(?!)")
 
-    def cut(self, text: str) -> list[bytes]:
+    def __call__(self, text: str) -> list[bytes]:
         """Words that, encoded one by one, give the ids of the text."""
         if not text:
             return []
-        if self.holds_added.search(text) or _UNSURE.search(text):
+        if self.whole.search(text) or _UNSURE.search(text):
             return [text.encode()]
         return [w.encode() for w in _BROAD.findall(text)] if _OTHER.search(text) else _PLAIN.findall(text.encode())
 
+
+class Vocabulary:
+    """The tokenizer of a file."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -123,11 +128,11 @@ class _Codes(dict):
         return xxhash.xxh3_128_digest(b"\0".join(self))
 
 
-def block_words(packed: DataFrame, path: str) -> DataFrame:
+def block_words(packed: DataFrame, cut: Cutter) -> DataFrame:
     """block, code, word: each distinct word of each block, numbered by first sight; code -1 has the digest of them all."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, own, at = vocabulary(path).cut, _Codes(), None
+        own, at = _Codes(), None
 
         def rows() -> Iterator[pa.RecordBatch]:
             listed = [own.digest(), *own]
@@ -229,13 +234,14 @@ def _ids(rows: pa.Table, cut: Callable[[str], list[bytes]], own: _Codes, start:
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 32 << 20) -> DataFrame:
     """The columns `keep`, n_tokens, and ids (binary, little-endian unsigned 32-bit integers) of every row of docs (text)."""
     packed = blocks(docs, keep, block_bytes)
-    known = word_ids(block_words(packed, path), path)
+    cut = Cutter(path)
+    known = word_ids(block_words(packed, cut), path)
     schema = pa.schema([*zip(keep, _arrow_types(docs, keep)), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def back(rows: pa.Table, tables: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        rows, cut = rows.sort_by("place"), vocabulary(path).cut
+        rows = rows.sort_by("place")
         code, size, flat = map(np.concatenate, zip(*[_unpack(t) for t in tables.column("table").to_pylist() if t] or [[np.empty(0, np.int64)] * 3]))
         sizes, start = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
         start[code], sizes[code] = np.cumsum(size) - size, size
