@@ -36,13 +36,18 @@ def dense(traded: DataFrame) -> DataFrame:
     return everyone.select("code", F.explode("dates").alias("date")).join(traded, ["code", "date"], "left")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder of spark.checkpoint.dir and read from there: queries that use a
-    table several times don't compute it several times, and a lost executor costs a read. Where no folder is set (tests)
-    a temporary one is."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where none is set (tests), a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there: queries that use a table several times don't
+    compute it several times, and a lost executor costs a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
