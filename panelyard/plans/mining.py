@@ -1,4 +1,4 @@
-"""Queries of parameter sweeps: a grid of momentum factors over monthly bars, scored over windows, with their SQL."""
+"""Queries of parameter sweeps: a grid of momentum factors over monthly mean prices, scored over windows, with their SQL."""
 
 from __future__ import annotations
 
@@ -33,8 +33,8 @@ def _evaluated(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     kinds = {pair: k for k, pair in enumerate(dict.fromkeys((r.lookback, r.skip) for r in rows))}
     candidates = [(r.gid, kinds[r.lookback, r.skip], r.groups) for r in rows]
     w = Window.partitionBy("code").orderBy("date")
-    variants = {k: F.try_divide(F.lag("close", skip).over(w), F.lag("close", skip + back).over(w)) - 1 for (back, skip), k in kinds.items()}
-    values = asof.in_universe(sweep.exposures(bars, variants, "close"), _universe(bars))
+    variants = {k: F.try_divide(F.lag("vwap", skip).over(w), F.lag("vwap", skip + back).over(w)) - 1 for (back, skip), k in kinds.items()}
+    values = asof.in_universe(sweep.exposures(bars, variants, "vwap"), _universe(bars))
     clean = sweep.cleaned(values)
     calendar = sweep.next_dates(bars)
     daily = kept(sweep.series(sweep.portfolios(clean, candidates), calendar))
@@ -44,8 +44,8 @@ def _evaluated(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 _FACTORS = "(VALUES " + ", ".join(f"({k}, {b}, {s})" for k, (b, s) in enumerate((b, s) for b in GRID["lookback"] for s in GRID["skip"])) + ") f(fid, back, skip)"
 _CANDIDATES = "(VALUES " + ", ".join(f"({i}, {i // 3}, {n})" for i, n in enumerate(n for b in GRID["lookback"] for s in GRID["skip"] for n in GRID["groups"])) + ") c(gid, fid, n)"
 _SWEEP = f"""{PANEL}, {SNAPSHOTS}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, lead(date) OVER (ORDER BY date) AS next, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)),
-pi AS MATERIALIZED (SELECT p.code, p.date, i, close, lead(close) OVER (PARTITION BY p.code ORDER BY p.date) / nullif(close, 0) - 1 AS forward FROM panel p JOIN cal USING (date)),
-fx AS (SELECT a.code, a.date, fid, b.close / nullif(c.close, 0) - 1 AS x, a.forward FROM pi a JOIN members m ON m.code = a.code AND m.date = a.date, {_FACTORS}, pi b, pi c
+pi AS MATERIALIZED (SELECT p.code, p.date, i, vwap, lead(vwap) OVER (PARTITION BY p.code ORDER BY p.date) / nullif(vwap, 0) - 1 AS forward FROM panel p JOIN cal USING (date)),
+fx AS (SELECT a.code, a.date, fid, b.vwap / nullif(c.vwap, 0) - 1 AS x, a.forward FROM pi a JOIN members m ON m.code = a.code AND m.date = a.date, {_FACTORS}, pi b, pi c
   WHERE b.code = a.code AND b.i = a.i - skip AND c.code = a.code AND c.i = a.i - skip - back),
 f0 AS (SELECT * FROM fx WHERE x IS NOT NULL), md AS (SELECT fid, date, quantile_cont(x, 0.5) AS m FROM f0 GROUP BY 1, 2),
 sd AS (SELECT fid, date, any_value(m) AS m, quantile_cont(abs(x - m), 0.5) AS s FROM f0 JOIN md USING (fid, date) GROUP BY 1, 2),
