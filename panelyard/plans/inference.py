@@ -31,9 +31,10 @@ def _simpson(low: str, high: str, power: str, steps: int = 1000) -> str:
 
 
 def t_p_sql(t: str, n: str) -> str:
-    """Two-sided p of t with n degrees of freedom: the share of cos^(n - 1) beyond atan(|t| / sqrt(n))."""
-    power = f"pow(abs(cos({{at}})), {n} - 1)"
-    return f"(CASE WHEN {n} > 0 THEN {_simpson(f'atan(abs({t}) / sqrt({n}))', '(pi() / 2)', power)} / {_simpson('0', '(pi() / 2)', power)} END)"
+    """Two-sided p of t with n degrees of freedom: the share of cos^(n - 1) beyond atan(|t| / sqrt(n)), integrated from the
+    far end over its fourth root, where the integrand is smooth for any n of at least 1."""
+    power = f"(pow({{at}}, 3) * pow(abs(sin(pow({{at}}, 4))), {n} - 1))"
+    return f"(CASE WHEN {n} > 0 THEN {_simpson('0', f'pow(pi() / 2 - atan(abs({t}) / sqrt({n})), 0.25)', power, 4000)} / {_simpson('0', 'pow(pi() / 2, 0.25)', power, 4000)} END)"
 
 
 def f_p_sql(f: str, m: str, n: str) -> str:
