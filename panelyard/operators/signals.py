@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.distributions import t_p_value
 from panelyard.operators.cross_section import quantile_label
 from panelyard.operators.evaluation import guarded_corr
+from panelyard.operators.grades import WEIGHTS, graded
 
 
 def timing_ic(df: DataFrame, x: str, ret: str, ahead: int, window: int, code: str = "code", date: str = "date") -> DataFrame:
@@ -127,7 +129,7 @@ def threshold_weights(df: DataFrame, x: str, threshold: float, above: bool = Tru
 
 
 def single_factor_tests(df: DataFrame, y: str, x: str, factor: str) -> DataFrame:
-    """(factor, n, beta, abs_t) of y on each demeaned factor, one after the other."""
+    """(factor, n, beta, abs_t) of y on each factor alone."""
     return regression(df, y, x, [factor], 3).select(factor, "n", "beta", F.abs("t").alias("abs_t"))
 
 
@@ -150,22 +152,12 @@ def robustness(ic: DataFrame, by: str = "code") -> DataFrame:
 
 
 def timing_score(ic: DataFrame, tested: DataFrame, fitted: DataFrame, stable: DataFrame, by: str = "code") -> DataFrame:
-    """(by, four parts, score, grade A to F): coefficients 30 %, signals 25 %, regression 20 %, robustness 25 %.
-
-    ic: by, icir, hit_rate; tested: by, hit; fitted: by, r2, t (a beta counts from |t| of 1.96 on); stable: of `robustness`."""
-    joined = ic.select(by, "icir", "hit_rate").join(tested.select(by, "hit"), by, "left").join(fitted.select(by, "r2", "t"), by, "left").join(stable.select(by, "mean_in", "mean_out", "decay"), by, "left")
-    r = F.abs(F.coalesce("icir", F.lit(0.0)))
-    level = F.when(r >= 2, 0.9).when(r >= 1, 0.7).when(r >= 0.5, 0.5).otherwise(F.greatest(F.lit(0.1), r / 2))
-    parts = {
-        "part_ic": level * 0.7 + F.least(F.coalesce("hit_rate", F.lit(0.5)), F.lit(1.0)) * 0.3,
-        "part_signal": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.coalesce("hit", F.lit(0.3)) - 0.3) / 0.4)),
-        "part_regression": F.least(F.lit(1.0), F.coalesce("r2", F.lit(0.0)) * 10) * 0.5 + F.when(F.abs("t") >= 1.96, 0.5).otherwise(0.0),
-        "part_robust": F.when(F.col("mean_in").isNull() | F.col("mean_out").isNull(), 0.1).otherwise(F.when(F.signum("mean_in") == F.signum("mean_out"), 0.5).otherwise(0.0) + F.coalesce(F.greatest(F.lit(0.0), 0.5 - F.least("decay", F.lit(1.0)) * 0.5), F.lit(0.0))),
-    }
-    score = F.col("part_ic") * 0.30 + F.col("part_signal") * 0.25 + F.col("part_regression") * 0.20 + F.col("part_robust") * 0.25
-    out = joined.select(by, *(c.alias(k) for k, c in parts.items())).withColumn("score", score)
-    s = F.round("score", 9)
-    return out.withColumn("grade", F.when(s >= 0.8, "A").when(s >= 0.6, "B").when(s >= 0.4, "C").when(s >= 0.2, "D").otherwise("F"))
+    """(by, four parts, score, grade A to F); see grades. A part that is missing counts as if its share of hits were 0.3.
+
+    ic: by, icir, hit_rate; tested: by, hit; fitted: by, n, r2, t (a beta counts at p below 0.05); stable: of `robustness`."""
+    joined = ic.select(by, "icir", "hit_rate").join(tested.select(by, F.coalesce("hit", F.lit(0.3)).alias("hit")), by, "left").join(fitted.select(by, "r2", t_p_value(F.col("t"), F.col("n") - 2).alias("p_value")), by, "left")
+    found = graded(joined.join(stable.select(by, "mean_in", "mean_out", "decay"), by, "left"))
+    return found.select(by, *WEIGHTS, "score", "grade")
 
 
 def window_regressions(df: DataFrame, y: str, x: str, length: int, step: int, code: str = "code", date: str = "date") -> DataFrame:

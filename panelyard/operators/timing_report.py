@@ -8,15 +8,10 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.distributions import t_p_value
 from panelyard.operators.evaluation import ic_summary
+from panelyard.operators.grades import graded
 from panelyard.operators.signals import regression, robustness, split, timing_ic
 
 RULES = ("band", "average", "extreme", "sign", "change", "long_average_change", "average_change")
-#: The parts of the score and their weights, the levels of |ICIR|, the grades.
-WEIGHTS = {"part_ic": 0.30, "part_signal": 0.25, "part_regression": 0.20, "part_robust": 0.25}
-LEVELS = ((2.0, 0.9), (1.0, 0.7), (0.5, 0.5))
-GRADES = ((0.8, "A"), (0.6, "B"), (0.4, "C"), (0.2, "D"))
-
-
 def _zero(c: Column | str) -> Column:
     return F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(0.0))
 
@@ -99,25 +94,6 @@ def best_rules(tests: DataFrame, code: str = "code") -> DataFrame:
     return tests.groupBy(code).agg(F.max_by("rule", F.struct(F.round("hit", 10), -place)).alias("rule"), F.max("hit").alias("hit"))
 
 
-def graded(parts: DataFrame) -> DataFrame:
-    """Adds score and grade to rows with icir, hit_rate, hit, r2, p_value, mean_in, mean_out, decay."""
-    size = F.abs(_zero("icir"))
-    level = F.greatest(F.lit(0.1), size / 2)
-    for edge, value in LEVELS[::-1]:
-        level = F.when(size >= edge, value).otherwise(level)
-    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    agree = F.when(F.signum("mean_in") == F.signum("mean_out"), 0.5).otherwise(0.0)
-    scored = parts.withColumns({
-        "part_ic": level * 0.7 + F.least(F.coalesce("hit_rate", F.lit(0.5)), F.lit(1.0)) * 0.3, "part_signal": unit((_zero("hit") - 0.3) / 0.4), "part_regression": unit(_zero("r2") * 10) * 0.5 + F.when(F.col("p_value") < 0.05, 0.5).otherwise(0.0),
-        "part_robust": F.when(F.col("mean_in").isNull() | F.col("mean_out").isNull(), 0.1).otherwise(agree + _zero(F.greatest(F.lit(0.0), 0.5 - F.least("decay", F.lit(1.0)) * 0.5))),
-    })
-    total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    grade = F.lit("F")
-    for edge, name in GRADES[::-1]:
-        grade = F.when(F.round("score", 9) >= edge, name).otherwise(grade)
-    return scored.withColumn("score", total).withColumn("grade", grade)
-
-
 def report(df: DataFrame, x: str, ret: str, ahead: int, window: int, long_window: int, ic_window: int, ratio: float = 0.7, year: float = 252.0, code: str = "code", date: str = "date") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tests, measures, scores) of every code's factor x: all rules' tests; the best rule's back-test; the score's parts."""
     nexts = Window.partitionBy(code).orderBy(date).rowsBetween(1, ahead)

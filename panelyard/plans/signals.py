@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelyard.operators import backtest, cross_section, evaluation, events, portfolio, quality, selection, signals, timing
 from panelyard.operators.asof import in_universe
 from panelyard.plans.access import RAW, raw
+from panelyard.plans.inference import t_p_sql
 from panelyard.plans.research import BASE, IC, LABELS, PANEL, SNAPSHOTS, WEIGHTS, X_SQL, R, _rules_sql, _universe, forward, neat, weighted, xs
 from panelyard.plans.sweeps import YEARLY, _candidates
 from panelyard.sources.panel import load, panel
@@ -236,8 +237,8 @@ d AS (SELECT date, coalesce(lag(weight) OVER (PARTITION BY code ORDER BY date),
 SELECT date, {R('ret', 'ret')}, {R('exp(sum(ln(1 + greatest(ret, -0.999999))) OVER (ORDER BY date))', 'nav')} FROM s""")
 def factor_run(spark, sf_dir):
     """Universe, factor, groups, weights and the value they lead to, as one plan."""
-    bars = panel(spark, sf_dir)
-    inside = in_universe(xs(spark, sf_dir), _universe(bars))
+    bars = panel(spark, sf_dir, once=True)
+    inside = in_universe(bars.select("code", "date", (F.col("volume") / 100.0 + F.col("amount") / 1e6).alias("x")), _universe(bars))
     weights = cross_section.long_short_weights(cross_section.quantile_label(inside, "x", 5).where("label is not null"))
     full = bars.select("code", "date").join(weights.select("code", "date", "weight"), ["code", "date"], "left").select(F.lit("run").alias("portfolio"), "code", "date", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     return neat(backtest.vector(full, bars.select("code", "date", F.col("returns").alias("ret"))).drop("portfolio"), "date")
@@ -265,7 +266,7 @@ def timing_robustness(spark, sf_dir):
 {SIG}, hits AS (SELECT code, (count(*) FILTER (signal > 0 AND x > 0) + count(*) FILTER (signal < 0 AND x < 0)) / nullif(CAST(count(*) FILTER (signal <> 0) AS DOUBLE), 0) AS hit FROM sg WHERE signal IS NOT NULL GROUP BY code),
 ry AS (SELECT code, x, lead(returns) OVER (PARTITION BY code ORDER BY date) AS y FROM x), {REGRESSION.format(by='code', source='ry', least=10)},
 pt AS (SELECT ics.code, CASE WHEN abs(coalesce(icir, 0)) >= 2 THEN 0.9 WHEN abs(coalesce(icir, 0)) >= 1 THEN 0.7 WHEN abs(coalesce(icir, 0)) >= 0.5 THEN 0.5 ELSE greatest(0.1, abs(coalesce(icir, 0)) / 2) END * 0.7 + least(coalesce(hr, 0.5), 1) * 0.3 AS a,
-least(1, greatest(0, (coalesce(hit, 0.3) - 0.3) / 0.4)) AS b, least(1, coalesce(r2, 0) * 10) * 0.5 + CASE WHEN sqrt(f) >= 1.96 THEN 0.5 ELSE 0 END AS c,
+least(1, greatest(0, (coalesce(hit, 0.3) - 0.3) / 0.4)) AS b, least(1, coalesce(r2, 0) * 10) * 0.5 + CASE WHEN {t_p_sql('sqrt(f)', '(n - 2)')} < 0.05 THEN 0.5 ELSE 0 END AS c,
 CASE WHEN mean_in IS NULL OR mean_out IS NULL THEN 0.1 ELSE CASE WHEN sign(mean_in) = sign(mean_out) THEN 0.5 ELSE 0 END + coalesce(greatest(0, 0.5 - least(decay, 1) * 0.5), 0) END AS d FROM ics LEFT JOIN hits USING (code) LEFT JOIN e USING (code) LEFT JOIN rob USING (code)),
 sc AS (SELECT *, a * 0.30 + b * 0.25 + c * 0.20 + d * 0.25 AS score FROM pt)
 SELECT code, {R('a', 'part_ic')}, {R('b', 'part_signal')}, {R('c', 'part_regression')}, {R('d', 'part_robust')}, {R('score', 'score')}, CASE WHEN round(score, 9) >= 0.8 THEN 'A' WHEN round(score, 9) >= 0.6 THEN 'B' WHEN round(score, 9) >= 0.4 THEN 'C' WHEN round(score, 9) >= 0.2 THEN 'D' ELSE 'F' END AS grade FROM sc""")

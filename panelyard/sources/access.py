@@ -18,10 +18,11 @@ def in_time_range(df: DataFrame, start: str | None = None, end: str | None = Non
 
 
 def known_within(df: DataFrame, start: str, end: str, metric: str, date: str = "date") -> DataFrame:
-    """Rows whose metric became known between two times, as bounds on the date alone, so that a scan can prune by it."""
+    """Rows whose metric became known between two times, as bounds on the date alone, so that a scan can prune by it. An
+    end that is a date alone takes in that day."""
     time = AVAILABLE.get(metric, CLOSE)
     first = f"date_add(to_date('{start}'), {int(start[11:] > time)})"
-    last = f"date_sub(to_date('{end}'), {int(end[11:] < time)})"
+    last = f"date_sub(to_date('{end}'), {int((end[11:] or "24") < time)})"
     return df.where((F.col(date) >= F.expr(first)) & (F.col(date) <= F.expr(last)))
 
 

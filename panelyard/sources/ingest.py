@@ -64,7 +64,8 @@ def available_at(df: DataFrame, date: str = "date") -> Column:
 
 
 def pivoted(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    return df.groupBy(*keys).pivot("metric", metrics).agg(F.first("value"))
+    """One row a key and one column a metric; of repeated values the largest."""
+    return df.groupBy(*keys).pivot("metric", metrics).agg(F.max("value"))
 
 
 def upserted(stored: DataFrame, staged: DataFrame, keys: list[str], insert_only: bool = False) -> DataFrame:
@@ -83,8 +84,8 @@ def changes(stored: DataFrame, staged: DataFrame, keys: list[str], value: str) -
 
 
 def current_names(df: DataFrame) -> DataFrame:
-    """(code, name): the latest name that is not empty."""
-    return df.where(F.trim("name") != "").groupBy("code").agg(F.max_by("name", "datetime").alias("name"))
+    """(code, name): the latest name that is not empty (of one time the last in order)."""
+    return df.where(F.trim("name") != "").groupBy("code").agg(F.max_by("name", F.struct("datetime", "name")).alias("name"))
 
 
 def page(df: DataFrame, size: int, after: tuple | None = None) -> DataFrame:
