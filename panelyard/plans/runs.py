@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators import cross_section, portfolio, run, series, timing
+from panelyard.operators import cross_section, portfolio, profile, run, series, timing
 from panelyard.plans.lots import BOOK, LOT_STEPS
 from panelyard.plans.portfolio import STATUS
 from panelyard.plans.research import NAV, PANEL, SNAPSHOTS, X_SQL, R, _universe, neat, xs
@@ -104,3 +104,31 @@ def single_name_run(spark, sf_dir):
     one = bars.where("code = 1").select("code", "date", "returns").join(weights, "date", "left").withColumn("held", F.coalesce(F.lag("weight").over(w), F.lit(0.0)))
     grown = series.cumulative(one.withColumn("ret", F.greatest(F.col("held") * F.coalesce("returns", F.lit(0.0)), F.lit(-0.999999))))
     return neat(grown.select("date", F.coalesce("weight", F.lit(0.0)).alias("weight"), "nav"), "date")
+
+
+_BINS = f"""{PANEL}, pv AS (SELECT vwap AS v FROM panel WHERE vwap IS NOT NULL), sn AS (SELECT min(v) AS a, max(v) AS b, max(abs(v)) AS c, count(*) AS n FROM pv),
+bt AS (SELECT n, 'x' AS side, v, a AS low, (b - a) / 256 AS width FROM pv, sn UNION ALL SELECT n, 'size', abs(v), 0, c / 256 FROM pv, sn),
+bn AS MATERIALIZED (SELECT side, CAST(least(255, floor((v - low) / width)) AS INTEGER) AS bin, low, width, n, count(*) AS k, sum(v) AS total FROM bt GROUP BY ALL), cm AS (SELECT *, sum(k) OVER (PARTITION BY side ORDER BY bin) AS after, sum(k) OVER (PARTITION BY side ORDER BY bin DESC) - k AS before FROM bn)"""
+
+
+def _binned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    prices = kept(panel(spark, sf_dir).select("vwap"))
+    return prices, profile.bins(prices, "vwap", 256)
+
+
+@query(f"{_BINS} SELECT {R('low + (bin + 1) * width', 'value')}, {R('after / n', 'probability')} FROM cm WHERE side = 'x'")
+def profile_distribution(spark, sf_dir):
+    """The distribution of mean prices, thinned to at most 256 points."""
+    return neat(profile.distribution(_binned(spark, sf_dir)[1]))
+
+
+@query(f"{_BINS} SELECT q AS quantile, {R('low + (bin + (q * n - (after - k)) / k) * width', 'value')} FROM cm, (SELECT unnest([{', '.join(map(str, (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)))}]::DOUBLE[]) AS q) WHERE side = 'x' AND q * n > after - k AND q * n <= after")
+def profile_quantiles(spark, sf_dir):
+    return neat(profile.quantiles(_binned(spark, sf_dir)[1]), "quantile")
+
+
+@query(f"""{_BINS}, tk AS (SELECT sum(greatest(0, least(k, greatest(1, ceil(n * 0.1)) - before)) * total / k) / sum(total) AS top_share FROM cm WHERE side = 'size')
+SELECT count(vwap) AS count, count(*) - count(vwap) AS missing, {R('avg(vwap)', 'mean')}, {R('stddev_samp(vwap)', 'std')}, {R('sum(vwap * vwap) / (sum(abs(vwap)) * sum(abs(vwap)))', 'hhi')}, {R('(SELECT top_share FROM tk)', 'top_share')} FROM panel""")
+def profile_summary(spark, sf_dir):
+    prices, binned = _binned(spark, sf_dir)
+    return neat(profile.concentration(prices, binned, "vwap"), "count", "missing")
