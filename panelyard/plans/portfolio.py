@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.operators import asof, backtest, cross_section, evaluation, portfolio, series
 from panelyard.plans.research import BASE, CLIPS, FACTS, LABELS, PANEL, SNAPSHOTS, WEIGHTS, X_SQL, R, _universe, forward, labelled, neat, observations, weighted, xs
-from panelyard.sources.panel import load, panel
+from panelyard.sources.panel import kept, load, panel
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -26,8 +28,8 @@ def query(sql: str | None = None):
 STATUS = "st AS (SELECT code, date, CASE WHEN volume IS NULL THEN -1 WHEN (code + month(date)) % 5 = 0 THEN 0 ELSE 1 END AS status FROM panel)"
 
 
-def status(spark, sf_dir) -> DataFrame:
-    return panel(spark, sf_dir).select("code", "date", F.when(F.col("volume").isNull(), -1).when((F.col("code") + F.month("date")) % 5 == 0, 0).otherwise(1).alias("status"))
+def status(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    return (panel(spark, sf_dir) if bars is None else bars).select("code", "date", F.when(F.col("volume").isNull(), -1).when((F.col("code") + F.month("date")) % 5 == 0, 0).otherwise(1).alias("status"))
 
 
 @query(f"{PANEL}, {STATUS} SELECT date, code, 'normal' AS pool FROM st WHERE status = 1 UNION ALL SELECT date, code, 'listed' FROM st WHERE status <> -1")
@@ -80,8 +82,8 @@ HELD = f"{PANEL}, {X_SQL}, {LABELS}, {WEIGHTS}, wt AS (SELECT code, date, weight
 EVERY = f"{HELD}, every AS (SELECT c.code, d.date, coalesce(w.weight, 0) AS weight FROM (SELECT DISTINCT code FROM wt) c CROSS JOIN (SELECT DISTINCT date FROM wt) d LEFT JOIN wt w ON w.code = c.code AND w.date = d.date)"
 
 
-def held(spark, sf_dir) -> DataFrame:
-    return weighted(spark, sf_dir).where("weight > 0").select("code", "date", "weight")
+def held(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    return weighted(spark, sf_dir, bars).where("weight > 0").select("code", "date", "weight")
 
 
 @query(f"{EVERY} SELECT code, date, {R('weight', 'weight')} FROM every")
@@ -135,6 +137,11 @@ def weight_report(spark, sf_dir):
     return portfolio.weight_report(held(spark, sf_dir))
 
 
+def _suspended(rule: str, spark, sf_dir) -> DataFrame:
+    bars = panel(spark, sf_dir, once=True)
+    return neat(backtest.suspended(held(spark, sf_dir, bars), status(spark, sf_dir, bars), rule).select("code", "date", "weight"), "code", "date")
+
+
 def _suspended_sql(rule: str) -> str:
     live = "CASE WHEN status = 0 THEN 0 ELSE weight END"
     value = live if rule == "to_cash" else f"coalesce({live} * sum(weight) OVER (PARTITION BY date) / nullif(sum({live}) OVER (PARTITION BY date), 0), 0)"
@@ -142,7 +149,7 @@ def _suspended_sql(rule: str) -> str:
 
 
 for _r in ("to_cash", "redistribute"):
-    QUERIES[f"suspended_{_r}"] = lambda spark, sf_dir, r=_r: neat(backtest.suspended(held(spark, sf_dir), status(spark, sf_dir), r).select("code", "date", "weight"), "code", "date")
+    QUERIES[f"suspended_{_r}"] = partial(_suspended, _r)
     ORACLE_SQL[f"suspended_{_r}"] = _suspended_sql(_r)
 
 RARE = "st AS (SELECT code, date, CASE WHEN (code * 7 + month(date) * 3 + year(date)) % 41 = 0 THEN 0 ELSE 1 END AS status FROM panel)"
@@ -151,9 +158,9 @@ RARE = "st AS (SELECT code, date, CASE WHEN (code * 7 + month(date) * 3 + year(d
 @query(f"""{EVERY}, {RARE}, j AS (SELECT e.date, max(CAST(weight <> 0 AND status = 0 AS INTEGER)) AS h FROM every e JOIN st USING (code, date) GROUP BY e.date), src AS (SELECT date, last_value(CASE WHEN h = 0 THEN date END IGNORE NULLS) OVER (ORDER BY date) AS source FROM j)
 SELECT e.code, e.date, {R('coalesce(o.weight, 0)', 'weight')} FROM every e JOIN src ON src.date = e.date LEFT JOIN every o ON o.date = source AND o.code = e.code""")
 def suspended_hold(spark, sf_dir):
-    bars = panel(spark, sf_dir)
+    bars = panel(spark, sf_dir, once=True)
     halted = bars.select("code", "date", F.when((F.col("code") * 7 + F.month("date") * 3 + F.year("date")) % 41 == 0, 0).otherwise(1).alias("status"))
-    return neat(portfolio.held_over(portfolio.expanded(held(spark, sf_dir)), halted).select("code", "date", "weight"), "code", "date")
+    return neat(portfolio.held_over(kept(portfolio.expanded(held(spark, sf_dir, bars))), halted).select("code", "date", "weight"), "code", "date")
 
 
 @query(f"""WITH {FACTS}, reb AS (SELECT code, input_ts AS start_ts, coalesce(lead(input_ts) OVER (PARTITION BY code ORDER BY input_ts), input_ts + INTERVAL 240 HOUR) AS end_ts FROM probes)

@@ -181,8 +181,8 @@ def calendar_offset(spark, sf_dir):
 X_SQL = "x AS (SELECT code, date, volume / 100.0 + amount / 1e6 AS x, cap, industry, returns, close, volume, amount FROM panel)"
 
 
-def xs(spark, sf_dir) -> DataFrame:
-    return panel(spark, sf_dir).select("code", "date", (F.col("volume") / 100.0 + F.col("amount") / 1e6).alias("x"), "cap", "industry", "returns", "close", "volume", "amount")
+def xs(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    return (panel(spark, sf_dir) if bars is None else bars).select("code", "date", (F.col("volume") / 100.0 + F.col("amount") / 1e6).alias("x"), "cap", "industry", "returns", "close", "volume", "amount")
 
 
 CLIPS = {
@@ -218,8 +218,8 @@ EDGES = "edges AS (SELECT date, list_distinct(quantile_cont(x, [0, 0.2, 0.4, 0.6
 LABELS = f"{EDGES}, labels AS (SELECT x.*, CASE WHEN x IS NOT NULL AND len(e) > 1 THEN greatest(0, len(list_filter(e, lambda q: q < x)) - 1) END AS label FROM x LEFT JOIN edges USING (date))"
 
 
-def labelled(spark, sf_dir) -> DataFrame:
-    return cross_section.quantile_label(xs(spark, sf_dir), "x", 5)
+def labelled(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    return cross_section.quantile_label(xs(spark, sf_dir, bars), "x", 5)
 
 
 @query(f"{PANEL}, {X_SQL}, {LABELS} SELECT code, date, CAST(label AS INTEGER) AS label FROM labels")
@@ -240,8 +240,8 @@ side AS (SELECT code, date, x, industry, returns, label, CASE WHEN t = b THEN 0
 weights AS (SELECT code, date, x, industry, returns, label, s, CAST(s AS DOUBLE) / count(*) OVER (PARTITION BY date, s) AS weight FROM side)"""
 
 
-def weighted(spark, sf_dir) -> DataFrame:
-    return cross_section.long_short_weights(labelled(spark, sf_dir).where("label is not null"))
+def weighted(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    return cross_section.long_short_weights(labelled(spark, sf_dir, bars).where("label is not null"))
 
 
 @query(f"{PANEL}, {X_SQL}, {LABELS}, {WEIGHTS} SELECT code, date, {R('weight', 'weight')} FROM weights")
@@ -417,8 +417,8 @@ def portfolio_concentration(spark, sf_dir):
 d AS (SELECT date, coalesce(lag(weight) OVER (PARTITION BY code ORDER BY date), 0) * coalesce(returns, 0) AS r FROM full_), s AS (SELECT date, sum(r) AS ret FROM d GROUP BY date)
 SELECT 'top less bottom' AS portfolio, date, {R('ret', 'ret')}, {R('exp(sum(ln(1 + greatest(ret, -0.999999))) OVER (ORDER BY date))', 'nav')} FROM s""")
 def vector_backtest(spark, sf_dir):
-    bars = panel(spark, sf_dir)
-    w = bars.select("code", "date").join(weighted(spark, sf_dir).select("code", "date", "weight"), ["code", "date"], "left").select(F.lit("top less bottom").alias("portfolio"), "code", "date", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    bars = panel(spark, sf_dir, once=True)
+    w = bars.select("code", "date").join(weighted(spark, sf_dir, bars).select("code", "date", "weight"), ["code", "date"], "left").select(F.lit("top less bottom").alias("portfolio"), "code", "date", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     return neat(backtest.vector(w, bars.select("code", "date", F.col("returns").alias("ret"))), "portfolio", "date")
 
 

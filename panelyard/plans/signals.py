@@ -11,7 +11,7 @@ from panelyard.plans.access import RAW, raw
 from panelyard.plans.inference import t_p_sql
 from panelyard.plans.research import BASE, IC, LABELS, PANEL, SNAPSHOTS, WEIGHTS, X_SQL, R, _rules_sql, _universe, forward, neat, weighted, xs
 from panelyard.plans.sweeps import YEARLY, _candidates
-from panelyard.sources.panel import load, panel
+from panelyard.sources.panel import kept, load, panel
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -300,7 +300,7 @@ fr AS (SELECT * FROM fe WHERE NOT EXISTS (SELECT 1 FROM fe o WHERE o.score >= fe
 SELECT gid, CAST("window" AS INTEGER) AS "window", {R('score', 'score')}, {R('calm', 'calm')}, {R('v', 'violation')}, score >= (SELECT quantile_cont(score, 0.8) FROM fr) AS top FROM fr""")
 def selection_table(spark, sf_dir):
     limits = selection.violation({"n": ("min", 10.0), "spread": ("max", 0.4)})
-    found = selection.selection_table(_candidates(spark, sf_dir).withColumn("spread", -F.col("calm")), "score", "calm", limits)
+    found = selection.selection_table(kept(_candidates(spark, sf_dir)).withColumn("spread", -F.col("calm")), "score", "calm", limits)
     return neat(found.select("gid", "window", "score", "calm", "violation", "top"), "gid", "window", "top").select("gid", "window", "score", "calm", "violation", "top")
 
 
