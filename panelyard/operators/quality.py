@@ -102,3 +102,38 @@ def fixed_times(df: DataFrame, text: str, keys: list[str], order: str) -> DataFr
 def inconsistent(df: DataFrame, keys: list[str], verified: list[str]) -> DataFrame:
     """(keys, rows, versions) of keys whose rows don't agree on the verified columns."""
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_distinct(F.struct(*verified)).alias("versions")).where("versions > 1")
+
+
+def validated(df: DataFrame, keys: list[str], time: str, nulls: dict[str, str] | None = None, code: str = "code", sort: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(fixed, report): the table with times read, repeats removed and gaps filled, and what was found before.
+
+    Rows whose `time` is none are dropped, of rows with equal keys and time the first by their other columns stays; then each
+    column of `nulls` is filled by code as it says (see fill; `raise`: a missing value is an error). report: check, column,
+    rows."""
+    found = [df.select(F.lit("missing").alias("check"), F.lit(c).alias("column"), F.col(c).isNull().alias("hit")) for c in nulls or {}]
+    read = F.try_to_timestamp(F.trim(F.col(time).cast("string")))
+    found.append(df.select(F.lit("not a time").alias("check"), F.lit(time).alias("column"), read.isNull().alias("hit")))
+    report = found[0]
+    for part in found[1:]:
+        report = report.unionByName(part)
+    again = df.withColumn("__t", read).where("__t IS NOT NULL").groupBy(*keys, "__t").agg(F.count("*").alias("k")).select(F.lit("repeated").alias("check"), F.lit(time).alias("column"), (F.col("k") - 1).alias("n"))
+    report = report.groupBy("check", "column").agg(F.count_if("hit").alias("rows")).unionByName(again.groupBy("check", "column").agg(F.sum("n").alias("rows")))
+    fixed = keep_one(df.withColumn(time, read).where(F.col(time).isNotNull()).withColumn("__one", F.lit(1)), [*keys, time], "__one", last=False).drop("__one")
+    for column, how in (nulls or {}).items():
+        if how == "raise":
+            if (missing := fixed.where(F.col(column).isNull()).count()):
+                raise ValueError(f"{column} is missing in {missing} rows")
+        else:
+            fixed = fill(fixed, column, how, code, time)
+    return (fixed.orderBy(*keys, time) if sort else fixed), report
+
+
+def first_complete(df: DataFrame, inputs: list[str], code: str = "code", date: str = "date") -> DataFrame:
+    """(code, first): from when on a code has had each input at least once; NULL if one never came. The latest of them is
+    when a run over all codes can begin."""
+    starts = df.groupBy(code).agg(*[F.min(F.when(F.col(c).isNotNull(), F.col(date))).alias(c) for c in inputs])
+    both = F.greatest(*map(F.col, inputs)) if len(inputs) > 1 else F.col(inputs[0])
+    complete = F.lit(True)
+    for c in inputs:
+        complete = complete & F.col(c).isNotNull()
+    return starts.select(code, F.when(complete, both).alias("first"))

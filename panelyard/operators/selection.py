@@ -88,3 +88,34 @@ def selection_table(df: DataFrame, x: str, y: str, broken: Column, gid: str = "g
     edge = front.agg(F.percentile(x, F.lit(0.8)).alias("__e"))
     found = front.join(F.broadcast(edge)).withColumn("top", F.col(x) >= F.col("__e")).drop("__e")
     return found.orderBy(F.desc("top"), F.desc(y), gid)
+
+
+#: By kind of parameter, how its default is varied for a search.
+SPREAD = {"window": (0.5, 1.0, 2.0), "lag": (0.5, 1.0, 2.0), "exponent": (0.5, 1.0, 2.0), "weight": (0.5, 1.0, 1.5)}
+
+
+def candidate_values(kind: str, default: float) -> list[float]:
+    """Values to try around a default: windows and lags at least 1 (whole if the default is), weights within 0 and 1,
+    thresholds by half their size or 0.05; other kinds keep the default."""
+    if kind == "threshold":
+        step = max(abs(default) * 0.5, 0.05)
+        found = [default - step, default, default + step]
+    elif kind in ("window", "lag"):
+        found = [max(1, default * k) for k in SPREAD[kind]]
+        found = [int(v + 0.5) for v in found] if isinstance(default, int) else found
+    elif kind == "weight":
+        found = [min(1.0, max(0.0, default * k)) for k in SPREAD[kind]]
+        found[1] = default
+    else:
+        found = [default * k for k in SPREAD[kind]] if kind in SPREAD else [default]
+    return list(dict.fromkeys(found))
+
+
+def search_space(parameters: dict[str, tuple[str, float]], most: int = 3) -> dict[str, list[float]]:
+    """Values by parameter (kind, default) for `grid`: the first `most` parameters that have several values are varied."""
+    out: dict[str, list[float]] = {}
+    for name, (kind, default) in parameters.items():
+        values = candidate_values(kind, default)
+        varied = sum(len(v) > 1 for v in out.values())
+        out[name] = values if len(values) == 1 or varied < most else [default]
+    return out

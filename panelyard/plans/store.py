@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.operators import quality
 from panelyard.plans.research import PANEL, R, neat
 from panelyard.sources import history, ingest, loads, sinks
 from panelyard.sources.panel import kept, load, panel, shared_folder
@@ -103,3 +104,58 @@ def changed_partitions(spark, sf_dir):
     again = bars.withColumn("close", F.when(F.year("date") == 1998, F.col("close") + 1).otherwise(F.col("close")))
     sinks.write_changed(spark, again, path, ["code", "date"], F.year("date"), "year")
     return neat(spark.read.parquet(path), "code", "date", "year")
+
+
+@query(f"""{PANEL}, rw AS (SELECT code, date, CASE WHEN code % 7 = 0 THEN 'other' ELSE '交易状态' END AS metric, CASE WHEN volume IS NOT NULL THEN CAST((code + month(date)) % 3 AS DOUBLE) END AS value FROM panel)
+SELECT code, 'metric' AS reason, count(*) AS n FROM rw WHERE metric <> '交易状态' GROUP BY 1, 2 UNION ALL SELECT code, 'value is neither 0 nor 1', count(*) FROM rw WHERE value IS NULL OR value = 2 GROUP BY 1, 2""")
+def dataset_rule_rejects(spark, sf_dir):
+    """Rows of trade status that the dataset's rules reject, by code and reason."""
+    rows = panel(spark, sf_dir).select(
+        "code", F.col("date").cast("timestamp").alias("datetime"), F.when(F.col("code") % 7 == 0, "other").otherwise("交易状态").alias("metric"),
+        F.when(F.col("volume").isNotNull(), ((F.col("code") + F.month("date")) % 3).cast("double")).alias("value"), F.lit(None).cast("map<string,string>").alias("remark"),
+    )
+    return loads.judged_rows(rows, "trade_status")[1].groupBy("code", "reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('second', ts) AS time, event_type AS remark, count(*) AS n FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2")
+def event_file_scan(spark, sf_dir):
+    """Events as a table of texts with flags, read back: those that are marked, to the second."""
+    text = load(spark, sf_dir, "events").select(F.date_format("ts", " yyyy-MM-dd HH:mm:ss.SSS").alias("date"), F.col("event_type").isin("purchase", "signup").cast("int").cast("string").alias("event"), F.col("event_type").alias("remark"))
+    return loads.event_rows(text)[0].groupBy("time", "remark").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderpriority AS name, min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last, o_custkey AS code FROM orders GROUP BY o_orderpriority, o_custkey""")
+def name_spans(spark, sf_dir):
+    """Names with their dates written into them, taken apart again."""
+    o = load(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    text = F.concat("o_orderpriority", F.lit("("), F.date_format("a", "yyyyMMdd"), F.lit("-"), F.date_format("b", "yyyyMMdd"), F.lit(")"))
+    return o.select(F.col("o_custkey").alias("code"), loads.name_span(text).alias("s")).select("code", "s.*")
+
+
+@query(f"""{PANEL}, q AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY coalesce(amount, 0) DESC, code) AS ordinal FROM panel WHERE month(date) = 1), t AS (SELECT code, lower(CAST(month(date) AS VARCHAR)) AS field, count(volume) AS n FROM panel GROUP BY 1, 2)
+SELECT CAST(date AS VARCHAR) AS key, CAST(to_json(list({{'ordinal': ordinal, 'code': code}} ORDER BY ordinal)) AS VARCHAR) AS json FROM q WHERE ordinal <= 20 GROUP BY date
+UNION ALL SELECT CAST(code AS VARCHAR), CAST(to_json(map_from_entries(list((field, n) ORDER BY field))) AS VARCHAR) FROM t GROUP BY code""")
+def json_aggregates(spark, sf_dir):
+    """The twenty largest codes of each January as a JSON array, each code's bars by month as a JSON object."""
+    bars = kept(panel(spark, sf_dir).select("code", "date", "amount", "volume"))
+    place = F.row_number().over(Window.partitionBy("date").orderBy(F.coalesce("amount", F.lit(0.0)).desc(), "code"))
+    ranked = bars.where(F.month("date") == 1).withColumn("ordinal", place).where("ordinal <= 20").withColumn("key", F.col("date").cast("string"))
+    counts = bars.groupBy(F.col("code").cast("string").alias("key"), F.month("date").cast("string").alias("field")).agg(F.count("volume").alias("n"))
+    return loads.json_rows(ranked, ["key"], ["ordinal"], ["ordinal", "code"], "json").unionByName(loads.json_object(counts, ["key"], "field", "n", "json"))
+
+
+@query(f"""{PANEL}, s AS (SELECT code, min(date) FILTER (close IS NOT NULL) AS a, min(date) FILTER (returns IS NOT NULL AND abs(returns) > 2) AS b FROM panel GROUP BY code)
+SELECT CAST(code AS VARCHAR) AS code, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(a, b) END AS first FROM s UNION ALL SELECT 'all', max(greatest(a, b)) FILTER (a IS NOT NULL AND b IS NOT NULL) FROM s""")
+def first_complete_dates(spark, sf_dir):
+    """From when on each code has had a price and a large return, and when all that ever have."""
+    bars = panel(spark, sf_dir).select("code", "date", "close", F.when(F.abs("returns") > 2, F.col("returns")).alias("large"))
+    each = kept(quality.first_complete(bars, ["close", "large"]))
+    return each.select(F.col("code").cast("string").alias("code"), "first").unionByName(each.agg(F.lit("all").alias("code"), F.max("first").alias("first")))
+
+
+@query(f"""{PANEL}, f AS (SELECT code, date, last_value(close IGNORE NULLS) OVER (PARTITION BY code ORDER BY date) AS close FROM panel) SELECT code, CAST(date AS TIMESTAMP) AS date, {R('close', 'close')} FROM f""")
+def validated_table(spark, sf_dir):
+    """Prices under dates as text, some rows twice and some without a date: read, without repeats, and filled forward."""
+    bars = panel(spark, sf_dir).select("code", F.concat(F.lit(" "), F.col("date").cast("string")).alias("date"), "close")
+    messy = bars.unionByName(bars.where("code % 3 = 0")).unionByName(bars.where("code % 5 = 0").withColumn("date", F.lit("soon")))
+    return neat(quality.validated(messy, ["code"], "date", {"close": "ffill"}, sort=False)[0], "code", "date")

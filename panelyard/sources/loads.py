@@ -106,3 +106,58 @@ def judged_days(df: DataFrame, column: str, pattern: str = "yyyy-MM-dd") -> tupl
     text, day = F.trim(column), F.try_to_date(F.trim(column), pattern)
     there = df.where(F.coalesce(text, F.lit("")) != "")
     return there.where(day.isNotNull()).withColumn(column, day), there.where(day.isNull()).withColumn("reason", F.lit(f"{column}: not a date"))
+
+
+#: The metric that rows of a dataset must have.
+METRICS = {"index_universe": "universe", "trade_status": "交易状态", "trade_calendar": "交易日"}
+
+
+def broken_rules(dataset: str) -> dict[str, Column]:
+    """What rows (datetime, code, metric, value, remark as a map) of a dataset may not be, by reason."""
+    remark = lambda k: F.coalesce(F.trim(F.col("remark")[k]), F.lit(""))
+    value, metric = F.col("value"), ~F.coalesce(F.col("metric") == METRICS.get(dataset, ""), F.lit(False))
+    listed = F.from_json(F.col("remark")["constituents"], "array<string>")
+    rules = {
+        "industry": {"industry name missing": remark("ind_name") == "", "industry code missing": remark("ind_code") == ""},
+        "index_universe": {"metric": metric, "no list of constituents": listed.isNull(), "value is not the number of different constituents": listed.isNotNull() & ~F.coalesce(value == F.size(F.array_distinct(listed)), F.lit(False))},
+        "trade_status": {"metric": metric, "value is neither 0 nor 1": ~F.coalesce(value.isin(0, 1), F.lit(False))},
+        "trade_calendar": {"metric": metric, "value is not 1": ~F.coalesce(value == 1, F.lit(False)), "not a date": ~F.coalesce(F.col("datetime") == F.date_trunc("day", "datetime"), F.lit(False)), "exchange not normalised": ~F.coalesce(F.col("code") == F.upper(F.trim("code")), F.lit(False))},
+    }
+    if dataset not in rules:
+        raise ValueError(f"no rules for {dataset}")
+    return rules[dataset]
+
+
+def judged_rows(df: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) rows by the dataset's rules; a rejected row comes once a reason."""
+    found = F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for reason, bad in broken_rules(dataset).items()]))
+    judged = df.withColumn("__e", found)
+    return judged.where(F.size("__e") == 0).drop("__e"), judged.where(F.size("__e") > 0).withColumn("reason", F.explode("__e")).drop("__e")
+
+
+def event_rows(df: DataFrame, date: str = "date", event: str = "event", remark: str = "remark") -> tuple[DataFrame, DataFrame]:
+    """(events, rejected) of a table of texts: times to the second of rows whose flag is 1; rows whose time can't be read."""
+    time = F.date_trunc("second", F.try_to_timestamp(F.trim(date)))
+    rows = df.select(F.col(date).alias("text"), time.alias("time"), F.trim(event).alias("flag"), F.col(remark).alias("remark"))
+    marked = F.coalesce(F.expr("try_cast(flag AS double)") == 1, F.lit(False))
+    return rows.where(F.col("time").isNotNull() & marked).select("time", "remark"), rows.where(F.col("time").isNull()).select("text", "flag", "remark")
+
+
+def name_span(text: Column) -> Column:
+    """`name(20180711-20250101)` as a struct of name, first and last; a text of another form is a name without dates."""
+    form = r"^(.*)\((\d{8})-(\d{8})\)\s*$"
+    day = lambda k: F.try_to_date(F.regexp_extract(text, form, k), "yyyyMMdd")
+    name = F.when(F.regexp_like(text, F.lit(form)), F.regexp_extract(text, form, 1)).otherwise(text)
+    return F.struct(F.trim(name).alias("name"), day(2).alias("first"), day(3).alias("last"))
+
+
+def json_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str = "rows") -> DataFrame:
+    """One row a key: its rows as a JSON array of objects, in order."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*columns).alias("__o")))), lambda r: r["__o"])
+    return df.groupBy(*keys).agg(F.to_json(listed).alias(name))
+
+
+def json_object(df: DataFrame, keys: list[str], field: str, value: str, name: str = "fields") -> DataFrame:
+    """One row a key: a JSON object of its fields, in order of their names (of a repeated field the largest value)."""
+    one = df.groupBy(*keys, field).agg(F.max(value).alias(value))
+    return one.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(field, value))))).alias(name))

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from panelyard.operators import quality, selection
 from panelyard.operators.asof import intervals_of
 from panelyard.sources import access, history, ingest, loads, sinks
 
@@ -88,3 +89,40 @@ def test_facts_and_bounds(spark):
     assert access.known_within(days, "2020-01-02 15:00:02", "2020-01-04 15:00:00", "close").count() == 1
     with pytest.raises(ValueError):
         ingest.mapped(days, {"nothing": "x"})
+
+
+def test_dataset_rules(spark):
+    schema = "datetime timestamp, code string, metric string, value double, remark map<string,string>"
+    row = lambda d, code, metric, value, remark=None: spark.createDataFrame([(None, code, metric, value, remark)], schema).withColumn("datetime", F.to_timestamp(F.lit(d)))
+    reasons = lambda df, kind: sorted(r.reason for r in loads.judged_rows(df, kind)[1].collect())
+    assert reasons(row("2020-01-01", "a", "x", 1.0, {"ind_name": "n", "ind_code": "c"}), "industry") == [] and reasons(row("2020-01-01", "a", "x", 1.0, {"ind_name": " "}), "industry") == ["industry code missing", "industry name missing"]
+    assert reasons(row("2020-01-01", "a", "universe", 2.0, {"constituents": '["x", "y", "x"]'}), "index_universe") == []
+    assert reasons(row("2020-01-01", "a", "universe", 3.0, {"constituents": '["x", "y", "x"]'}), "index_universe") == ["value is not the number of different constituents"]
+    assert reasons(row("2020-01-01", "a", None, 3.0, {}), "index_universe") == ["metric", "no list of constituents"]
+    assert reasons(row("2020-01-01", "SSE", loads.METRICS["trade_calendar"], 1.0), "trade_calendar") == [] and len(reasons(row("2020-01-01 10:00:00", " sse", "x", None), "trade_calendar")) == 4
+    with pytest.raises(ValueError):
+        loads.broken_rules("other")
+
+
+def test_texts_and_json(spark):
+    df = spark.createDataFrame([("fund (20180711-20250101)",), ("fund(1-2)",), (None,), ("f(20181399-20200101)",)], "t string")
+    assert [(r.s.name, str(r.s.first), str(r.s.last)) for r in df.select(loads.name_span(F.col("t")).alias("s")).collect()] == [("fund", "2018-07-11", "2025-01-01"), ("fund(1-2)", "None", "None"), (None, "None", "None"), ("f", "None", "2020-01-01")]
+    events = spark.createDataFrame([("2020-01-01 10:00:00.7", "1", "a"), ("2020-01-02", "0", "b"), ("soon", "1", "c"), ("2020-01-03", " 1.0", None)], "date string, event string, remark string")
+    good, bad = loads.event_rows(events)
+    assert sorted((str(r.time), r.remark) for r in good.collect()) == [("2020-01-01 10:00:00", "a"), ("2020-01-03 00:00:00", None)] and [r.text for r in bad.collect()] == ["soon"]
+    rows = spark.createDataFrame([("k", 2, "b", 1.5), ("k", 1, "a", None)], "key string, n int, f string, v double")
+    assert loads.json_rows(rows, ["key"], ["n"], ["f", "v"]).first().rows == '[{"f":"a"},{"f":"b","v":1.5}]' and loads.json_object(rows, ["key"], "f", "n").first().fields == '{"a":1,"b":2}'
+
+
+def test_validated_and_searched(spark):
+    df = spark.createDataFrame([("a", "2020-01-01", 1.0), ("a", " 2020-01-01", 1.0), ("a", "2020-01-02", None), ("a", "never", 2.0)], "code string, date string, v double")
+    fixed, report = quality.validated(df, ["code"], "date", {"v": "ffill"})
+    assert [(str(r.date), r.v) for r in fixed.collect()] == [("2020-01-01 00:00:00", 1.0), ("2020-01-02 00:00:00", 1.0)]
+    assert {(r.check, r.column): r.rows for r in report.collect()} == {("missing", "v"): 1, ("not a time", "date"): 1, ("repeated", "date"): 1}
+    with pytest.raises(ValueError, match="v is missing in 1 rows"):
+        quality.validated(df, ["code"], "date", {"v": "raise"})
+    assert selection.candidate_values("window", 5) == [3, 5, 10] and selection.candidate_values("window", 1.4) == [1, 1.4, 2.8] and selection.candidate_values("weight", 0.8) == [0.4, 0.8, 1.0]
+    assert selection.candidate_values("threshold", 0.02) == pytest.approx([-0.03, 0.02, 0.07]) and selection.candidate_values("name", 7) == [7] and selection.candidate_values("exponent", 2.0) == [1.0, 2.0, 4.0]
+    space = selection.search_space({"a": ("window", 4), "b": ("other", 1), "c": ("lag", 1), "d": ("weight", 0.5), "e": ("threshold", 0.1)})
+    assert space["a"] == [2, 4, 8] and space["b"] == [1] and space["c"] == [1, 2] and len(space["d"]) == 3 and space["e"] == [0.1]
+    assert selection.grid(spark, {k: [float(v) for v in vs] for k, vs in space.items()}).count() == 18
