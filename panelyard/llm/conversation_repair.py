@@ -6,7 +6,7 @@ that comes next follow from what stands before (after s or nothing: u; after u:
 edits alone determine the result.
 
 Faults are found with windows over digests, one row a turn; texts don't travel for that. A conversation becomes a string
-of one letter a row, and `cheapest` searches it depth first, trying edits in ASCII order (Delete, Insert, Keep, Rerole)
+of one letter a row, and `search` searches it depth first, trying edits in ASCII order (Delete, Insert, Keep, Rerole)
 under a bound that rises by the least excess. What failed under a budget is remembered for each (row, state) and never
 tried again with that budget or less, in later rounds neither. Long conversations learn from their end: every 32 rows the
 four states are searched first, so that an earlier search meets exact bounds after at most 32 rows; work is linear in the
@@ -41,7 +41,6 @@ START, AFTER_S, AFTER_U, AFTER_A = range(4)
 NEXT = {(START, "s"): AFTER_S, (START, "u"): AFTER_U, (AFTER_S, "u"): AFTER_U, (AFTER_U, "a"): AFTER_A, (AFTER_A, "u"): AFTER_U}
 GIVEN = (AFTER_U, AFTER_U, AFTER_A, AFTER_U)
 ACCEPTED = (START, AFTER_A)
-_FAR = 1 << 60
 #: Characters that make no text.
 _BLANK = " \t\n\x0b\f\r"
 _FAR = 1 << 60

@@ -8,7 +8,7 @@ back to a block is a bounded dictionary, whatever the corpus; the block's rows t
 
 A cut is only made where the tokenizer surely cuts too: before white space, and between an ASCII or Latin letter or digit
 and punctuation. Texts with other characters are cut before white space alone; texts that hold an added token, or one of
-six control characters on which regular expression engines differ about white space, are one word.
+five control characters (U+001C to U+001F, U+180E) on which regular expression engines differ about white space, are one word.
 
 Cases: a null or empty text has no ids (n_tokens 0) and decodes to the empty string; rows are carried as they are, so
 null and repeated ids, and repeated rows, stay row by row; a text of any length, or a word of any length, is encoded
@@ -39,10 +39,10 @@ MAX_VOCABULARY = 1 << 21
 
 _PLAIN = re.compile(rb"[ \t-\r]*[0-9A-Za-z\x80-\xff]+|[ \t-\r]*[^ \t-\r0-9A-Za-z\x80-\xff]+[0-9A-Za-z\x80-\xff]*|[ \t-\r]+")
 #: Anything but ASCII and Latin letters.
-_OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
-_SPACE = "\t-\r \x85\xa0  -     　"
+_OTHER = re.compile(r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BROAD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_UNSURE = re.compile("[\x1c-\x1f᠎]")
+_UNSURE = re.compile(r"[\x1c-\x1f\u180e]")
 
 
 class Cutter:
