@@ -37,6 +37,9 @@ from panelyard.llm.text import pieces as small_batches
 #: Vocabularies of more entries than this are not broadcast for decoding.
 MAX_VOCABULARY = 1 << 21
 
+#: Rows of a batch that goes back to Spark.
+BATCH_ROWS = 512
+
 _PLAIN = re.compile(rb"[ \t-\r]*[0-9A-Za-z\x80-\xff]+|[ \t-\r]*[^ \t-\r0-9A-Za-z\x80-\xff]+[0-9A-Za-z\x80-\xff]*|[ \t-\r]+")
 #: Anything but ASCII and Latin letters.
 _OTHER = re.compile(r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
@@ -256,7 +259,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), bloc
             found = _ids(rows, cut, own, np.cumsum(sizes) - sizes, sizes, np.array([i for x in new for i in x], "<u4"))
         ends, ids = found
         binary = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids)])
-        return pa.Table.from_arrays([*(rows.column(c) for c in keep), pa.array(np.diff(ends), pa.int64()), binary], schema=schema)
+        whole = pa.Table.from_arrays([*(rows.column(c) for c in keep), pa.array(np.diff(ends), pa.int64()), binary], schema=schema)
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=BATCH_ROWS), schema)  # Spark takes it batch by batch
 
     return packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(back, f"{_fields(docs, keep)}, n_tokens bigint, ids binary")
 
