@@ -20,11 +20,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(lines: DataFrame, code: str, every: str) -> DataFrame:
-    """code, date and the prices of each traded bar. lines: l_* columns and the column `code`; every: month or week."""
+    """code, date and the prices of each traded bar. lines: l_* columns and the column `code`; every: month or week.
+
+    Of lines of one time, order and number the one with the smallest supplier (then price) is first, and also last, so that a
+    bar doesn't depend on where its lines lie."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    order = ("l_shipdate", "l_orderkey", "l_linenumber")
+    first, last = F.struct(*order, "l_suppkey", unit), F.struct(*order, -F.col("l_suppkey"), -unit)
     return lines.groupBy(F.col(code).cast("long").alias("code"), F.trunc("l_shipdate", every).alias("date")).agg(
-        F.min_by(unit, order).alias("open"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.max_by(unit, order).alias("close"),
+        F.min_by(unit, first).alias("open"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.max_by(unit, last).alias("close"),
         F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount"),
     )
 

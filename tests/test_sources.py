@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelyard.operators import quality, selection
 from panelyard.operators.asof import intervals_of
-from panelyard.sources import access, history, ingest, loads, sinks
+from panelyard.sources import access, history, ingest, loads, panel, sinks
 
 
 def test_headers():
@@ -126,3 +126,13 @@ def test_validated_and_searched(spark):
     space = selection.search_space({"a": ("window", 4), "b": ("other", 1), "c": ("lag", 1), "d": ("weight", 0.5), "e": ("threshold", 0.1)})
     assert space["a"] == [2, 4, 8] and space["b"] == [1] and space["c"] == [1, 2] and len(space["d"]) == 3 and space["e"] == [0.1]
     assert selection.grid(spark, {k: [float(v) for v in vs] for k, vs in space.items()}).count() == 18
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_lines_of_one_place(spark, turned):
+    """Lines of one time, order and number: the smallest supplier's is first and last, wherever the lines lie."""
+    rows = [(1, 1, k, 1.0, float(p)) for k, p in ((5, 50), (3, 30), (9, 90), (3, 20))]
+    lines = spark.createDataFrame(rows[::-1] if turned else rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double")
+    lines = lines.coalesce(1).withColumns({"l_shipdate": F.to_timestamp(F.lit("2020-01-06")), "nation": F.lit(4)})
+    bar = panel.bars(lines, "nation", "week").first()
+    assert (bar.open, bar.close, bar.high, bar.low) == (20.0, 20.0, 90.0, 20.0)
