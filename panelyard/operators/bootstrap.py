@@ -98,10 +98,12 @@ def alpha_test(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], repl
     own = Window.partitionBy(*keys)
     rows = whole.join(fit.select(*keys, F.col("n").alias("__n"), F.col("beta").alias("__b")), keys).withColumn("__fake", F.col("__y") - F.col("__b")[0])
     rows = rows.withColumn("__left", F.col("__fake") - explained).withColumn("__place", F.row_number().over(own.orderBy(date)) - 1)
-    sequence = F.sequence(F.lit(0), F.lit(replicates - 1))
-    # a fund without its constant is its slopes' part and its residual, and both are drawn together
-    picks = rows.select(*keys, F.explode(sequence).alias("replicate"), F.col("__place").alias("slot"), "__n").withColumn("__place", drawn(seed, F.col("__n"), "replicate", "slot")).select(*keys, "replicate", "__place")
-    sampled = picks.join(rows.select(*keys, "__place", (explained + F.col("__left")).alias("__fake"), *xs), [*keys, "__place"])
+    # a fund without its constant is its slopes' part and its residual, and both are drawn together; a fund's rows are an
+    # array, so that its draws are taken where it lies
+    held = rows.groupBy(*keys, "__n").agg(F.array_sort(F.collect_list(F.struct("__place", (explained + F.col("__left")).alias("__fake"), *xs))).alias("__rows"))
+    each = held.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    slots = F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))
+    sampled = each.select(*keys, "replicate", F.inline(F.transform(slots, lambda slot: F.get("__rows", drawn(seed, F.col("__n"), "replicate", slot)))))
     fakes = ols(sampled, "__fake", xs, [*keys, "replicate"]).select(*keys, F.abs(F.col("t")[0]).alias("__t"))
     real = fit.select(*keys, "n", F.col("beta")[0].alias("alpha"), F.col("t")[0].alias("alpha_t"))
     judged = fakes.join(real, keys).groupBy(*keys).agg(F.avg((F.col("__t") >= F.abs("alpha_t")).cast("double")).alias("alpha_p"))

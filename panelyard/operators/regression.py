@@ -26,24 +26,30 @@ DEPENDENT = 1e-10
 def _solved(n: pd.Series, means: pd.Series, products: pd.Series) -> pd.DataFrame:
     """Coefficients (the constant first) and their errors. means: of y and the regressors; products: mean products of
     what is left of them, row by row of the upper triangle."""
-    rows = []
-    for count, mean, product in zip(n, means, products):
-        k, row = len(mean) - 1, (None, None, None)
-        upper = np.zeros((k + 1, k + 1))
-        upper[np.triu_indices(k + 1)] = product
-        gram = (upper + np.triu(upper, 1).T) * count
-        inner, cross = gram[1:, 1:], gram[1:, 0]
-        scale = np.sqrt(np.diag(inner))
-        if np.isfinite(gram).all() and (scale > 0).all() and count > k + 1 and np.linalg.eigvalsh(inner / np.outer(scale, scale))[0] > DEPENDENT:
-            inverse = np.linalg.inv(inner / np.outer(scale, scale)) / np.outer(scale, scale)
-            slope = inverse @ cross
-            left = max(gram[0, 0] - slope @ cross, 0.0)
-            error = left / (count - k - 1)
-            at = np.asarray(mean[1:])
-            se = np.sqrt(np.r_[error * (1 / count + at @ inverse @ at), error * np.diag(inverse)])
-            row = ([mean[0] - at @ slope, *slope], se.tolist(), 1 - left / gram[0, 0] if gram[0, 0] > 0 else None)
-        rows.append(row)
-    return pd.DataFrame(rows, columns=["beta", "se", "r2"])
+    out = pd.DataFrame({c: pd.Series([None] * len(n), dtype=object) for c in ("beta", "se")} | {"r2": np.full(len(n), np.nan)})
+    if not len(n):
+        return out
+    count, mean, k = n.to_numpy(float), np.stack(means.to_list()).astype(float), len(means.iloc[0]) - 1
+    gram = np.zeros((len(n), k + 1, k + 1))
+    row, column = np.triu_indices(k + 1)
+    gram[:, row, column] = gram[:, column, row] = np.stack(products.to_list()).astype(float) * count[:, None]
+    scale = np.sqrt(np.maximum(np.einsum("gii->gi", gram)[:, 1:], 0))
+    live = np.flatnonzero(np.isfinite(gram).all(axis=(1, 2)) & (scale > 0).all(axis=1) & (count > k + 1))
+    outer = scale[live, :, None] * scale[live, None, :]
+    live = live[np.linalg.eigvalsh(gram[live, 1:, 1:] / outer)[:, 0] > DEPENDENT]
+    if not len(live):
+        return out
+    count, mean, gram, outer = count[live], mean[live], gram[live], scale[live, :, None] * scale[live, None, :]
+    inverse, cross, at = np.linalg.inv(gram[:, 1:, 1:] / outer) / outer, gram[:, 1:, 0], mean[:, 1:]
+    slope = np.einsum("gij,gj->gi", inverse, cross)
+    left = np.maximum(gram[:, 0, 0] - (slope * cross).sum(axis=1), 0.0)
+    error = left / (count - k - 1)
+    spread = np.c_[1 / count + np.einsum("gi,gij,gj->g", at, inverse, at), np.einsum("gii->gi", inverse)]
+    r2 = np.divide(left, gram[:, 0, 0], out=np.full(len(live), np.nan), where=gram[:, 0, 0] > 0)
+    for name, values in (("beta", np.c_[mean[:, 0] - (at * slope).sum(axis=1), slope]), ("se", np.sqrt(error[:, None] * spread))):
+        out.loc[live, name] = pd.Series(list(values), index=live, dtype=object)
+    out.loc[live, "r2"] = 1 - r2
+    return out
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], least: int = 0) -> DataFrame:
