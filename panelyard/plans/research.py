@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelyard.operators import asof, backtest, cross_section, evaluation, events, quality, series, timing
 from panelyard.plans.formulas import rounded, rounded_sql
 from panelyard.sources import ingest
-from panelyard.sources.panel import load, panel, panel_sql
+from panelyard.sources.panel import load, panel, panel_sql, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -487,7 +487,8 @@ def null_report(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_suppkey, count(*) AS rows, count(DISTINCT l_quantity) AS values FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_quantity) > 1")
 def key_conflicts(spark, sf_dir):
-    return quality.conflicts(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey"], "l_quantity")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    return quality.conflicts(spread(lines, lines.count(), "l_orderkey", "l_suppkey"), ["l_orderkey", "l_suppkey"], "l_quantity")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")

@@ -48,6 +48,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: So many rows, about, are what a task sorts or groups where `spread` deals them.
+ROWS_A_TASK = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The table dealt by its keys over as many tasks as its `rows` ask for. Partitions that Spark merges by their compressed
+    bytes hold millions of narrow rows, and what a task sorts or groups grows with them."""
+    return df.repartition(-(-rows // ROWS_A_TASK) or 1, *keys)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder and read from there: queries that use a table several times don't
     compute it several times, and a lost executor costs a read."""
