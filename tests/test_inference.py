@@ -155,3 +155,10 @@ def test_small_parts(spark):
     assert {r.code: r.weight for r in kept.collect()} == {"a": 0.5, "z": 0.0} and [r.code for r in absent.collect()] == ["z"]
     with pytest.raises(ValueError, match="no price on 1 dates"):
         backtest.missing_prices(weights.withColumn("date", F.lit(2)), prices)
+
+
+def test_draws_are_not_joined(spark):
+    """A fund's draws are taken where its rows lie: what is drawn meets no other table."""
+    df = spark.range(80).selectExpr("id % 2 AS g", "id AS date", "rand(1) AS y", "rand(2) AS a")
+    found = bootstrap.alpha_test(df, "y", ["a"], ["g"], 5, 1)
+    assert found.count() == 2 and found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
