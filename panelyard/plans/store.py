@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelyard.operators import quality
 from panelyard.plans.research import PANEL, R, neat
 from panelyard.sources import history, ingest, loads, sinks
-from panelyard.sources.panel import kept, load, panel, shared_folder
+from panelyard.sources.panel import kept, load, panel, shared_folder, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -68,7 +68,9 @@ def _observations(spark, sf_dir) -> DataFrame:
     """A supplier's order priority at each order date, and the load that brings it: months by threes, some of them NULL."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("code"))
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("datetime"), F.col("o_orderpriority").alias("p"), F.month("o_orderdate").alias("m"))
-    return lines.join(orders, "l_orderkey").groupBy("code", "datetime").agg(F.max("p").alias("p"), F.max("m").alias("m")).select("code", "datetime", F.when(F.col("m") != 5, F.col("p")).alias("value"), (F.col("m") % 3).alias("load"))
+    rows = lines.count()
+    both = spread(lines, rows, "l_orderkey").join(spread(orders, rows, "l_orderkey"), "l_orderkey")
+    return spread(both, rows, "code").groupBy("code", "datetime").agg(F.max("p").alias("p"), F.max("m").alias("m")).select("code", "datetime", F.when(F.col("m") != 5, F.col("p")).alias("value"), (F.col("m") % 3).alias("load"))
 
 
 @query("""WITH o AS (SELECT l_suppkey AS code, CAST(o_orderdate AS TIMESTAMP) AS datetime, max(o_orderpriority) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE month(o_orderdate) <> 5 GROUP BY 1, 2),
