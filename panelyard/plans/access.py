@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelyard.operators import asof, cross_section, quality
 from panelyard.plans.research import FACTS, PANEL, X_SQL, R, neat, observations, xs
 from panelyard.sources import access, ingest
-from panelyard.sources.panel import load, panel
+from panelyard.sources.panel import load, panel, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -30,9 +30,12 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2))"""
 
 def obs(spark, sf_dir) -> DataFrame:
     """Order values by supplier and time as long observations: code, datetime, metric, value."""
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    both = load(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_suppkey").alias("code"), F.col("o_orderdate").cast("timestamp").alias("datetime"))
-    return ingest.melted(both.agg(F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low")), ["code", "datetime"])
+    whole = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    rows = whole.count()
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    both = spread(orders, rows, "o_orderkey").join(spread(whole, rows, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    by_code = spread(both.select(F.col("l_suppkey").alias("code"), F.col("o_orderdate").cast("timestamp").alias("datetime"), "o_totalprice"), rows, "code").groupBy("code", "datetime")
+    return ingest.melted(by_code.agg(F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low")), ["code", "datetime"])
 
 
 @query(f"WITH {OBS} SELECT code, datetime, value FROM obs WHERE metric = 'high' AND datetime >= TIMESTAMP '1996-03-01' AND datetime < TIMESTAMP '1998-07-01'")
@@ -177,7 +180,8 @@ def factor_merge(spark, sf_dir):
 def missing_keys(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), F.trunc("l_shipdate", "month").alias("date"))
     wanted = access.probes(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code")), lines.select("date").distinct(), ts="date")
-    return access.missing_keys(wanted, lines, ["code", "date"])
+    rows = lines.count()
+    return access.missing_keys(*(spread(df, rows, "code", "date") for df in (wanted, lines)), ["code", "date"])
 
 
 @query(f"{PANEL}, {X_SQL}, s AS (SELECT max(date) AS signal FROM panel GROUP BY date_trunc('quarter', date)), d AS (SELECT date, max(signal) AS signal FROM (SELECT DISTINCT date FROM panel) JOIN s ON signal <= date GROUP BY date) SELECT d.date, d.signal, x.code, {R('x.x', 'x')} FROM d JOIN x ON x.date = d.signal WHERE x.x IS NOT NULL")

@@ -88,7 +88,7 @@ def probes(codes: DataFrame, times: DataFrame, code: str = "code", ts: str = "in
 
 
 def missing_keys(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    return wanted.select(*keys).distinct().join(stored.select(*keys), keys, "left_anti")
+    return wanted.select(*keys).distinct().join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
 def day_before(calendar: DataFrame, rebalances: DataFrame, date: str = "date") -> DataFrame:

@@ -136,3 +136,14 @@ def test_lines_of_one_place(spark, turned):
     lines = lines.coalesce(1).withColumns({"l_shipdate": F.to_timestamp(F.lit("2020-01-06")), "nation": F.lit(4)})
     bar = panel.bars(lines, "nation", "week").first()
     assert (bar.open, bar.close, bar.high, bar.low) == (20.0, 20.0, 90.0, 20.0)
+
+
+def test_tasks_by_rows(spark, monkeypatch):
+    """A table is dealt over as many tasks as its rows ask for, and what is grouped by its keys isn't dealt again."""
+    monkeypatch.setattr(panel, "ROWS_A_TASK", 10)
+    df = panel.spread(spark.range(95).withColumn("k", F.col("id") % 40), 95, "k")
+    assert df.rdd.getNumPartitions() == 10 and df.groupBy("k").count().rdd.getNumPartitions() == 10
+    stored = spark.createDataFrame([(1,), (1,), (2,)], "k long")
+    missing = access.missing_keys(spark.range(4).withColumnRenamed("id", "k"), stored, ["k"])
+    plan = missing._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.k for r in missing.collect()) == [0, 3] and plan.count("Aggregate") == 2  # keys meet once, not once a row
