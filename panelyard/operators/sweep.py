@@ -1,7 +1,7 @@
 """Sweeps of parameters in one plan: the candidate is a column, not a job.
 
 Candidates that share a factor share its values, cleaning, ranks and coefficients; candidates that differ in the number of
-groups alone read all their quantiles from one window. What is scored is a candidate's series of portfolio returns, one
+groups alone read all their quantiles from one window, and stay columns of one row. What is scored is a candidate's series of portfolio returns, one
 row a date, which windows then slice: a candidate is computed once, however many windows score it."""
 
 from __future__ import annotations
@@ -15,57 +15,78 @@ from panelyard.operators.cross_section import standardize, winsorize
 from panelyard.operators.evaluation import information_coefficient
 
 
-def exposures(bars: DataFrame, variants: dict[int, Column], price: str, code: str = "code", date: str = "date") -> DataFrame:
+def exposures(bars: DataFrame, variants: dict[int, Column], price: str, wanted: Column | None = None, code: str = "code", date: str = "date") -> DataFrame:
     """(code, date, fid, x, forward): every variant's value on each bar that has one, and the return until the next bar.
-    variants: expressions over a code's history (windows partitioned by code and ordered by date), by number."""
+    variants: expressions over a code's history (windows partitioned by code and ordered by date), by number. wanted: the bars
+    to give values for (all are looked back on); a bar is left out before its variants become rows."""
     w = Window.partitionBy(code).orderBy(date)
     ahead = bars.withColumn("forward", F.try_divide(F.lead(price).over(w), F.col(price)) - 1)
     parts = F.array(*[F.struct(F.lit(k).alias("fid"), x.cast("double").alias("x")) for k, x in variants.items()])
-    return ahead.withColumn("__p", parts).select(code, date, "forward", F.explode("__p").alias("p")).select(code, date, "p.*", "forward").where("x IS NOT NULL")
+    valued = ahead.withColumn("__p", parts)
+    if wanted is not None:
+        valued = valued.where(wanted)
+    return valued.select(code, date, "forward", F.explode("__p").alias("p")).select(code, date, "p.*", "forward").where("x IS NOT NULL")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """With factor and date as one key, k."""
+    return df.withColumn("k", F.struct("fid", "date"))
 
 
 def cleaned(values: DataFrame, n: float = 3.0) -> DataFrame:
-    """x clipped at n median deviations and standardised, by factor and date (kept as the column k)."""
-    keyed = values.withColumn("k", F.struct("fid", "date"))
-    out = standardize(winsorize(keyed, "x", "mad", n, "k"), "x", "zscore", "k")
-    return out.withColumn("x", F.round("x", 10))
+    """x clipped at n median deviations and standardised, by factor and date."""
+    out = standardize(winsorize(_keyed(values), "x", "mad", n, "k"), "x", "zscore", "k")
+    return out.withColumn("x", F.round("x", 10)).drop("k")
 
 
 def coefficients(clean: DataFrame, least: int = 5) -> DataFrame:
     """(fid, date, ic): rank correlation of value and return across codes."""
-    return information_coefficient(clean, "x", "forward", True, least, "k").select("k.fid", "k.date", "ic").where("ic IS NOT NULL")
+    return information_coefficient(_keyed(clean).repartition("k"), "x", "forward", True, least, "k").select("k.fid", "k.date", "ic").where("ic IS NOT NULL")
 
 
-def portfolios(clean: DataFrame, candidates: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """(gid, code, date, weight, forward), weights other than 0 alone: 1 in equal parts on a candidate's top group, -1 on
-    its bottom one. candidates: (gid, fid, number of groups).
+def portfolios(clean: DataFrame, counts: Sequence[int]) -> DataFrame:
+    """(fid, code, date, forward, w3, w5, ...): for each number of groups the weight of a row, 1 in equal parts on the top
+    group, -1 on the bottom one, else NULL; rows with a weight alone.
 
-    All numbers of groups read their edges from one window by (factor, date), which also holds a side's count."""
+    A row's group is the number of distinct edges below it, so the top group lies above the last edge but one and the bottom
+    group up to the second; with two edges or one all rows are of one group. All numbers of groups read their edges from one
+    window by (factor, date), and their sides' counts from another."""
     w = Window.partitionBy("k")
-    counts = sorted({n for _, _, n in candidates})
+    counts = sorted(set(counts))
     steps = sorted({i / n for n in counts for i in range(n + 1)})
-    out = clean.withColumn("__q", F.percentile("x", F.array(*map(F.lit, steps))).over(w))
-    for n in counts:
-        edges = F.array_distinct(F.array(*[F.col("__q")[steps.index(i / n)] for i in range(n + 1)]))
-        out = out.withColumn(f"__e{n}", edges)
-        label = F.when(F.size(f"__e{n}") > 1, F.greatest(F.lit(0), F.size(F.filter(f"__e{n}", lambda e: e < F.col("x"))) - 1))
-        out = out.withColumn(f"__l{n}", label).withColumns({f"__t{n}": F.max(f"__l{n}").over(w), f"__b{n}": F.min(f"__l{n}").over(w)})
-        top, low = (F.col(f"__l{n}") == F.col(f"__{s}{n}") for s in "tb")
-        out = out.withColumn(f"__s{n}", F.when(F.col(f"__t{n}") == F.col(f"__b{n}"), 0).when(top, 1).when(low, -1).otherwise(0))
-        out = out.withColumn(f"__w{n}", F.when(F.col(f"__s{n}") == 1, 1.0 / F.sum((F.col(f"__s{n}") == 1).cast("int")).over(w)).when(F.col(f"__s{n}") == -1, -1.0 / F.sum((F.col(f"__s{n}") == -1).cast("int")).over(w)))
-    own = F.array(*[F.struct(F.lit(gid).alias("gid"), F.lit(fid).alias("of"), F.col(f"__w{n}").alias("weight")) for gid, fid, n in candidates])
-    chosen = F.filter(own, lambda c: (c["of"] == F.col("fid")) & c["weight"].isNotNull())
-    return out.select("code", "date", "forward", F.explode(chosen).alias("c")).select("c.gid", "code", "date", "c.weight", "forward")
-
-
-def series(weights: DataFrame, calendar: DataFrame) -> DataFrame:
+    out = _keyed(clean).withColumn("__q", F.percentile("x", F.array(*map(F.lit, steps))).over(w))
+    edges = {n: F.sort_array(F.array_distinct(F.array(*[F.col("__q")[steps.index(i / n)] for i in range(n + 1)]))) for n in counts}
+    bounds = out.withColumns({f"__e{n}": e for n, e in edges.items()})
+    side = {n: F.when(F.size(f"__e{n}") > 2, F.when(F.col("x") > F.element_at(f"__e{n}", -2), 1).when(F.col("x") <= F.element_at(f"__e{n}", 2), -1)) for n in counts}
+    sided = bounds.select("k", "fid", "code", "date", "forward", *(s.alias(f"__s{n}") for n, s in side.items()))
+    sizes = {f"__{s}{n}": F.count(F.when(F.col(f"__s{n}") == v, 1)).over(w) for n in counts for s, v in (("t", 1), ("b", -1))}
+    weights = [F.when(F.col(f"__s{n}") == 1, 1.0 / F.col(f"__t{n}")).when(F.col(f"__s{n}") == -1, -1.0 / F.col(f"__b{n}")).alias(f"w{n}") for n in counts]
+    weighed = F.coalesce(*(F.col(f"__s{n}") for n in counts)).isNotNull()
+    return sided.withColumns(sizes).where(weighed).select("fid", "code", "date", "forward", *weights)
+
+
+def series(weights: DataFrame, candidates: Sequence[tuple[int, int, int]], calendar: DataFrame) -> DataFrame:
     """(gid, date, ret, turnover): what the weights of the bar before earned on this bar (a price that is missing earns
-    nothing), and half the change of weights at this bar. calendar: date, next."""
-    dated = weights.join(calendar, "date")
-    earned = dated.where("next IS NOT NULL").groupBy("gid", F.col("next").alias("date")).agg(F.sum(F.col("weight") * F.coalesce("forward", F.lit(0.0))).alias("ret"))
-    moves = dated.select("gid", "code", F.explode(F.array(F.struct("date", "weight"), F.struct(F.col("next").alias("date"), (-F.col("weight")).alias("weight")))).alias("m")).where("m.date IS NOT NULL")
-    turned = moves.groupBy("gid", "code", "m.date").agg(F.sum("m.weight").alias("d")).groupBy("gid", "date").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
-    return earned.join(turned, ["gid", "date"], "full")
+    nothing), and half the change of weights at this bar. candidates: (gid, fid, number of groups); calendar: date, next.
+
+    A row's change is taken against the code's row of the bar before; a row that none follows on the next bar is also sold
+    there. So rows meet by factor and code once, and only sums by factor and date become rows of candidates."""
+    counts = sorted({n for _, _, n in candidates})
+    w = Window.partitionBy("fid", "code").orderBy("date")
+    held = F.lag("next").over(w).eqNullSafe(F.col("date"))
+    follows = F.lead("date").over(w).eqNullSafe(F.col("next"))
+    dated = weights.join(F.broadcast(calendar), "date").withColumns({"__held": held, "__follows": follows} | {f"__b{n}": F.lag(f"w{n}").over(w) for n in counts})
+    none, sums = F.lit(0.0), []
+    for n in counts:
+        now, before = F.col(f"w{n}"), F.when(F.col("__held"), F.col(f"__b{n}"))
+        sums.append(F.sum(now * F.coalesce("forward", none)).alias(f"earned{n}"))
+        sums.append(F.sum(F.when(now.isNotNull() | before.isNotNull(), F.abs(F.coalesce(now, none) - F.coalesce(before, none)))).alias(f"changed{n}"))
+        sums.append(F.sum(F.when(~F.col("__follows"), F.abs(now))).alias(f"left{n}"))
+    moved = dated.groupBy("fid", "date", "next").agg(*sums)
+    part = lambda gid, fid, at, ret, move: F.struct(F.lit(gid).alias("gid"), F.lit(fid).alias("of"), F.col(at).alias("date"), ret.cast("double").alias("ret"), move.alias("move"))
+    parts = [p for gid, fid, n in candidates for p in (part(gid, fid, "date", F.lit(None), F.col(f"changed{n}")), part(gid, fid, "next", F.col(f"earned{n}"), F.col(f"left{n}")))]
+    own = F.filter(F.array(*parts), lambda c: (c["of"] == F.col("fid")) & c["date"].isNotNull() & (c["ret"].isNotNull() | c["move"].isNotNull()))
+    return moved.select(F.explode(own).alias("c")).groupBy("c.gid", "c.date").agg(F.sum("c.ret").alias("ret"), (F.sum("c.move") / 2).alias("turnover"))
 
 
 def next_dates(dates: DataFrame, date: str = "date") -> DataFrame:

@@ -27,17 +27,17 @@ def query(sql: str | None = None):
 
 
 def _evaluated(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Candidates, their series, their coefficients and the calendar; bars are read once."""
-    bars = panel(spark, sf_dir, once=True)
+    """Candidates, their series, their coefficients and the calendar; bars are read once, clean values are computed once."""
+    bars = panel(spark, sf_dir, once=True, only=("amount", "vwap"))
     rows = selection.grid(spark, GRID).collect()  # a grid has at most `cap` rows
     kinds = {pair: k for k, pair in enumerate(dict.fromkeys((r.lookback, r.skip) for r in rows))}
     candidates = [(r.gid, kinds[r.lookback, r.skip], r.groups) for r in rows]
     w = Window.partitionBy("code").orderBy("date")
     variants = {k: F.try_divide(F.lag("vwap", skip).over(w), F.lag("vwap", skip + back).over(w)) - 1 for (back, skip), k in kinds.items()}
-    values = asof.in_universe(sweep.exposures(bars, variants, "vwap"), _universe(bars))
-    clean = sweep.cleaned(values)
+    inside = asof.mask_outside(bars.withColumn("inside", F.lit(True)), _universe(bars), ["inside"])
+    clean = kept(sweep.cleaned(sweep.exposures(inside, variants, "vwap", F.col("inside"))))
     calendar = sweep.next_dates(bars)
-    daily = kept(sweep.series(sweep.portfolios(clean, candidates), calendar))
+    daily = kept(sweep.series(sweep.portfolios(clean, [n for _, _, n in candidates]), candidates, calendar))
     return spark.createDataFrame([(g, f) for g, f, _ in candidates], "gid int, fid int"), daily, kept(sweep.coefficients(clean)), calendar
 
 

@@ -65,9 +65,10 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def panel(spark: SparkSession, sf_dir: str, every: str = "month", once: bool = False) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, every: str = "month", once: bool = False, only: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Months: one code per supplier. Weeks: one code per nation, for formulas that look back far. once: trade lines are
-    read once, and the panel is kept, for queries that read it several times."""
+    read once, and the panel is kept, for queries that read it several times. only: the columns beside code and date; without
+    open, close and returns lines are summed as they come, not sorted, and a kept panel is as narrow as its query needs."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     nations = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -83,8 +84,14 @@ def panel(spark: SparkSession, sf_dir: str, every: str = "month", once: bool = F
             F.col("s_nationkey").cast("long").alias("code"), "cap", (F.col("s_nationkey") % 10).cast("long").alias("subindustry"), (F.col("s_nationkey") % 5).cast("long").alias("industry"), F.col("n_regionkey").cast("long").alias("sector"),
         )
     before = F.lag("close").over(Window.partitionBy("code").orderBy("date"))
-    full = dense(kept(traded) if once else traded).join(facts, "code", "left")
-    whole = full.select("code", "date", "open", "high", "low", "close", "volume", "amount", F.try_divide("amount", "volume").alias("vwap"), (F.try_divide("close", before) - 1).alias("returns"), "cap", "subindustry", "industry", "sector")
+    derived = {"vwap": F.try_divide("amount", "volume").alias("vwap"), "returns": (F.try_divide("close", before) - 1).alias("returns")}
+    needed = {"vwap": ("amount", "volume"), "returns": ("close",)}
+    sources = {c for name in only for c in needed.get(name, (name,))}
+    traded = traded.select("code", "date", *(c for c in traded.columns[2:] if c in sources))
+    full = dense(kept(traded) if once else traded)
+    if sources & set(facts.columns):
+        full = full.join(facts, "code", "left")
+    whole = full.select("code", "date", *(derived.get(c, F.col(c)) for c in only))
     return kept(whole) if once else whole
 
 
