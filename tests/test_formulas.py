@@ -1,15 +1,18 @@
 """Formulas against plain loops that were written from the published text, on a small panel where every branch runs."""
 
 import math
+import random
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelyard.functions import catalog
 from panelyard.functions import formula as fm
 from panelyard.functions.formula import with_formula
+from panelyard.plans.formulas import rounded, rounded_sql
 
 N, BARS = 5, 90
 
@@ -141,3 +144,19 @@ def test_two_bars_that_hardly_differ(spark, of):
     got = {(r.code, r.date): r.factor for r in with_formula(spark.createDataFrame(rows), formula).collect()}
     want = duckdb.connect().execute(fm.formula_sql("panel AS (SELECT * FROM rows)", formula, "code, date, {factor}")).fetchall()
     assert len({v for _, _, v in want}) > 40 and got == {(c, t): v for c, t, v in want}
+
+
+def test_power_of_varying_exponents(spark):
+    """The SQL engine's power to the last digit, which decides how a large value is rounded; missing, zero and endless values."""
+    draw = random.Random(5)
+    pairs = [(draw.randrange(1, 43) / 42, draw.uniform(-2e4, 2e4) ** 3 / 1e10) for _ in range(4000)]
+    pairs += [(20 / 21, -394.38589473684215), (-0.5, 3.5), (0.0, 2.0), (0.0, 0.0), (None, 2.0), (0.5, None), (0.5, -1e5), (0.5, 1e5), (1.0, 7.0)]
+    frame = spark.createDataFrame([(i, i, *p) for i, p in enumerate(pairs)], "code long, date int, x double, y double")
+    formula = fm.signedpower(fm.col("x"), fm.col("y"))
+    got = with_formula(frame, formula).withColumn("r", rounded(F.col("factor"))).orderBy("code").select("factor", "r").collect()
+    con = duckdb.connect()
+    con.execute("create table t (code bigint, x double, y double)")
+    con.executemany("insert into t values (?, ?, ?)", [(i, *p) for i, p in enumerate(pairs)])
+    want = con.execute(f"select z, {rounded_sql('z')} from (select code, sign(x) * pow(abs(x), y) as z from t) order by code").fetchall()
+    assert [tuple(r) for r in got] == want
+    assert got[4000].r == 227384403.41 and got[4006].factor == math.inf
