@@ -5,7 +5,7 @@ one level of quantised impact. For a block of queries the segments are processed
 level's middle value to accumulators. What is not yet processed can add at most the next level's impact times the
 query's weights left over, and what is processed is off by at most half a level's width; once the upper bound of every
 other vector is below the k-th best lower bound, the rest cannot matter: only the possible members are then scored
-exactly. Shards and query blocks meet by an equi-join on the shard number.
+exactly. Shards and query blocks meet by a shuffle on the shard number.
 
 Vectors with components so large that sums of doubles could be inexact are not indexed: their scores are computed one
 by one, as long or, where those could overflow, as Python integers. So every score is exact at any size; one that does
@@ -39,7 +39,7 @@ def quantised(embedding: Column, scale: float = 256.0) -> Column:
 
 
 class ImpactIndex:
-    """Segments of one shard: (impact bound, level value, dimension, rows), by descending impact."""
+    """Postings of one shard by segments, (impact bound, level value, dimension, rows), in eight steps of descending impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 12):
         self.ids, self.vectors = ids, vectors
@@ -52,40 +52,46 @@ class ImpactIndex:
             for value, rows in zip(found.tolist(), np.split(order, first[1:])):
                 low, high = value * self.width, value * self.width + self.width - 1
                 segments.append((max(abs(low), abs(high)), (low + high) / 2, d, rows))
-        self.segments = sorted(segments, key=lambda s: -s[0])
+        segments.sort(key=lambda s: -s[0])
+        ends = np.linspace(0, len(segments), 9).astype(int)[1:]
+        self.bounds = [segments[e][0] if e < len(segments) else 0 for e in ends]  # of what is left after a step
+        middle, step = np.zeros(vectors.shape), np.zeros(vectors.shape, np.int8)
+        for i, (_, value, d, rows) in enumerate(segments):
+            middle[rows, d], step[rows, d] = value, np.searchsorted(ends, i, "right")
+        # of each step: the postings' middle values, and which postings these are (dimensions, rows)
+        self.steps = [(np.where(step == j, middle, 0).T.copy(), (step == j).astype(np.float64).T.copy()) for j in range(len(ends))]
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(scores, ids) of the k best of this shard for each query, ties to the smaller id."""
         n, q = len(self.ids), len(queries)
-        weights = np.ascontiguousarray(queries.T).astype(np.float64)  # (dimensions, queries)
+        weights = queries.astype(np.float64)  # (queries, dimensions)
         sizes = np.abs(weights)
-        score, left = np.zeros((n, q)), np.tile(sizes.sum(axis=0), (n, 1))
-        slack = sizes.sum(axis=0) * (self.width - 1) / 2
+        score, left = np.zeros((q, n)), np.repeat(sizes.sum(axis=1)[:, None], n, axis=1)
+        slack = sizes.sum(axis=1, keepdims=True) * (self.width - 1) / 2
         out: list = [None] * q
         live = np.arange(q)
-        own_row = self.ids[:, None] == own[None, :]
-        steps = np.linspace(0, len(self.segments), 9).astype(int)[1:]
-        for i, (_, value, d, rows) in enumerate(self.segments):
-            score[rows] += value * weights[d, live]
-            left[rows] -= sizes[d, live]
-            if i + 1 not in steps or not len(live):
-                continue
-            bound = self.segments[i + 1][0] if i + 1 < len(self.segments) else 0
-            reach = bound * left
-            low, high = score - reach - slack[live], score + reach + slack[live]
-            low[own_row[:, live]] = -np.inf
-            kth = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(live), -np.inf)
-            possible = (high >= kth) & ~own_row[:, live]
+        own_row = own[:, None] == self.ids[None, :]
+        for i, (bound, (middle, now)) in enumerate(zip(self.bounds, self.steps)):
+            if not len(live):
+                break
+            score += weights[live] @ middle  # the segments of a step as one product: sums are exact in any order
+            left -= sizes[live] @ now
+            reach = bound * left + slack[live]
+            low = score - reach
+            low[own_row[live]] = -np.inf
+            kth = np.partition(low, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(live), 1), -np.inf)
+            possible = (score + reach >= kth) & ~own_row[live]
             # the proof: whoever is not possible is below k others; stop where the possible are few, or all is processed
-            done = possible.sum(axis=0) <= max(4 * k, n // 64)
-            if i + 1 == len(self.segments):
+            done = possible.sum(axis=1) <= max(4 * k, n // 64)
+            if i + 1 == len(self.bounds):
                 done[:] = True
             for c in np.flatnonzero(done):
-                some = np.flatnonzero(possible[:, c])
+                some = np.flatnonzero(possible[c])
                 exact = self.vectors[some] @ queries[live[c]]
                 best = np.lexsort((self.ids[some], -exact))[:k]
                 out[live[c]] = (exact[best], self.ids[some][best])
-            score, left, live = score[:, ~done], left[:, ~done], live[~done]
+            if done.any():
+                score, left, live = score[~done], left[~done], live[~done]
         return [x if x is not None else (np.empty(0, np.int64), np.empty(0, np.int64)) for x in out]
 
 
@@ -111,36 +117,50 @@ def small(vectors: np.ndarray) -> np.ndarray:
     return np.abs(vectors.astype(np.float64)).max(axis=1, initial=0) < limit
 
 
-def _matrix(rows: list[dict], size: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.zeros((len(rows), size), np.int64)
-    for i, r in enumerate(rows):
-        m[i, : len(r["v"])] = r["v"]
-    return np.array([r["id"] for r in rows], np.int64), m
+def _matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    ids, vectors = rows.flatten()
+    sizes = vectors.value_lengths().to_numpy()
+    m = np.zeros((len(ids), max(1, sizes.max(initial=0))), np.int64)
+    m[np.arange(m.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy()
+    return np.array(ids), m
+
+
+def _sized(matrix: np.ndarray, size: int) -> np.ndarray:
+    """With so many columns; those left out would meet zeros only."""
+    return np.pad(matrix[:, :size], ((0, 0), (0, max(0, size - matrix.shape[1]))))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, shard_rows: int = 4096, query_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the largest inner product with each query.
 
-    Both inputs: vec_id, embedding. Every query meets every shard, in blocks; a task holds one shard and one block."""
+    Both inputs: vec_id, embedding. Every query meets every shard, in blocks: a task has a shard's rows, indexes them once, and
+    then reads one block after the other. The blocks go there by a shuffle, as their copies for all shards are many times what
+    a join could take for their size, and send to the driver."""
 
     def packed(df: DataFrame, name: str, rows: int) -> tuple[DataFrame, int]:
         some = df.select(F.col("vec_id").cast("long").alias("id"), quantised(F.col("embedding"), scale).alias("v")).where("id is not null and v is not null")
         parts = 1 + some.count() // rows
-        return some.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(name)).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows")), parts
+        dealt = some.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, name)
+        return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias("rows")), parts
 
     shards, n = packed(vectors, "shard", shard_rows)
     blocks, _ = packed(queries.dropDuplicates(["vec_id"]), "block", query_rows)
-    spread = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    copies = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), "block", "rows")
+    met = shards.select("shard", F.lit(-1).alias("block"), "rows").union(copies).repartition(n, "shard").sortWithinPartitions("shard", "block")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                size = max(len(r["v"]) for x in ("shard_rows", "block_rows") for r in row[x])
-                ids, matrix = _matrix(row["shard_rows"], size)
-                own, wanted = _matrix(row["block_rows"], size)
-                plain, asked = small(matrix), small(wanted)
-                index = ImpactIndex(ids[plain], matrix[plain])
+            for shard, block, rows in zip(batch["shard"].to_pylist(), batch["block"].to_pylist(), batch["rows"]):
+                own, wanted = _matrix(rows.values)
+                if block < 0:  # a shard's own rows are the first with its number
+                    at, ids, matrix = shard, own, wanted
+                    plain = small(matrix)
+                    index = ImpactIndex(ids[plain], matrix[plain])
+                if block < 0 or shard != at:  # a number that no row has
+                    continue
+                wanted = _sized(wanted, matrix.shape[1])
+                asked = small(wanted)
                 pairs = []
                 for a in range(0, len(own), 128):
                     some, of, few = wanted[a : a + 128], own[a : a + 128], asked[a : a + 128]
@@ -158,6 +178,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
                     }, pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score", "high", "middle", "low")]),
                 )
 
-    found = spread.join(shards, "shard").select("shard_rows", "block_rows").mapInArrow(score, "query_id bigint, vec_id bigint, score bigint, high bigint, middle bigint, low bigint")
+    found = met.mapInArrow(score, "query_id bigint, vec_id bigint, score bigint, high bigint, middle bigint, low bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("middle"), F.desc("low"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -42,6 +42,23 @@ def test_top_k_of_large_components(spark):
             assert sorted(got[q]) == [(k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
 
 
+def test_top_k_sends_no_blocks_to_the_driver(spark):
+    """A block goes to every shard: such copies must not be taken for the blocks' own size and broadcast. Vectors of any length."""
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range((0, 3, 6)[i % 3])]) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    fine = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for shard, block in ((4096, 512), (3, 5)):
+        found = impact_topk.search(vectors, vectors, 5, shard_rows=shard, query_rows=block)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        for q in fine:
+            best = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q)[:5]
+            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/fr/", "block"), ("a.net", "", "block"), ("a.net", "/x", "allow"), ("b.org", "/p/q", "block"), ("b.org", "/p/q", "allow")]
 
 
