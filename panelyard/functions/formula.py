@@ -117,6 +117,12 @@ def _levels(root: X) -> list[list[X]]:
 # ---- Spark -------------------------------------------------------------------------------------------------------
 
 
+def rounded(x: Column, digits: int = DIGITS) -> Column:
+    """x rounded as the SQL engine does it, by whole multiples. Spark's round reads x as a decimal, whose last digit differs in 1 of
+    200 sums of five prices; ranks see that where two sums hardly differ."""
+    return F.round(x * float(10**digits), 0) / float(10**digits)
+
+
 def _power(x: Column, y: Column) -> Column:
     """x ** y by the C library, as in the SQL engine. Spark's own power differs from it by a last digit in 3 of 100 values; of
     large results that can decide a rounding. For exponents that vary, as results of a fixed one stay small."""
@@ -189,10 +195,10 @@ def _windowed(x: X, a: list[Column], names: list[str]) -> Column:
         place = F.rank().over(own.orderBy(a[0])) + (F.count(F.lit(1)).over(ties) - 1) / 2
         return F.when(a[0].isNotNull(), place / F.count(F.lit(1)).over(own))
     if x.op == "scale":
-        return F.round(F.try_divide(a[0] * n, F.sum(F.abs(a[0])).over(date)), DIGITS)
+        return rounded(F.try_divide(a[0] * n, F.sum(F.abs(a[0])).over(date)))
     if x.op == "demean":
         group = F.col(n)
-        return F.when(group.isNotNull(), F.round(a[0] - F.avg(a[0]).over(Window.partitionBy(DATE, group)), DIGITS))
+        return F.when(group.isNotNull(), rounded(a[0] - F.avg(a[0]).over(Window.partitionBy(DATE, group))))
     w = code.rowsBetween(-(n - 1), 0)
     if x.op in ("corr", "cov"):
         u, v = F.when(a[1].isNotNull(), a[0]), F.when(a[0].isNotNull(), a[1])
@@ -203,11 +209,11 @@ def _windowed(x: X, a: list[Column], names: list[str]) -> Column:
             left_u, left_v = u - (F.lag(u).over(code) + du / 2), v - (F.lag(v).over(code) + dv / 2)
             cov = dv * left_u
         if x.op == "cov":
-            return F.when(full, F.round(cov, DIGITS))
+            return F.when(full, rounded(cov))
         spread = F.sqrt(left_u * du) * F.sqrt(left_v * dv) if n == 2 else F.stddev_samp(u).over(w) * F.stddev_samp(v).over(w)
-        return F.when(full & (spread > 1e-12), F.round(cov / spread, DIGITS))
+        return F.when(full & (spread > 1e-12), rounded(cov / spread))
     if x.op == "half_mean":
-        return F.when(F.count(a[0]).over(w) >= n // 2, F.round(F.avg(a[0]).over(w), DIGITS))
+        return F.when(F.count(a[0]).over(w) >= n // 2, rounded(F.avg(a[0]).over(w)))
     full = F.count(a[0]).over(w) == n
     held = F.collect_list(a[0]).over(w)
     match x.op:
@@ -216,13 +222,13 @@ def _windowed(x: X, a: list[Column], names: list[str]) -> Column:
         case "max":
             out = F.max(a[0]).over(w)
         case "sum":
-            out = F.round(F.sum(a[0]).over(w), DIGITS)
+            out = rounded(F.sum(a[0]).over(w))
         case "mean":
-            out = F.round(F.avg(a[0]).over(w), DIGITS)
+            out = rounded(F.avg(a[0]).over(w))
         case "std":
-            out = F.round(F.stddev_samp(a[0]).over(w), DIGITS)
+            out = rounded(F.stddev_samp(a[0]).over(w))
         case "product":
-            out = F.round(F.aggregate(held, F.lit(1.0), lambda p, v: p * v), DIGITS)
+            out = rounded(F.aggregate(held, F.lit(1.0), lambda p, v: p * v))
         case "argmax":
             out = F.array_position(held, F.array_max(held)).cast("double")
         case "argmin":
@@ -230,7 +236,7 @@ def _windowed(x: X, a: list[Column], names: list[str]) -> Column:
         case "ts_rank":
             out = (F.size(F.filter(held, lambda v: v < a[0])) + (F.size(F.filter(held, lambda v: v == a[0])) + 1) / 2) / n
         case "decay":
-            out = F.round(sum((F.lag(a[0], k).over(code) if k else a[0]) * float(n - k) for k in range(n)) / (n * (n + 1) / 2.0), DIGITS)
+            out = rounded(sum((F.lag(a[0], k).over(code) if k else a[0]) * float(n - k) for k in range(n)) / (n * (n + 1) / 2.0))
         case _:
             raise ValueError(x.op)
     return F.when(full, out)

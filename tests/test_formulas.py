@@ -160,3 +160,16 @@ def test_power_of_varying_exponents(spark):
     want = con.execute(f"select z, {rounded_sql('z')} from (select code, sign(x) * pow(abs(x), y) as z from t) order by code").fetchall()
     assert [tuple(r) for r in got] == want
     assert got[4000].r == 227384403.41 and got[4006].factor == math.inf
+
+
+def test_sums_of_prices_are_rounded_alike(spark):
+    """Sums whose last digits lie near halves of the tenth digit, to the last digit of the SQL engine, with missing and negative ones."""
+    rng = np.random.default_rng(11)
+    rows = [(c, t, None if rng.random() < 0.01 else (c % 3 - 1) * 10.0 ** (c % 7) * float(np.round(rng.random() * 1e5, 2)) / (1 + t % 50)) for c in range(40) for t in range(60)]
+    con = duckdb.connect()
+    con.execute("create table panel_rows (code bigint, date bigint, a double)")
+    con.executemany("insert into panel_rows values (?, ?, ?)", rows)
+    for formula in (fm.ts_sum(fm.col("a"), 5), fm.ts_mean(fm.col("a"), 3), fm.decay_linear(fm.col("a"), 4)):
+        got = {(r.code, r.date): r.factor for r in with_formula(spark.createDataFrame(rows, "code long, date long, a double"), formula).collect()}
+        want = con.execute(fm.formula_sql("panel AS (SELECT * FROM panel_rows)", formula, "code, date, {factor}")).fetchall()
+        assert got == {(c, t): v for c, t, v in want}
