@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions import catalog
+from panelyard.functions import formula as engine
 from panelyard.functions.formula import X, formula_sql, with_formula
 from panelyard.sources.panel import panel, panel_sql
 
@@ -17,8 +18,8 @@ LONG = 50
 def rounded(x: Column) -> Column:
     """Both engines sum in their own order: 6 digits, shifted off the ties of rational values; 2 for large values, and 7
     digits in all for huge ones."""
-    large = F.when(F.abs(x) < 1e9, F.round(x + 3.7e-5, 2)).otherwise(F.format_string("%.6e", x.cast("double")).try_cast("double"))
-    return F.when(F.abs(x) < 1000, F.round(x + 3.7e-9, 6)).otherwise(large)
+    large = F.when(F.abs(x) < 1e9, engine.rounded(x + 3.7e-5, 2)).otherwise(F.format_string("%.6e", x.cast("double")).try_cast("double"))
+    return F.when(F.abs(x) < 1000, engine.rounded(x + 3.7e-9, 6)).otherwise(large)
 
 
 def rounded_sql(x: str) -> str:

@@ -173,3 +173,13 @@ def test_sums_of_prices_are_rounded_alike(spark):
         got = {(r.code, r.date): r.factor for r in with_formula(spark.createDataFrame(rows, "code long, date long, a double"), formula).collect()}
         want = con.execute(fm.formula_sql("panel AS (SELECT * FROM panel_rows)", formula, "code, date, {factor}")).fetchall()
         assert got == {(c, t): v for c, t, v in want}
+
+
+def test_large_results_are_rounded_alike(spark):
+    """Values whose hundredfold a double rounds to a half."""
+    values = [s * v for s in (1, -1) for v in (925577200.574963, 150466475.35496297, 700729954.944963, 706200067.574963, 566062310.554963, 161548620.26496297, 12345.67, 0.1234565, 0.0, 1e9, 1e300, math.inf)]
+    got = [r.r for r in spark.createDataFrame(list(enumerate(values)), "i long, x double").orderBy("i").select(rounded(F.col("x")).alias("r")).collect()]
+    con = duckdb.connect()
+    con.execute("create table t (i bigint, x double)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(values)))
+    assert got == [v for (v,) in con.execute(f"select {rounded_sql('x')} from t order by i").fetchall()]
